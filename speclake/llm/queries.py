@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secret_scan, tokens
+from . import mixing, packing, quality, secret_scan, tokens
 from ._common import table
 
 
@@ -22,5 +22,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(tokens.MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_secret_scan, op6_token_counts)}
-ORACLES = {"op1_quality_rules": quality.oracle(), "op4_secret_scan": secret_scan.oracle()}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_secret_scan, op6_token_counts, op9_best_fit_packing, op10_mixing)}
+ORACLES = {"op1_quality_rules": quality.oracle(), "op4_secret_scan": secret_scan.oracle(), "op10_mixing": mixing.oracle()}
