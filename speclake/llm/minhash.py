@@ -6,8 +6,10 @@
 3. Of each pair the low B_BITS of the minima, packed in bit planes, are compared by bit counts; the collision-corrected
    similarity must reach SURE_BELOW (more than five standard deviations under the threshold).
 4. Pairs that are left are confirmed on the full sets. Confirmed links give components.
-5. Pairs of one bucket whose classes still lie in different components go through 3 and 4 too, so every pair that shares a
-   bucket is either confirmed, refuted or already connected; then components are joined.
+5. A bucket whose members, without its hub, still lie in different components is unresolved. Unresolved buckets that share
+   members form families; a family is cut in blocks, each pair of blocks is compared on the full sets inside one task, and only
+   a spanning forest of the links between different components comes out. So every pair that shares a bucket is confirmed,
+   refuted or already connected; then components are joined.
 
 A pair at the threshold of 0.8 shares no bucket with probability (1 - 0.8**4)**32, about 5e-8.
 
@@ -22,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ BANDS = HASHES // ROWS
 B_BITS = 4
 SURE_BELOW = 0.6
 HUBS = 4
+#: A block of a family holds about so many texts and shingles at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 2_000_000
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -149,6 +154,68 @@ def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
     return stage(both.mapInArrow(_confirmed(words, percent), f"a {kind}, b {kind}").distinct(), "links")
 
 
+def _forest(words: int, percent: int):
+    """Links between different labels of two blocks of a family, as a spanning forest."""
+
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        sets = shingle_sets(pa.array(block["text"], pa.string()), words)
+        size = np.array([len(s) for s in sets])
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, code, n = np.unique(flat, return_inverse=True, return_counts=True)
+        often = n > 1
+        column = np.cumsum(often) - 1
+        keep = often[code]
+        owner, code = owner[keep], column[code[keep]]
+        mine = block["block"].to_numpy()
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(often.sum()), 8192):
+            part = (code >= lo) & (code < lo + 8192)
+            dense = np.zeros((len(sets), 8192), np.float32)
+            dense[owner[part], code[part] - lo] = 1
+            both += dense[left] @ dense[right].T
+        label = block["label"].to_numpy()
+        either = size[left][:, None] + size[right][None, :] - both
+        linked = (100 * both >= percent * either) & (either > 0) & (label[left][:, None] != label[right][None, :])
+        root: dict = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        out, node = [], block["node"].to_numpy()
+        for a, b in zip(*np.nonzero(linked), strict=True):
+            x, y = find(label[left[a]]), find(label[right[b]])
+            if x != y:
+                root[x] = y
+                out.append((node[left[a]], node[right[b]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64" if node.dtype == np.int64 else object)
+
+    return run
+
+
+def _unresolved_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that hub pairs haven't shown. shared: band, bucket, node, hub."""
+    named = shared.where("node <> hub").join(labels, "node", "left").select("band", "bucket", "node", F.coalesce("label", "node").alias("label"))
+    torn = named.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("band", "bucket", "first")
+    named = stage(named.join(torn, ["band", "bucket"]).select("node", "label", "first").distinct(), "torn")
+    family = components(named.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    members = named.select("node", "label").distinct().join(family.withColumnRenamed("label", "family"), "node").join(classes.select("node", "n_shingles"), "node")
+    members = stage(members, "families")
+    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    known = texts.select(F.col("doc_id").alias("node"), "text").join(members, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = known.select("family", "node", "label", "block", "text", other.alias("other"))
+    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "text")
+    kind = classes.schema["node"].dataType.simpleString()
+    return stage(dealt.groupBy("family", "i", "j").applyInPandas(_forest(words, percent), f"a {kind}, b {kind}"), "links")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable by links), kept (the component's first)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -165,12 +232,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = _confirm(star, classes, texts, words, percent)
     labels = components(links)
 
-    named = shared.join(labels, "node", "left").select("band", "bucket", "node", F.coalesce("label", "node").alias("label"))
-    torn = named.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "bucket")
-    named = named.join(torn, ["band", "bucket"], "left_semi")
-    other = named.select("band", "bucket", F.col("node").alias("node_2"), F.col("label").alias("label_2"))
-    rest = named.join(other, ["band", "bucket"]).where("label < label_2").select(*ordered("node", "node_2")).distinct()
-    more = _confirm(rest.join(star, ["a", "b"], "left_anti"), classes, texts, words, percent)
+    more = _unresolved_links(shared, labels, classes, texts, words, percent)
     if not more.isEmpty():
         labels = components(links.union(more))
 
