@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, secret_scan, tokens
+from . import minhash, mixing, packing, quality, secret_scan, suffix_dedup, tokens
 from ._common import table
 
 
@@ -22,6 +22,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(tokens.MODEL))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -34,5 +38,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_secret_scan, op6_token_counts, op8_minhash_dedup, op9_best_fit_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_secret_scan, op6_token_counts, op7_suffix_dedup, op8_minhash_dedup, op9_best_fit_packing, op10_mixing)}
 ORACLES = {"op1_quality_rules": quality.oracle(), "op4_secret_scan": secret_scan.oracle(), "op8_minhash_dedup": minhash.oracle(), "op10_mixing": mixing.oracle()}
