@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Parts into which a hot key is split in joins with tables too large to broadcast.
+SALTED = 16
 #: Odd multiplier of the polynomial hashes and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)

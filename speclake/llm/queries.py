@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, secret_scan, suffix_dedup, tokens
+from . import hnsw, html_extract, langid, minhash, mixing, packing, quality, secret_scan, suffix_dedup, tokens
 from ._common import table
 
 
@@ -12,10 +12,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,5 +50,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_secret_scan, op6_token_counts, op7_suffix_dedup, op8_minhash_dedup, op9_best_fit_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extract, op3_hnsw, op4_secret_scan, op5_language_id, op6_token_counts, op7_suffix_dedup, op8_minhash_dedup, op9_best_fit_packing, op10_mixing)}
 ORACLES = {"op1_quality_rules": quality.oracle(), "op4_secret_scan": secret_scan.oracle(), "op8_minhash_dedup": minhash.oracle(), "op10_mixing": mixing.oracle()}
