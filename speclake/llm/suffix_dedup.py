@@ -6,10 +6,10 @@ A byte goes if a string of `length` bytes covers it that also starts earlier (sm
    have equal anchors at the same offset. The windows of one anchor start in a run [a, b]; its context is the bytes [a, b + length).
 2. Anchors are dealt by gram hash. A context that was seen earlier has only windows that were seen earlier; in a map task such
    repeats are found before the shuffle, so a common passage sends one row a task. Grams with one context are done.
-3. The rest, first contexts of grams with several, lie where repeats begin and end. Their windows are sorted as suffixes in each
-   map task: a mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial
-   hashes, in logarithmic time; windows found equal are verified byte by byte. Each task's first ones are dealt by a 128-bit
-   digest of their bytes and all but the earliest of a digest are marked.
+3. The rest, first contexts of grams with several, lie where repeats begin and end. Their bytes are dealt by gram, and the windows
+   of a gram are sorted as suffixes: a mergesort whose comparisons find the common extension of two suffixes by binary search
+   over prefix polynomial hashes, in logarithmic time; windows found equal are verified byte by byte, and all but the earliest are
+   marked. A gram with more than CROWDED contexts is sorted in each map task first, and its windows are dealt one by one.
 4. Marked windows are merged into runs by document and cut out.
 
 Defined results: null or empty text has 0 bytes and keeps nothing; texts shorter than `length` keep all; repeated rows of a
@@ -33,6 +33,8 @@ from ._common import by_bytes, mix, or_empty, prefix_hashes, span_hashes, stage,
 LENGTH, GRAM = 100, 24
 #: Contexts that a map task remembers to find repeats before the shuffle; older ones are forgotten, which only sends more rows.
 REMEMBERED = 400_000
+#: Grams with more contexts are compared window by window, so that their work is spread.
+CROWDED = 4096
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -172,44 +174,116 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _window_rows(length: int):
-    """Of each document's unresolved runs: its windows that aren't repeats within the task, and those that are."""
+def _contexts(length: int):
+    """A row for each unresolved run: key (its gram), id, at and its bytes.
+
+    Runs of a crowded gram give a row for each window instead, keyed by a hash of the window, after a suffix sort within the
+    batch has found repeats; those come without bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 19):
             data, at = utf8(batch.column("text"))
+            raw = data.tobytes()
             ids = batch.column("id").to_numpy()
             order = np.unique(ids, return_index=True)[1]
-            spots, owner, group = [], [], []
-            for rank, r in enumerate(order):
-                runs = batch.column("runs")[int(r)].values
-                for where, g in zip(runs.field("at").to_numpy(), runs.field("gram").to_numpy().view(np.uint64), strict=True):
-                    a, n, m = where >> 32, (where >> 8) & 0xFFFFFF, (where & 0xFF) - 1
-                    if at[r] + a + n + length > at[r + 1]:
+            key, owner, where, context = [], [], [], []
+            spots, rows, group = [], [], []
+            for r in order.tolist():
+                runs = batch.column("runs")[r].values
+                for w, g, crowded in zip(runs.field("at").to_numpy().tolist(), runs.field("gram").to_numpy().tolist(), runs.field("crowded").to_pylist(), strict=True):
+                    a, n, m = w >> 32, (w >> 8) & 0xFFFFFF, (w & 0xFF) - 1
+                    start = int(at[r]) + a
+                    if start + n + length > at[r + 1]:
                         continue
-                    p = np.arange(n + 1)
-                    spots.append(at[r] + a + p)
-                    owner.append(np.full(n + 1, rank))
-                    group.append(mix(g ^ mix((m - p).astype(np.uint64))))
-            if not spots:
-                continue
-            pos, rank, grp = (np.concatenate(v) for v in (spots, owner, group))
-            first = np.lexsort((pos, rank, grp))
-            pos, rank, grp = pos[first], rank[first], grp[first]
-            # the work text holds the documents in order, so that position is precedence
-            lengths = (at[1:] - at[:-1])[order]
-            base = np.append(0, np.cumsum(lengths))
-            text = np.concatenate([data[at[r] : at[r + 1]] for r in order])
-            shift = base[:-1] - at[order]
-            sorter = Suffixes(text, length)
-            pos = sorter.sort(pos + shift[rank], grp)
-            again = sorter.equal_before(pos)
-            again[1:] &= grp[1:] == grp[:-1]
-            rank = np.searchsorted(base, pos, side="right") - 1
-            local = pos - base[rank]
-            raw = text.tobytes()
-            digests = [None if k else xxhash.xxh3_128_digest(raw[p : p + length]) for p, k in zip(pos.tolist(), again.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[order[rank]]), "at": pa.array(_packed(local, np.zeros_like(local), np.full(len(local), -1))), "digest": pa.array(digests, pa.binary())})
+                    if crowded:
+                        p = np.arange(n + 1)
+                        spots.append(start + p)
+                        rows.append(np.full(n + 1, r))
+                        group.append(mix(np.uint64(g & (2**64 - 1)) ^ mix((m - p).astype(np.uint64))))
+                    else:
+                        key.append(g), owner.append(int(ids[r])), where.append(w), context.append(raw[start : start + n + length])
+            if spots:
+                pos, row, grp = (np.concatenate(v) for v in (spots, rows, group))
+                rank = np.empty(len(at), np.int64)
+                rank[order] = np.arange(len(order))
+                first = np.lexsort((pos, rank[row], grp))
+                pos, row, grp = pos[first], row[first], grp[first]
+                shift = np.append(0, np.cumsum((at[1:] - at[:-1])[order]))[:-1] - at[order]  # documents in order, so that position is precedence
+                text = np.concatenate([data[at[r] : at[r + 1]] for r in order])
+                sorter = Suffixes(text, length)
+                pos = sorter.sort(pos + shift[rank[row]], grp)
+                again = sorter.equal_before(pos)
+                again[1:] &= grp[1:] == grp[:-1]
+                row = order[np.searchsorted(at[order] + shift, pos, side="right") - 1]
+                pos = pos - shift[rank[row]]
+                for q, r, repeat in zip(pos.tolist(), row.tolist(), again.tolist(), strict=True):
+                    window = None if repeat else raw[q : q + length]
+                    digest = None if repeat else xxhash.xxh3_64_intdigest(window)
+                    key.append(q if repeat else digest - (1 << 63)), owner.append(int(ids[r])), where.append(((q - int(at[r])) << 32) + (0 if repeat else 1)), context.append(window)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "id": pa.array(owner, pa.int64()), "at": pa.array(where, pa.int64()), "context": pa.array(context, pa.binary())})
+
+    return run
+
+
+def _complete(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.Table]:
+    """Tables of whole keys, of about `limit` bytes at least; the batches are sorted by key."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key").to_numpy()
+        for part in by_bytes(iter([batch]), "context", limit):
+            held.append(part)
+            size += part.nbytes
+            if size >= limit:
+                whole = pa.Table.from_batches(held)
+                keys = whole.column("key").to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1], side="left"))
+                if cut:
+                    yield whole.slice(0, cut)
+                held = whole.slice(cut).to_batches()
+                size = sum(x.nbytes for x in held) // 2
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sorted_runs(length: int):
+    """Marks of the windows that equal an earlier one of their key, by a suffix sort of the key's contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _complete(batches):
+            key, ids, where = (table.column(c).to_numpy() for c in ("key", "id", "at"))
+            known = np.asarray(table.column("context").is_valid())
+            twin = np.zeros(len(key), bool)
+            twin[1:] = (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]) & (where[1:] == where[:-1])
+            use = np.flatnonzero(known & ~twin)
+            out_id, out_at = [ids[~known]], [where[~known]]
+            if len(use):
+                texts = table.column("context").take(pa.array(use)).to_pylist()
+                text = np.frombuffer(b"".join(texts), np.uint8)
+                base = np.append(0, np.cumsum([len(t) for t in texts]))
+                a, m = where[use] >> 32, (where[use] & 0xFF) - 1
+                n = base[1:] - base[:-1] - length + 1
+                row = np.repeat(np.arange(len(use)), n)
+                p = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                grp = mix(key[use][row].view(np.uint64) ^ mix((m[row] - p).astype(np.uint64)))
+                order = np.lexsort((base[row] + p, grp))
+                pos, grp = (base[row] + p)[order], grp[order]
+                sorter = Suffixes(text, length)
+                pos = sorter.sort(pos, grp)
+                again = sorter.equal_before(pos)
+                again[1:] &= grp[1:] == grp[:-1]
+                hit = np.sort(pos[again])
+                row = np.searchsorted(base, hit, side="right") - 1
+                new = np.ones(len(hit), bool)
+                new[1:] = (np.diff(hit) > 1) | (row[1:] != row[:-1])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
+                out_id.append(ids[use][row[first]])
+                out_at.append(_packed(a[row[first]] + hit[first] - base[row[first]], hit[last] - hit[first], np.full(len(first), -1)))
+            yield pa.RecordBatch.from_pydict({"id": pa.array(np.concatenate(out_id), pa.int64()), "at": pa.array(np.concatenate(out_at), pa.int64())})
 
     return run
 
@@ -244,15 +318,15 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = rows.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, gram), "id long, at long, gram long, context long")
     found = found.repartition("gram").sortWithinPartitions("gram", "context", "id", "at")
     by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context").orderBy("id", "at")
-    found = found.withColumn("nth", F.rank().over(by_context)).withColumn("several", F.min("context").over(by_gram) != F.max("context").over(by_gram))
+    found = found.withColumn("nth", F.rank().over(by_context)).withColumn("several", F.min("context").over(by_gram) != F.max("context").over(by_gram)).withColumn("size", F.count("*").over(by_gram))
     local = F.col("at").bitwiseAND(0xFF) == 0
-    found = stage(found.where(local | (F.col("nth") > 1) | F.col("several")).select("id", "at", F.when(~local & (F.col("nth") == 1), F.col("gram")).alias("gram")), "repeats")
-    runs = found.where("gram is not null").groupBy("id").agg(F.collect_list(F.struct("at", "gram")).alias("runs"))
-    windows = rows.join(runs, "id").select("id", "text", "runs").mapInArrow(_window_rows(length), "id long, at long, digest binary")
-    earliest = Window.partitionBy("key").orderBy("id", "at")
-    again = windows.withColumn("key", F.coalesce("digest", F.encode(F.concat_ws(":", "id", "at"), "utf-8"))).withColumn("nth", F.rank().over(earliest))
-    again = again.where("digest is null or nth > 1")
-    marks = found.where("gram is null").select("id", "at").union(again.select("id", "at")).groupBy("id").agg(F.collect_list("at").alias("marks"))
+    run_key = ~local & (F.col("nth") == 1)
+    found = found.where(local | (F.col("nth") > 1) | F.col("several"))
+    found = stage(found.select("id", "at", F.when(run_key, F.col("gram")).alias("gram"), F.when(run_key, F.col("size") > CROWDED).alias("crowded")), "repeats")
+    runs = found.where("gram is not null").groupBy("id").agg(F.collect_list(F.struct("at", "gram", "crowded")).alias("runs"))
+    contexts = rows.join(runs, "id").select("id", "text", "runs").mapInArrow(_contexts(length), "key long, id long, at long, context binary")
+    again = contexts.repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(_sorted_runs(length), "id long, at long")
+    marks = found.where("gram is null").select("id", "at").union(again).groupBy("id").agg(F.collect_list("at").alias("marks"))
     out = rows.join(marks, "id", "left").select("id", "text", "marks")
     out = out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("doc_id") != none, F.col("doc_id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
