@@ -47,6 +47,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A staged table of narrow rows, to be broadcast if it has at most `most` rows; a join with a larger one shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, mix, prefix_hashes, span_hashes, stage, utf8, word_spans
+from ._common import bounded, by_bytes, mix, prefix_hashes, span_hashes, stage, utf8, word_spans
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
@@ -146,8 +146,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
     likely = pairs.join(side("a"), "a").join(side("b"), "b")
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     likely = stage(likely.where(sizes & (estimate(F.col("planes_a"), F.col("planes_b")) >= SURE_BELOW)).select("a", "b"), "likely")
-    needed = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    known = stage(texts.join(needed, "doc_id", "left_semi"), "texts")
+    needed = stage(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "needed")
+    known = stage(texts.join(bounded(needed), "doc_id", "left_semi"), "texts")
     text = lambda x: known.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     kind = classes.schema["node"].dataType.simpleString()
@@ -207,8 +207,8 @@ def _unresolved_links(shared: DataFrame, labels: DataFrame, classes: DataFrame,
     members = named.select("node", "label").distinct().join(family.withColumnRenamed("label", "family"), "node").join(classes.select("node", "n_shingles"), "node")
     members = stage(members, "families")
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    known = texts.select(F.col("doc_id").alias("node"), "text").join(members, "node")
+    members = stage(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
+    known = texts.select(F.col("doc_id").alias("node"), "text").join(bounded(members), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = known.select("family", "node", "label", "block", "text", other.alias("other"))
     dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "text")
@@ -246,8 +246,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that are first in their component, with their own columns."""
     id_col = options.get("id_col", "doc_id")
-    gone = near_duplicates(docs, **options).where("not kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = stage(near_duplicates(docs, **options).where("not kept").select(id_col).distinct(), "gone")
+    return docs.join(bounded(gone), id_col, "left_anti").select(*docs.columns)
 
 
 def oracle() -> str:
