@@ -21,7 +21,7 @@ def binned(planes: DataFrame, bins: int) -> DataFrame:
     """Bin of each value between the least and the greatest of its plane; null for a flat plane."""
     w = Window.partitionBy("image_id", "band")
     lo, hi = F.min("value").over(w), F.max("value").over(w)
-    return planes.withColumn("bin", F.least(F.floor(F.try_divide(F.col("value") - lo, hi - lo) * bins), F.lit(bins - 1)))
+    return planes.withColumn("bin", F.when(hi > lo, F.least(F.floor(F.try_divide(F.col("value") - lo, hi - lo) * bins), F.lit(bins - 1))))
 
 
 def _information(joint: DataFrame, keys: list[str]) -> DataFrame:
