@@ -167,7 +167,9 @@ def index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame
         g = build(v)
         return pd.DataFrame({"dim": [int(key[0])], "shard": [int(key[1])], "vectors": [v.tobytes()], "ids": [np.concatenate(list(rows["ids"])).astype(np.int64).tobytes()], "n_ids": [np.array([len(x) for x in rows["ids"]], np.int32).tobytes()], "entry": [g.entry], "levels": [[x.astype(np.int32).tobytes() for x in g.levels]]})
 
-    return stage(dealt.select("dim", "shard", "vector", "ids").groupBy("dim", "shard").applyInPandas(graph, "dim int, shard long, vectors binary, ids binary, n_ids binary, entry int, levels array<binary>"), "hnsw")
+    tasks = 2 * max(1, -(-distinct.count() // shard_rows))  # a number of its own, as small shards are long work
+    dealt = dealt.select("dim", "shard", "vector", "ids").repartition(tasks, "dim", "shard")
+    return stage(dealt.groupBy("dim", "shard").applyInPandas(graph, "dim int, shard long, vectors binary, ids binary, n_ids binary, entry int, levels array<binary>"), "hnsw")
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int, ef: int = SEARCH_EF) -> DataFrame:
@@ -175,7 +177,7 @@ def search(shards: DataFrame, queries: DataFrame, k: int, ef: int = SEARCH_EF) -
     n = queries.count()
     blocks = queries.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK_ROWS)))).alias("block"), F.struct("id", "vector").alias("q"))
     blocks = blocks.groupBy("dim", "block").agg(F.collect_list("q").alias("queries"))
-    pairs = blocks.join(shards, "dim").repartition(F.col("shard"), F.col("block"))
+    pairs = blocks.join(shards, "dim").repartition(2 * max(1, -(-n // BLOCK_ROWS)) * max(1, shards.count()), "dim", "shard", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

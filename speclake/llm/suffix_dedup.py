@@ -323,7 +323,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     run_key = ~local & (F.col("nth") == 1)
     found = found.where(local | (F.col("nth") > 1) | F.col("several"))
     found = stage(found.select("id", "at", F.when(run_key, F.col("gram")).alias("gram"), F.when(run_key, F.col("size") > CROWDED).alias("crowded")), "repeats")
-    runs = found.where("gram is not null").groupBy("id").agg(F.collect_list(F.struct("at", "gram", "crowded")).alias("runs"))
+    runs = found.where("gram is not null").groupBy("id").agg(F.collect_set(F.struct("at", "gram", "crowded")).alias("runs"))
     contexts = rows.join(runs, "id").select("id", "text", "runs").mapInArrow(_contexts(length), "key long, id long, at long, context binary")
     again = contexts.repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(_sorted_runs(length), "id long, at long")
     marks = found.where("gram is null").select("id", "at").union(again).groupBy("id").agg(F.collect_list("at").alias("marks"))
