@@ -3,8 +3,9 @@
 Every page is parsed to a tree. Its nodes, keyed by their path of tags and classes, are merged by host: for each path the pages
 that have it are counted by presentation (the sequence of child tags) and by content (the text below). The importance of a node is
 the larger of the two entropies, to the base of its number of pages: 0 where all pages look and say the same, 1 where all differ.
-Nodes of little importance that enough pages of the host share are template and are removed from each page, except inside the
-main element. Elements whose tag, role, class or id marks them as no content are removed too, and text is taken from the page's
+Nodes of little importance that enough pages of the host share are template and are removed from each page, inside the main element
+too. There pages whose main elements say the same count once, so that copies of a page don't make its text template, and only
+blocks are removed: markup in a line belongs to its block. The main element itself stays. Elements whose tag, role, class or id marks them as no content are removed too, and text is taken from the page's
 main element (article, main), or from the body where there is none.
 
 Defined results: null or empty html gives an empty text; a page without host is judged by its own marks only; repeated rows are
@@ -116,41 +117,49 @@ def _path(above: int, node: Node) -> int:
     return xxhash.xxh64_intdigest(f"{above}/{node.tag} {node.names}") >> 1
 
 
-def style_nodes(root: Node) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) of a page's element nodes; nodes of one path count together."""
+def style_nodes(root: Node) -> list[tuple[int, int, int, int | None]]:
+    """(path, presentation, content, whole) of a page's element nodes; nodes of one path count together. whole: content of the main elements, null outside."""
     looks: dict[int, list[str]] = {}
     says: dict[int, list[str]] = {}
+    mains: set[int] = set()
+    within: set[int] = set()
 
     def walk(node: Node, path: int) -> None:
-        stack = [(node, path, [path])]
+        stack = [(node, path, [path], False)]
         while stack:
-            node, path, above = stack.pop()
+            node, path, above, inside = stack.pop()
+            if inside:
+                within.add(path)
+            elif node.tag in MAIN:
+                mains.add(path)
+                inside = True
             looks.setdefault(path, []).append(",".join(dict.fromkeys(c.tag for c in node.children if isinstance(c, Node))))
             for c in reversed(node.children):
                 if isinstance(c, Node):
                     if c.tag not in HIDDEN:
                         p = _path(path, c)
-                        stack.append((c, p, [*above, p]))
+                        stack.append((c, p, [*above, p], inside))
                 elif not c.isspace():
                     for p in above:
                         says.setdefault(p, []).append(c)
 
     walk(root, 0)
     digest = lambda parts: xxhash.xxh64_intdigest("\n".join(parts)) >> 1
-    return [(p, digest(dict.fromkeys(x)), digest(sorted(says.get(p, ())))) for p, x in looks.items()]
+    whole = digest(sorted(t for p in mains for t in says.get(p, ())))
+    return [(p, digest(dict.fromkeys(x)), digest(sorted(says.get(p, ()))), whole if p in within else None) for p, x in looks.items()]
 
 
 def extract(root: Node, template: set[int]) -> str:
-    """The text of the blocks of the main element, without the branches in `template` outside of it."""
-    mains: list[Node] = []
-    stack = [root]
+    """The text of the blocks of the main element, without the branches in `template`."""
+    mains: list[tuple[Node, int]] = []
+    stack = [(root, 0)]
     while stack:
-        node = stack.pop()
+        node, path = stack.pop()
         if node.tag in MAIN and not _no_content(node):
-            inner = [c for c in node.children if isinstance(c, Node) and c.tag == "article"] if node.tag == "main" else []
-            mains += inner or [node]
+            inner = [(c, _path(path, c)) for c in node.children if isinstance(c, Node) and c.tag == "article"] if node.tag == "main" else []
+            mains += inner or [(node, path)]
             continue
-        stack += [c for c in reversed(node.children) if isinstance(c, Node) and not _no_content(c)]
+        stack += [(c, _path(path, c)) for c in reversed(node.children) if isinstance(c, Node) and not _no_content(c)]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -160,8 +169,8 @@ def extract(root: Node, template: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    for top in mains or [root]:
-        todo: list = [(top, 0, bool(mains))]
+    for top, at in mains or [(root, 0)]:
+        todo: list = [(top, at)]
         while todo:
             item = todo.pop()
             if item is None:
@@ -170,27 +179,31 @@ def extract(root: Node, template: set[int]) -> str:
             if isinstance(item, str):
                 line.append(item)
                 continue
-            node, path, inside = item
+            node, path = item
             if node.tag == "br":
                 line.append(" ")
                 continue
-            if _no_content(node) and node is not top or not inside and path in template:
-                continue
             block = node.tag not in INLINE
+            if node is not top and _no_content(node):
+                continue
+            if path in template and not (mains and (node is top or not block)):
+                if mains:
+                    flush()
+                continue
             if block:
                 flush()
                 todo.append(None)
             for c in reversed(node.children):
-                todo.append(c if isinstance(c, str) else (c, 0 if inside else _path(path, c), inside))
+                todo.append(c if isinstance(c, str) else (c, _path(path, c)))
         flush()
     return "\n\n".join(blocks)
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """host, path, pages, importance. nodes: host, path, look, say."""
+    """host, path, pages, importance. nodes: host, path, look, say, whole. Nodes with a whole count once for each."""
 
     def entropy(what: str) -> DataFrame:
-        n = nodes.groupBy("host", "path", what).agg(F.count("*").alias("n"))
+        n = nodes.groupBy("host", "path", what).agg((F.count_if(F.col("whole").isNull()) + F.count_distinct("whole")).alias("n"))
         total = n.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
         h = F.when(F.col("pages") > 1, F.log("pages") - F.col("nlogn") / F.col("pages")).otherwise(1.0)
         return total.select("host", "path", "pages", (h / F.when(F.col("pages") > 1, F.log("pages")).otherwise(1.0)).alias(f"h_{what}"))
@@ -206,7 +219,7 @@ def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = style_nodes(parse(html or ""))
             hosts += [host] * len(nodes)
             out += nodes
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), **{k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("path", "look", "say"))}})
+        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), **{k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("path", "look", "say", "whole"))}})
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +233,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     host = F.nullif(F.lower(F.regexp_extract(pages[url_col], r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host.alias("host"))
     known = rows.where("host is not null")
-    nodes = stage(known.select("host", "html").mapInArrow(_style_rows, "host string, path long, look long, say long"), "style")
+    nodes = stage(known.select("host", "html").mapInArrow(_style_rows, "host string, path long, look long, say long, whole long"), "style")
     sizes = known.groupBy("host").agg(F.count("*").alias("of"))
     dull = importance(nodes).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") <= MOST_IMPORTANCE))
     dull = dull.join(sizes, "host").where(F.col("pages") >= LEAST_SHARE * F.col("of"))

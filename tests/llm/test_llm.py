@@ -190,6 +190,17 @@ def test_html(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_repeats_inside_main(spark):
+    page = "<body><article><h1>T {0}</h1><div class=x1>Send this <b>on</b></div><p><b>Note</b> a{0}<p>b{0}</article></body>"
+    copy = "<body><main><div class=x2>only text</div></main></body>"
+    rows = [(i, "https://h.example/%d" % i, page.format(i)) for i in range(6)] + [(10 + i, "https://g.example/%d" % i, copy) for i in range(6)]
+    rows += [(20 + i, "https://f.example/%d" % i, page.format(i) if i < 3 else copy) for i in range(9)]
+    out = {x["page_id"]: x["text"] for x in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "T 3\n\nNote a3\n\nb3"  # the repeated branch goes, the repeated word in a line stays
+    assert out[12] == out[25] == "only text"  # copies of a page are no template
+    assert out[21] == "T 1\n\nSend this on\n\nNote a1\n\nb1"  # on too few pages
+
+
 def test_nearest(spark):
     r = np.random.default_rng(1)
     v = r.normal(size=(1500, 16)).astype(np.float32)
