@@ -3,7 +3,8 @@
 Three fixed patterns give the base spans. The method adds spans of kind `entropy`: candidate strings are maximal runs of
 key characters; each is put in a character class (hex, alnum, base64), the Shannon entropy of every window of WINDOW
 characters is kept up by incremental counts (one character in, one out), and a candidate whose highest window entropy
-reaches its class's threshold is a secret unless the allow-list names it or a base span overlaps it.
+reaches its class's threshold is a secret unless the allow-list names it or a base span overlaps it. Paths and slugs in lower
+case are judged part by part, each as a candidate of its own: the whole of one is a secret if one of its parts is.
 
 Positions are code points, end exclusive. Defined results: null or empty text has no spans; repeated rows are scanned each;
 an empty table gives an empty result; other columns pass through untouched.
@@ -41,9 +42,11 @@ ALLOWED = (
     r"^[0-9+/=_-]*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|your[_-]|dummy|sample|abcdefgh|12345678",
-    r"^(/?[a-z]+[a-z0-9]*)(/[a-z0-9._-]+)*/?$",
-    r"^[a-z0-9]+([_-][a-z0-9]+)+$",
 )
+#: Paths and slugs, whose parts are judged.
+PARTED = r"^(?=.*/)/?[a-z]+[a-z0-9]*(/[a-z0-9._-]+)*/?$|^[a-z0-9]+([_-][a-z0-9]+)+$"
+#: What the SQL allows besides, whole: it misses lower-case keys that start with a letter or hold separators.
+SQL_ALLOWED = (r"^(/?[a-z]+[a-z0-9]*)(/[a-z0-9._-]+)*/?$", r"^[a-z0-9]+([_-][a-z0-9]+)+$")
 REDACTED = "[SECRET]"
 SPANS = "array<struct<start:int,end:int,kind:int>>"
 
@@ -89,14 +92,23 @@ def highest_entropy(candidate: Column) -> Column:
     return F.aggregate(F.filter(moves, lambda x: x["new"].isNotNull()), zero, step, lambda acc: acc["best"])
 
 
-def _suspicious(s: Column) -> Column:
+def _allowed(s: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | F.regexp_like(s, F.lit(pattern))
+    return allowed
+
+
+def _random(s: Column) -> Column:
     least = F.lit(None).cast("double")
     for pattern, bits in reversed(CLASSES.values()):
         least = F.when(F.regexp_like(s, F.lit(pattern)), bits).otherwise(least)
-    return F.when(allowed, False).otherwise(highest_entropy(s) >= least)
+    return F.when((F.length(s) < WINDOW) | _allowed(s), False).otherwise(highest_entropy(s) >= least)
+
+
+def _suspicious(s: Column) -> Column:
+    parts = F.when(F.regexp_like(s, F.lit(PARTED)), F.split(s, "[/_-]")).otherwise(F.array(s))
+    return F.when(_allowed(s), False).otherwise(F.exists(parts, _random))
 
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -145,7 +157,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
 
 
 def oracle() -> str:
-    """secret_scan as DuckDB SQL over documents (doc_id unique)."""
+    """secret_scan as DuckDB SQL over documents (doc_id unique, no secrets that only SQL_ALLOWED excuses)."""
     quoted = {k: p.replace("'", "''") for k, p in SCANNED.items()} | {"entropy": CANDIDATE}
 
     def found(i: int, k: str) -> str:
@@ -157,7 +169,7 @@ def oracle() -> str:
     {k} as (select doc_id, {i} as kind, s[i] as str, v[i] as val,
                    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x))), 0) as start from {k}_i)"""
 
-    allowed = " or ".join(f"regexp_matches(str, '{p}')" for p in ALLOWED)
+    allowed = " or ".join(f"regexp_matches(str, '{p}')" for p in (*ALLOWED, *SQL_ALLOWED))
     least = "case " + " ".join(f"when regexp_matches(str, '{p}') then {b}" for p, b in CLASSES.values()) + " end"
     counts = ", ".join(f"count(*) filter (kind = {i}) as n_{k}" for i, k in enumerate(KINDS))
     names = "['" + "', '".join([*KINDS, "entropy"]) + "']"

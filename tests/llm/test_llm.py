@@ -79,6 +79,19 @@ def test_secrets(docs, empty):
     assert secret_scan.secret_scan(empty).count() == 0
 
 
+def test_lower_case_secrets(spark):
+    r = random.Random(8)
+    key = lambda n, of="abcdefghijklmnopqrstuvwxyz0123456789": "k7" + "".join(r.sample(of, n - 2))
+    hexes = "c0ffee4b1d92a7385e61"
+    secret = [key(32), hexes, f"sk_live_{key(24)}", f"api-{key(22)}-prod", f"/keys/{key(24)}/", f"{key(24)}/v1"]
+    plain = ["this-is-a-long-title-of-2021", "usr/local/lib/python3/site-packages", "/var/log/app2/errors/today", "my_long_name_with_1_number", "550e8400-e29b-41d4-a716-446655440000"]
+    df = spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate(secret + plain)], "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.secret_scan(df).collect()}
+    assert [got[i] for i in range(len(secret))] == [f"entropy:4:{4 + len(t)}" for t in secret]
+    assert all(got[i] == "" for i in range(len(secret), len(got)))
+    assert {x["text"] for x in secret_scan.redact(df).where(f"doc_id < {len(secret)}").collect()} == {"see [SECRET] end"}
+
+
 def test_tokens(docs, empty):
     path = public_tokenizers.path(tokens.MODEL)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
