@@ -4,8 +4,8 @@ Token sums by (source, language, topic) cell are raked to the target marginals o
 cell's raked weight per token, scaled so that the expected tokens meet the budget, at most 1 (what is above 1 goes to the
 other cells). A document is taken if a hash of its id, as a fraction, is below its probability.
 
-Levels of a dimension beyond MOST_LEVELS (by tokens) are pooled in one level, so that the cells are a table of proven
-bound, which the driver rakes and the join back may broadcast. Documents are never gathered.
+Any number of levels is exact. The driver rakes up to MOST_CELLS cells, counted first, and the join back broadcasts them; more
+are raked as a table, staged each round, and joined back in a shuffle. Documents are never gathered.
 
 Defined results: nulls in a dimension are a level of their own; null or empty text has 0 tokens and its cell's probability;
 rows that share an id are taken or left together; an empty table gives an empty result; other columns pass through.
@@ -18,16 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, or_empty, stage
+from ._common import BLANKS, SALTED, bounded, or_empty, stage
 from .packing import n_words
 
 DIMS = ("source", "lang", "topic")
-MOST_LEVELS = {"source": 256, "lang": 32, "topic": 16}
+MOST_CELLS = 100_000
 #: Target share of a level: its tokens to this power, normalized.
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 BUDGET = 0.6
 ROUNDS = 25
-NONE, POOLED = "(none)", "(pooled)"
+NONE = "(none)"
 SEED = "mix"
 
 
@@ -67,25 +67,65 @@ def probabilities(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.
     return np.minimum(1.0, (s[ok[0]] if len(ok) else np.inf) * rate) if rate.any() else np.zeros(len(tokens))
 
 
+def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, rounds: int) -> DataFrame:
+    """rake for cells of any number: DIMS, tokens, w. targets None: the flattened shares."""
+    spark = cells.sparkSession
+    want = {}
+    for d in DIMS:
+        share = cells.groupBy(d).agg(F.sum("tokens").alias("t"))
+        if targets is None:
+            share = share.withColumn("want", F.pow(F.col("t").cast("double"), F.lit(FLATTEN[d])))
+        else:
+            share = share.join(spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, want double"), d, "left")
+        share = stage(share.select(d, F.when(F.col("t") > 0, F.coalesce("want", F.lit(0.0))).otherwise(0.0).alias("want")), "shares")
+        total = share.agg(F.sum("want")).first()[0]
+        want[d] = bounded(share.withColumn("want", F.col("want") / total) if total else share)
+    w = cells.withColumn("w", F.col("tokens").cast("double"))
+    for _ in range(rounds):
+        for d in DIMS:
+            now = w.groupBy(d).agg(F.sum("w").alias("now")).join(want[d], d)
+            factor = stage(now.select(d, F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(0.0).alias("factor")), "factors")
+            w = w.join(bounded(factor), d).select(*DIMS, "tokens", (F.col("w") * F.col("factor")).alias("w"))
+        w = stage(w, "raked")
+    return w
+
+
+def table_probabilities(raked: DataFrame, share: float) -> DataFrame:
+    """probabilities for cells of any number, with share of all tokens as budget: DIMS, probability."""
+    rated = raked.select(*DIMS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0).alias("rate"))
+    budget = share * (rated.agg(F.sum("tokens")).first()[0] or 0)
+    s, n = 0.0, -1
+    while True:  # s grows with the cells that are taken whole, until there are no more of them
+        whole = F.col("rate") * s > 1
+        r = rated.agg(F.count_if(whole).alias("n"), F.sum(F.when(whole, F.col("tokens"))).alias("before"), F.sum(F.when(~whole, F.col("tokens") * F.col("rate"))).alias("rest")).first()
+        if r["n"] == n:
+            break
+        n, s = r["n"], (budget - (r["before"] or 0)) / r["rest"] if r["rest"] else float("inf")
+    return rated.select(*DIMS, F.when(F.col("rate") > 0, F.least(F.lit(1.0), F.col("rate") * s)).otherwise(0.0).alias("probability"))
+
+
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", tokens: Column, dims: dict[str, Column], targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, keep_rows: bool = True) -> DataFrame:
     """row (all columns, or the id only), source, lang, topic (levels), tokens, probability and taken. targets: share by level."""
     level = {d: F.coalesce(dims[d].cast("string"), F.lit(NONE)).alias(d) for d in DIMS}
     row = F.struct("*") if keep_rows else F.struct(docs[id_col].alias(id_col))
     rows = stage(docs.select(row.alias("row"), *level.values(), tokens.cast("long").alias("tokens")), "mixing")
-    kept = {}
-    for d in DIMS:
-        top = rows.groupBy(d).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), d).limit(MOST_LEVELS[d] - 1)
-        kept[d] = [r[d] for r in top.collect()]
-    rows = rows.select("row", *[F.when(F.col(d).isin(kept[d]), F.col(d)).otherwise(POOLED).alias(d) for d in DIMS], "tokens")
-    cells = rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")).toPandas().sort_values(list(DIMS), ignore_index=True)
-    if targets is None:
-        sums = {d: cells.groupby(d)["tokens"].sum() for d in DIMS}
-        targets = {d: (s.astype(float) ** FLATTEN[d]).where(s > 0, 0.0).to_dict() for d, s in sums.items()}
-    t = cells["tokens"].to_numpy(float)
-    cells["probability"] = probabilities(t, rake(cells, targets), budget * t.sum())
-    known = rows.sparkSession.createDataFrame(cells[[*DIMS, "probability"]].astype({"probability": float}), ", ".join(f"{d} string" for d in DIMS) + ", probability double")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return rows.join(F.broadcast(known), list(DIMS)).select("row", *DIMS, "tokens", F.round("probability", 9).alias("probability"), (draw < F.round("probability", 9)).alias("taken"))
+    cells = stage(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
+    key = F.col(f"row.`{id_col}`").cast("string")
+    if cells.limit(MOST_CELLS + 1).count() <= MOST_CELLS:
+        cells = cells.toPandas().sort_values(list(DIMS), ignore_index=True)
+        if targets is None:
+            sums = {d: cells.groupby(d)["tokens"].sum() for d in DIMS}
+            targets = {d: (s.astype(float) ** FLATTEN[d]).where(s > 0, 0.0).to_dict() for d, s in sums.items()}
+        t = cells["tokens"].to_numpy(float)
+        cells["probability"] = probabilities(t, rake(cells, targets, ROUNDS), budget * t.sum())
+        known = rows.sparkSession.createDataFrame(cells[[*DIMS, "probability"]].astype({"probability": float}), ", ".join(f"{d} string" for d in DIMS) + ", probability double")
+        rows = rows.join(F.broadcast(known), list(DIMS))
+    else:
+        known = table_probabilities(rake_table(cells, targets, ROUNDS), budget)
+        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTED - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTED)).cast("int")).join(known, [*DIMS, "salt"])
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(key, F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return rows.select("row", *DIMS, "tokens", F.round("probability", 9).alias("probability"), (draw < F.round("probability", 9)).alias("taken"))
 
 
 def _of_documents(docs: DataFrame, **options) -> DataFrame:
@@ -103,7 +143,7 @@ def sample_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def oracle() -> str:
-    """mix_documents as DuckDB SQL over documents (at most MOST_LEVELS levels, doc_id unique)."""
+    """mix_documents as DuckDB SQL over documents (doc_id unique)."""
     step, last = [], "cells"
     for i in range(ROUNDS):
         for d in DIMS:

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -183,6 +185,26 @@ def test_mixing(docs, empty):
     assert mixing.mix_documents(empty).count() == 0 and set(mixing.sample_documents(docs).columns) == set(docs.columns)
 
 
+def test_mixing_many_levels(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 37 + 200 * (i < 30)), f"l{i % 41}", f"s{i % 300}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix_documents(df).toPandas().set_index("doc_id").sort_index()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]))
+    want = con.execute(mixing.oracle()).df().set_index("doc_id").sort_index()
+    assert list(got.source) == [r[3] for r in rows] and list(got.lang) == [r[2] for r in rows]
+    assert np.allclose(got.probability, want.probability, atol=1e-8) and (got.taken == want.taken).all()
+    targets = {"source": {"s299": 0.01, "s0": 0.99}, "lang": {f"l{k}": 1.0 for k in range(41)}, "topic": {"brief": 1.0}}
+    monkeypatch.setattr(mixing, "ROUNDS", 3)
+    tables = []
+    for most in (100_000, 1):  # on the driver and as a table
+        monkeypatch.setattr(mixing, "MOST_CELLS", most)
+        tables.append([mixing.mix_documents(df, **o).toPandas().set_index("doc_id").sort_index() for o in ({}, {"targets": targets, "budget": 0.001})])
+    for a, b in zip(*tables, strict=True):
+        assert np.allclose(a.probability, b.probability, atol=2e-9) and (a.source == b.source).all()
+    assert (b[b.source == "s299"].probability > 0).all() and (b[b.source == "s5"].probability == 0).all()
+
+
 def test_language(docs, empty, spark):
     r = random.Random(2)
     make = lambda letters, i: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(40))
