@@ -5,12 +5,17 @@ nmi: image_id, band, nmi. p-values: test, p.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EULER = 0.57721
+#: Sign flips that one group of rows computes.
+BLOCK = 250
 
 
 def every_other(df: DataFrame, order: str) -> DataFrame:
@@ -27,20 +32,35 @@ def median_by_band(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy("band").agg(F.percentile(value, F.lit(0.5)).alias("median"))
 
 
-def _sign(*parts) -> Column:
-    """1 or -1 by the parity of the first hex digit of the parts' md5."""
-    digit = F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 1), 16, 10).cast("int")
-    return F.when(digit % 2 == 0, 1.0).otherwise(-1.0)
+def _signs(keys: list[str]) -> np.ndarray:
+    """1 or -1 by the parity of the first hex digit of each key's md5."""
+    return np.array([1.0 - (md5(k.encode()).digest()[0] >> 3 & 2) for k in keys])
 
 
-def _rounds(diff: DataFrame, iters: int) -> DataFrame:
-    return diff.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iters))))
+def _blocks(diff: DataFrame, iters: int, *by: str) -> DataFrame:
+    """band, image (text after the iteration in a key), diff, block: every row in each block of iterations, dealt by `by` in a fixed number of tasks, as few rows mean much work."""
+    tasks = int(diff.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    image = F.coalesce(F.concat(F.lit("-"), F.col("image_id").cast("string")), F.lit("")).alias("image")
+    return diff.select("band", image, "diff", F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // BLOCK))).alias("block")).repartition(tasks, *by)
+
+
+def _iterations(block: int, iters: int) -> range:
+    return range(block * BLOCK + 1, min(iters, (block + 1) * BLOCK) + 1)
 
 
 def permutation_test_per_band(diff: DataFrame, iters: int = 10_000) -> DataFrame:
     """test (band), p: share of sign flips whose squared median is greater than the observed one."""
     seen = diff.groupBy("band").agg(F.percentile("diff", F.lit(0.5)).alias("m")).select("band", F.round(F.col("m") * F.col("m"), 12).alias("t0"))
-    flipped = _rounds(diff, iters).groupBy("band", "iter").agg(F.percentile(F.col("diff") * _sign(F.col("band"), F.col("iter"), F.col("image_id")), F.lit(0.5)).alias("m"))
+
+    def medians(pdf: pd.DataFrame) -> pd.DataFrame:
+        band = pdf["band"].iloc[0]
+        rows = pdf.dropna(subset="diff")
+        before, image, value = "" if pd.isna(band) else f"{int(band)}-", rows["image"].tolist(), rows["diff"].to_numpy(float)
+        out = [(band, np.median(value * _signs([f"{before}{i}{x}" for x in image])) if len(value) else None) for i in _iterations(int(pdf["block"].iloc[0]), iters)]
+        return pd.DataFrame(out, columns=["band", "m"])
+
+    kind = diff.schema["band"].dataType.simpleString()
+    flipped = _blocks(diff, iters, "band", "block").groupBy("band", "block").applyInPandas(medians, f"band {kind}, m double")
     t = flipped.select("band", F.round(F.col("m") * F.col("m"), 12).alias("t")).join(F.broadcast(seen), "band")
     return t.groupBy(F.col("band").alias("test")).agg(F.avg((F.col("t") > F.col("t0")).cast("double")).alias("p"))
 
@@ -48,7 +68,20 @@ def permutation_test_per_band(diff: DataFrame, iters: int = 10_000) -> DataFrame
 def permutation_test_global(diff: DataFrame, iters: int = 10_000) -> DataFrame:
     """p of the squared length of the mean difference vector; one sign per image."""
     t0 = diff.groupBy("band").agg(F.avg("diff").alias("m")).agg(F.round(F.sum(F.col("m") * F.col("m")), 12)).scalar()
-    m = _rounds(diff, iters).groupBy("iter", "band").agg(F.avg(F.col("diff") * _sign(F.col("iter"), F.col("image_id"))).alias("m"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, rows in pdf.groupby("block"):
+                image, names = pd.factorize(rows["image"])
+                band, bands = pd.factorize(rows["band"], use_na_sentinel=False)
+                value, n = rows["diff"].to_numpy(float), np.bincount(band)
+                turns = _iterations(int(block), iters)
+                s = [np.bincount(band, value * _signs([f"{i}{x}" for x in names])[image]) for i in turns]
+                yield pd.DataFrame({"iter": np.repeat(turns, len(n)), "band": np.tile(bands, len(turns)), "s": np.concatenate(s), "n": np.tile(n, len(turns))})
+
+    kind = diff.schema["band"].dataType.simpleString()
+    parts = _blocks(diff.where("diff is not null"), iters, "block").mapInPandas(sums, f"iter int, band {kind}, s double, n long")
+    m = parts.groupBy("iter", "band").agg((F.sum("s") / F.sum("n")).alias("m"))
     t = m.groupBy("iter").agg(F.round(F.sum(F.col("m") * F.col("m")), 12).alias("t")).withColumn("t0", t0)
     return t.agg(F.avg((F.col("t") > F.col("t0")).cast("double")).alias("p"))
 

@@ -319,7 +319,7 @@ def pair_methods(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_diffs(spark, d), "diff")
 
 
-ITERS = 50
+ITERS = 10_000
 _SIGN = "case when ('0x' || substr(md5({}), 1, 1))::int % 2 = 0 then 1.0 else -1.0 end"
 _PER_BAND = f"with t0 as (select band, round(quantile_cont(diff, 0.5) * quantile_cont(diff, 0.5), 12) as t0 from diffs group by band), m as (select band, i, quantile_cont(diff * {_SIGN.format("band || '-' || i || '-' || image_id")}, 0.5) as m from diffs, range(1, {ITERS + 1}) r(i) group by band, i), tests as (select band as test, avg(case when round(m * m, 12) > t0 then 1.0 else 0.0 end) as p from m join t0 using (band) group by band)"
 
