@@ -1,9 +1,10 @@
 """Language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies of hashed 1- to 3-grams are counted over all learning documents. The classifier is fitted in one task on a
-bounded sample of labelled documents (PER_LABEL a language, by a hash of the text): follow-the-regularised-leader with
-elastic-net penalties, then a temperature is fitted on the part of the sample that training left out. The fitted model, whose
-size depends on BUCKETS and the number of languages only, goes to every task; prediction reads whole texts and nothing else.
+bounded sample of labelled documents: of each language's distinct texts the first PER_LABEL by hash, fewer where that would be
+more than MOST_SAMPLE in all. It is trained by follow-the-regularised-leader with elastic-net penalties, then a temperature is
+fitted on the part of the sample that training left out. The fitted model, whose size depends on BUCKETS and the number of
+languages only, goes to every task; prediction reads whole texts and nothing else. There is no bound on the number of languages.
 
 Defined results: null text or text without a letter is `und` with score 0; without any labelled document all are `und` with score
 0; rows with null label or null id teach nothing; repeated rows are predicted alike; ties go to the first label in order; an empty
@@ -17,15 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import by_bytes
+from ._common import bounded, by_bytes, stage
 
 BUCKETS = 1 << 15
 #: Bound of the labelled sample, in documents a label.
 PER_LABEL = 500
-MOST_LABELS = 1000
+#: Bound of the whole sample, but for one document a label.
+MOST_SAMPLE = 50_000
 L1, L2, RATE, BETA, EPOCHS = 2e-3, 1e-3, 0.5, 1.0, 4
 UNKNOWN = "und"
 
@@ -52,7 +54,7 @@ def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_labels: int) -> tuple[np.ndarray, float]:
     """Weights (BUCKETS, labels) and temperature; every fifth row is left for the temperature."""
-    z, n = np.zeros((BUCKETS, n_labels)), np.zeros((BUCKETS, n_labels))
+    z, n = np.zeros((BUCKETS, n_labels), np.float32), np.zeros((BUCKETS, n_labels), np.float32)
     left = np.arange(len(rows)) % 5 == 4
 
     def weights(at):
@@ -86,7 +88,7 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     held = F.coalesce(F.crc32(docs[id_col].cast("string")) % 5 == 0, F.lit(True))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[label_col].cast("string").alias("label"), held.alias("held_out"))
     learn = rows.where("not held_out and label is not null and text is not null").select("text", "label")
-    counts = {r["label"]: r["count"] for r in learn.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
+    counts = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
     names = sorted(counts)
     model = _model(learn, counts, names, per_label) if names else None
 
@@ -124,11 +126,10 @@ def _model(learn: DataFrame, counts: dict[str, int], names: list[str], per_label
     df[found["bucket"].to_numpy()] = found["df"].to_numpy()
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
 
-    share = F.lit(0.0)
-    for name in names:
-        share = F.when(F.col("label") == name, per_label / counts[name]).otherwise(share)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    sample = learn.where(draw < share * 1_000_000)
+    keys = learn.select("label", F.xxhash64("text").alias("h")).distinct()
+    first = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    keys = stage(keys.withColumn("nth", first).where(F.col("nth") <= max(1, min(per_label, MOST_SAMPLE // len(names)))).select("label", "h"), "sample")
+    sample = learn.withColumn("h", F.xxhash64("text")).join(bounded(keys), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text")).select("label", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -138,13 +139,13 @@ def _model(learn: DataFrame, counts: dict[str, int], names: list[str], per_label
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         order = pd.util.hash_array(np.array([f"{len(a)}:{x[:8].sum():.6f}" for a, x in zip(rows["at"], rows["x"], strict=True)], object)).argsort(kind="stable")
         rows = rows.iloc[order]
-        labels = np.array([names.index(x) for x in rows["label"]])
+        labels = rows["label"].map({x: i for i, x in enumerate(names)}).to_numpy()
         w, t = fit([(np.asarray(a), np.asarray(x, float)) for a, x in zip(rows["at"], rows["x"], strict=True)], labels, len(names))
         at, k = np.nonzero(w)
         return pd.DataFrame({"bucket": np.append(at, -1).astype(np.int32), "label": np.append(k, -1).astype(np.int32), "weight": np.append(w[at, k], t)})
 
     got = sample.mapInArrow(vectors, "label string, at array<int>, x array<float>").groupBy().applyInPandas(fitted, "bucket int, label int, weight double").toPandas()
-    w = np.zeros((BUCKETS, len(names)))
+    w = np.zeros((BUCKETS, len(names)), np.float32)
     inner = got[got["bucket"] >= 0]
     w[inner["bucket"], inner["label"]] = inner["weight"]
     t = got.loc[got["bucket"] < 0, "weight"]

@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing.
 
-Documents are cut in pieces of at most `capacity` and dealt by hash into shards of about `shard_rows` pieces, so that a hot
-source or a large group of copies is spread over all shards. In a shard pieces go by falling length to the open bin with
+Documents are cut in pieces of at most `capacity` and dealt by hash of id and piece into shards of about `shard_rows` pieces, so
+that a hot source or a large group of copies is spread over all shards; rows of an id that alone would crowd a shard (null ids,
+repeated rows) are dealt by their place in the staged table besides. In a shard pieces go by falling length to the open bin with
 the least residual that holds them: bins are ordered by residual and carry bitmaps of their sources and duplicate clusters,
 and the search goes on to the next larger residual until neither bitmap has the piece's bit. Without such a bin a new one
 is opened. No bin holds two documents of one source or of one cluster. Each shard leaves its own open bins.
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANK_RUN, BLANKS, or_empty, stage
+from ._common import BLANK_RUN, BLANKS, bounded, or_empty, stage
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -59,7 +60,9 @@ def best_fit_packing(docs: DataFrame, length: Column, *, id_col: str = "doc_id",
     pieces = pieces.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("start")))
     n = rows.agg(F.sum(F.greatest(F.ceil(F.col("total") / capacity), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-n // shard_rows))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
+    hot = stage(rows.groupBy(F.xxhash64("id").alias("key")).count().where(F.col("count") > shard_rows // 8).select("key", F.lit(True).alias("hot")), "hot")
+    pieces = pieces.withColumn("key", F.xxhash64("id")).withColumn("place", F.monotonically_increasing_id()).join(bounded(hot), "key", "left")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece", F.when(F.col("hot"), F.col("place"))), F.lit(shards)).cast("int")).drop("key", "place", "hot")
 
     def pack(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)

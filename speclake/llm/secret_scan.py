@@ -6,15 +6,20 @@ characters is kept up by incremental counts (one character in, one out), and a c
 reaches its class's threshold is a secret unless the allow-list names it or a base span overlaps it. Paths and slugs in lower
 case are judged part by part, each as a candidate of its own: the whole of one is a secret if one of its parts is.
 
-Positions are code points, end exclusive. Defined results: null or empty text has no spans; repeated rows are scanned each;
+Every step is linear in the text and its matches but for a factor of their logarithm: positions are running sums and overlaps
+running maxima, both by doubling steps over arrays, and redaction reads the text in chunks. Positions are code points, end
+exclusive. Defined results: null or empty text has no spans; repeated rows are scanned each;
 an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bands import let
 from ._common import or_empty
 
 
@@ -48,7 +53,8 @@ PARTED = r"^(?=.*/)/?[a-z]+[a-z0-9]*(/[a-z0-9._-]+)*/?$|^[a-z0-9]+([_-][a-z0-9]+
 #: What the SQL allows besides, whole: it misses lower-case keys that start with a letter or hold separators.
 SQL_ALLOWED = (r"^(/?[a-z]+[a-z0-9]*)(/[a-z0-9._-]+)*/?$", r"^[a-z0-9]+([_-][a-z0-9]+)+$")
 REDACTED = "[SECRET]"
-SPANS = "array<struct<start:int,end:int,kind:int>>"
+CHUNK = 1024
+NAMED = "array<struct<start:int,end:int,kind:int,s:string>>"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -57,39 +63,40 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(hit, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("s"), F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap")))
 
 
-def _starts(found: str) -> Column:
-    """Start of each match: what precedes it, summed up."""
-    step = lambda acc, i: F.struct(
-        F.concat(acc["at"], F.array(acc["end"] + F.get(f"{found}.gap", i))).alias("at"),
-        (acc["end"] + F.get(f"{found}.gap", i) + F.length(F.get(f"{found}.s", i))).alias("end"),
-    )
-    zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("end"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(f"{found}.s") - 1), zero, step, lambda acc: acc["at"])
+def running(values: Column, plus) -> Column:
+    """The running result of `plus` (sum, greatest) over an array, by steps of doubling length."""
+    count = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)).cast("double"))).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), count), lambda k: F.pow(F.lit(2), k).cast("int"))
+    one = lambda acc, d: F.transform(acc, lambda v, i: F.when(i >= d, plus(v, F.get(acc, i - d))).otherwise(v))
+    return F.aggregate(steps, values, one)
 
 
 def _spans(found: str, kind: int) -> Column:
-    return F.transform(F.arrays_zip(F.col(f"{found}.at").alias("at"), F.col(f"{found}.s").alias("s")), lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["s"])).alias("end"), F.lit(kind).alias("kind")))
+    """(start, end, kind, s) of each match, in order: what precedes it is summed up."""
+    parts = F.zip_with(f"{found}.gap", f"{found}.s", lambda gap, m: F.struct(gap.alias("gap"), m.alias("s")))
+    parts = F.filter(parts, lambda x: x["s"].isNotNull())
+    ends = lambda q: running(F.transform(q["parts"], lambda x: x["gap"] + F.length(x["s"])), lambda a, b: a + b)
+    both = let(lambda q: F.zip_with(q["parts"], ends(q), lambda x, e: F.struct((e - F.length(x["s"])).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), x["s"].alias("s"))), parts=parts)
+    return F.when(F.col(found).isNotNull(), both).otherwise(F.array().cast(NAMED))
 
 
 def highest_entropy(candidate: Column) -> Column:
-    """The highest Shannon entropy, in bits, of WINDOW consecutive characters, by counts kept up from window to window."""
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - 32)
-    bits = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
-
-    def step(acc: Column, x: Column) -> Column:
-        grown = F.transform(acc["n"], lambda v, k: v + (k == x["new"]).cast("int"))
-        n_in = F.get(acc["n"], x["new"])
-        after = F.struct(grown.alias("n"), (acc["s"] - bits(n_in) + bits(n_in + 1)).alias("s"))
-        n_out = F.get(acc["n"], x["old"]) + (x["old"] == x["new"]).cast("int")
-        s = after["s"] - F.when(x["old"].isNull(), 0.0).otherwise(bits(n_out) - bits(n_out - 1))
-        n = F.when(x["old"].isNull(), after["n"]).otherwise(F.transform(after["n"], lambda v, k: v - (k == x["old"]).cast("int")))
-        full = F.when(x["i"] >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - s / WINDOW).otherwise(0.0)
-        return F.struct(n.alias("n"), s.alias("s"), F.greatest(acc["best"], full).alias("best"))
-
-    zero = F.struct(F.array_repeat(F.lit(0), 96).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-    before = F.concat(F.array_repeat(F.lit(None).cast("int"), WINDOW), codes)
-    moves = F.transform(F.arrays_zip(codes.alias("new"), before.alias("old")), lambda x, i: F.struct(x["new"].alias("new"), x["old"].alias("old"), i.alias("i")))
-    return F.aggregate(F.filter(moves, lambda x: x["new"].isNotNull()), zero, step, lambda acc: acc["best"])
+    """The highest Shannon entropy, in bits, of WINDOW consecutive characters; counts change by one character in, one out."""
+    bits = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 2)])
+
+    def best(q: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            rest = F.slice(q["codes"], F.greatest(i - WINDOW + 1, F.lit(0)) + 1, F.least(i, F.lit(WINDOW - 1)))  # what both windows share
+            n = lambda c: F.size(rest) - F.size(F.array_remove(rest, c))
+            gain = lambda c: let(lambda x: F.get(q["bits"], x["n"] + 1) - F.get(q["bits"], x["n"]), n=n(c))
+            lost = F.when(i >= WINDOW, gain(F.get(q["codes"], i - WINDOW))).otherwise(0.0)
+            s = acc["s"] - lost + gain(F.get(q["codes"], i))
+            return let(lambda x: F.struct(x["s"].alias("s"), F.greatest(acc["best"], F.when(i >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - x["s"] / WINDOW).otherwise(0.0)).alias("best")), s=s)
+
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(q["codes"]) - 1), zero, step, lambda acc: acc["best"])
+
+    return let(best, codes=F.transform(F.split(candidate, ""), lambda c: F.ascii(c)), bits=bits)
 
 
 def _allowed(s: Column) -> Column:
@@ -111,19 +118,25 @@ def _suspicious(s: Column) -> Column:
     return F.when(_allowed(s), False).otherwise(F.exists(parts, _random))
 
 
+def _free(base: Column, runs: Column) -> Column:
+    """The runs that no base span overlaps: base spans by start and runs by end in one order, with the running maximum of base ends."""
+    event = lambda key, run, x, reach, s: F.struct(key.alias("key"), F.lit(run).alias("run"), x["start"].alias("start"), x["end"].alias("end"), reach.alias("reach"), s.alias("s"))
+    events = F.concat(F.transform(base, lambda x: event(x["start"], 1, x, x["end"], F.lit(None).cast("string"))), F.transform(runs, lambda x: event(x["end"], 0, x, F.lit(-1), x["s"])))
+    far = lambda q: F.zip_with(q["events"], running(F.transform(q["events"], lambda x: x["reach"]), F.greatest), lambda x, r: F.when((x["run"] == 0) & (r <= x["start"]), F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(len(KINDS)).alias("kind"), x["s"].alias("s"))))
+    return F.filter(let(far, events=F.sort_array(events)), lambda x: x.isNotNull())
+
+
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """row: the document; base: its base spans in order; spans: all spans in order. Spans are (start, end, kind's number)."""
     t = docs.select(F.struct("*").alias("row"), or_empty(docs[text_col]).alias("t"))
     text = F.col("t")
     t = t.select("row", *[_found(text, p).alias(k) for k, p in SCANNED.items()], F.when(F.regexp_like(text, F.lit(SCANNED["assign"])), F.regexp_extract_all(text, F.lit(SCANNED["assign"]), F.lit(2))).alias("values"), _found(text, CANDIDATE).alias("entropy"))
-    names = [*KINDS, "entropy"]
-    for k in names:
-        t = t.withColumn(k, F.when(F.col(k).isNotNull(), F.struct(F.col(f"{k}.s").alias("s"), _starts(k).alias("at"))))
-    none = F.array().cast(SPANS)
-    by = [F.coalesce(_spans(k, i), none) for i, k in enumerate(names)]
-    by[0] = F.coalesce(F.filter(_spans("assign", 0), lambda x, i: F.length(F.get("values", i)) >= LEAST["assign"]), none)
-    t = t.select("row", F.sort_array(F.concat(*by[: len(KINDS)])).alias("base"), by[-1].alias("runs"), F.col("entropy.s").alias("strings"))
-    t = t.select("row", "base", F.filter("runs", lambda x, i: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & _suspicious(F.get("strings", i))).alias("more"))
+    plain = lambda spans: F.transform(spans, lambda x: x.dropFields("s"))
+    by = [_spans(k, i) for i, k in enumerate(KINDS)]
+    by[0] = F.filter(F.zip_with(by[0], F.coalesce("values", F.array().cast("array<string>")), lambda x, v: F.when(F.length(v) >= LEAST["assign"], x)), lambda x: x.isNotNull())
+    t = t.select("row", F.sort_array(plain(F.concat(*by))).alias("base"), _spans("entropy", len(KINDS)).alias("runs"))
+    free = F.when((F.size("base") > 0) & (F.size("runs") > 0), let(lambda q: _free(q["base"], q["runs"]), base=F.col("base"), runs=F.col("runs"))).otherwise(F.col("runs"))
+    t = t.select("row", "base", plain(F.filter(free, lambda x: _suspicious(x["s"]))).alias("more"))
     return t.select("row", "base", F.when(F.size("more") > 0, F.sort_array(F.concat("base", "more"))).otherwise(F.col("base")).alias("spans"))
 
 
@@ -139,20 +152,34 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return t.select(F.col("row.id").alias(id_col), *[n(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), n(len(KINDS), "spans").alias("n_entropy"))
 
 
+def _without(body: Column, spans: Column) -> Column:
+    """The text with each group of overlapping spans replaced by REDACTED. Pieces are cut from chunks of CHUNK characters."""
+
+    def piece(q: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / CHUNK).cast("int")
+        near = F.array_join(F.slice(q["chunks"], first + 1, F.floor((b - 1) / CHUNK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(near, a - first * CHUNK + 1, b - a)).otherwise("")
+
+    def cut(q: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(q["reach"], i - 1), F.lit(0))
+        heads = F.transform(q["spans"], lambda x, i: F.when((i == 0) | (x["start"] >= before(i)), F.struct(before(i).alias("a"), x["start"].alias("b"))))
+        pieces = F.transform(F.filter(heads, lambda h: h.isNotNull()), lambda h: F.concat(piece(q, h["a"], h["b"]), F.lit(REDACTED)))
+        last = F.element_at(q["reach"], -1)
+        return F.concat(F.array_join(pieces, ""), piece(q, last, q["n"]))
+
+    chunks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    reach = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+    return let(cut, chunks=chunks, spans=spans, reach=reach, n=F.length(body))
+
+
 def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The documents with every span (overlapping ones together) replaced by REDACTED, and their length put right."""
     t = scanned(docs, text_col)
-    body = F.col(f"row.{text_col}")
-    step = lambda acc, x: F.struct(
-        F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(F.substring(body, acc["at"] + 1, x["start"] - acc["at"]), F.lit(REDACTED))).otherwise("")).alias("out"),
-        F.greatest(acc["at"], x["end"]).alias("at"),
-    )
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    t = t.select("row", F.when(F.size("spans") > 0, clean).alias("clean"))
-    changed = {text_col: F.coalesce("clean", f"row.{text_col}")}
+    clean = F.when(F.size("spans") > 0, _without(F.col(f"row.`{text_col}`"), F.col("spans")))
+    t = t.select("row", clean.alias("clean"))
+    changed = {text_col: F.coalesce("clean", f"row.`{text_col}`")}
     if length_col in docs.columns:
-        changed[length_col] = F.when(F.col("clean").isNotNull(), F.length("clean").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.{length_col}"))
+        changed[length_col] = F.when(F.col("clean").isNotNull(), F.length("clean").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.`{length_col}`"))
     return t.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
