@@ -1,20 +1,28 @@
 """Main-text extraction with a site style tree.
 
-Every page is parsed to a tree. Its nodes, keyed by their path of tags and classes, are merged by host: for each path the pages
-that have it are counted by presentation (the sequence of child tags) and by content (the text below). The importance of a node is
-the larger of the two entropies, to the base of its number of pages: 0 where all pages look and say the same, 1 where all differ.
-Nodes of little importance that enough pages of the host share are template and are removed from each page, inside the main element
-too. There pages whose main elements say the same count once, so that copies of a page don't make its text template, and only
-blocks are removed: markup in a line belongs to its block. The main element itself stays. Elements whose tag, role, class or id marks them as no content are removed too, and text is taken from the page's
-main element (article, main), or from the body where there is none.
-
-Defined results: null or empty html gives an empty text; a page without host is judged by its own marks only; repeated rows are
-extracted each and count each; an empty table gives an empty result; other columns are ignored.
+Every page is parsed to a tree, in time and memory linear in its length. Its nodes, keyed by their path of tags and names, are
+merged by host. For each path the pages that have it are counted by presentation (the kinds of child elements) and by content (the
+texts below). Both give entropies, to the base of the number of pages: 0 where all pages look or say the same, 1 where all differ.
+The composite importance of a node is (1 - DAMPING**l) * entropy of its l presentations + DAMPING**l * the content entropy of the
+pages of each presentation, weighted by their share. Branches of little importance that enough pages of the host share are
+template and are removed from each page, inside the main element too. There pages whose main elements say the same count once, so
+that copies of a page don't make its text template, and only blocks are removed: markup in a line belongs to its block. The main
+element itself stays.
+
+Text is taken from the page's main elements (article, main), or from the body where there is none. Without need of the tree go:
+elements that are no content by their tag, those that are hidden, and those named by class, id or role as something else in words
+of FRAME and ELSE only (`comment-list`, but not `comment-on-the-law`). A name that only holds such a word (`entry-header`,
+`related-work`) is no reason by itself: such a branch goes if the tree calls it template or if most of its text is in links.
+
+Defined results: null or empty html gives an empty text; a broken page gives the text of what can be read; a page without host is
+judged by its own names only; repeated rows are extracted each and count each; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,90 +35,149 @@ from ._common import SALTED, by_bytes, stage
 
 #: A node is template from so many pages and so large a share of its host's pages on, and up to this importance.
 LEAST_PAGES, LEAST_SHARE, MOST_IMPORTANCE = 5, 0.1, 0.3
+DAMPING = 0.9
 MOST_BROADCAST = 20_000
+#: A branch whose name holds a word of ELSE goes if at least this share of its text is in links.
+LINKED = 0.6
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head script style noscript template svg math iframe object canvas audio video".split())
 ASIDE = set("nav footer aside form menu dialog button select textarea".split())
 MAIN = {"article", "main"}
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = (set("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp select small span strike strong sub sup textarea time tt u var wbr".split()) | VOID | HIDDEN) - {"hr"}
 #: Elements that end an open paragraph.
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of the same kind, up to the container.
 ENDS_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Words of class, id or role that mark an element as no content.
-MARKS = set("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted promotion related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget complementary contentinfo discussion alert".split())
+P_WALLS = MAIN | {"div", "section", "td", "li", "body", "blockquote"}
+#: Words of class, id or role for what is no content, and words that may stand beside them.
+ELSE = set("ad ads advert advertisement advertisements advertising adverts alert alertdialog banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies dialog discussion disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply respond responses search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+FRAME = set("area articles bar block body bottom box buttons button center column container content fixed form global icons inner item items left level link links list lists main outer page panel popup posts primary reader readers region right secondary section site slot stories sub sticky thread top user users wrap wrapper wide x".split())
+#: These name the head and foot of an article inside it.
+OWN = {"header", "footer"}
+CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BLANK = re.compile(r"\s+")
-WORDS = re.compile(r"[A-Za-z]+")
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "parent")
+    __slots__ = ("tag", "names", "hidden", "children", "parent", "chars", "linked", "says", "holds_main")
 
-    def __init__(self, tag: str, names: str, parent: Node | None):
-        self.tag, self.names, self.parent, self.children = tag, names, parent, []
+    def __init__(self, tag: str, names: str, hidden: bool, parent: Node | None):
+        self.tag, self.names, self.hidden, self.parent, self.children = tag, names, hidden, parent, []
+        self.chars = self.linked = self.says = 0
+        self.holds_main = False
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", "", None)
+        self.root = self.at = Node("", "", False, None)
+        self.open: Counter[str] = Counter()
+
+    def _leave(self, to: Node) -> None:
+        while self.at is not to:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
-            self._close({"p"}, MAIN | {"div", "section", "td", "li", "body", "blockquote"})
+            self._close({"p"}, P_WALLS)
         if tag in ENDS_SAME:
             self._close({"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}, ENDS_SAME[tag])
-        names = " ".join(f"{v}" for k, v in attrs if k in ("class", "id", "role") and v)
-        node = Node(tag, names, self.at)
+        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+        hidden = any(k == "hidden" or k == "style" and v and CONCEALED.search(v) for k, v in attrs)
+        node = Node(tag, names, hidden, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.at.parent
+            self._leave(self.at.parent)
 
     def _close(self, tags, walls):
+        if not any(self.open[t] for t in tags):
+            return
         node = self.at
         while node.parent is not None and node.tag not in walls:
             if node.tag in tags:
-                self.at = node.parent
+                self._leave(node.parent)
                 return
             node = node.parent
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         node = self.at
-        while node.parent is not None and node.tag != tag:
+        while node.tag != tag:
             if node.tag in MAIN | {"body"} and tag in INLINE | {"p"}:
                 return
             node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        self._leave(node.parent)
 
     def handle_data(self, data):
         self.at.children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
+
+def _walk(root: Node) -> list[Node]:
+    """All elements, parents first."""
+    out = [root]
+    for node in out:
+        out += [c for c in node.children if isinstance(c, Node)]
+    return out
+
 
 def parse(html: str) -> Node:
+    """The tree; each node knows the characters below it, those in links, a digest of the texts below and whether it holds a main element."""
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    for node in reversed(_walk(builder.root)):
+        for c in node.children:
+            if isinstance(c, Node):
+                if c.tag not in HIDDEN:
+                    node.chars += c.chars
+                    node.linked += c.chars if c.tag == "a" else c.linked
+                    node.says = (node.says + c.says) & (1 << 62) - 1
+                node.holds_main |= c.holds_main or c.tag in MAIN
+            elif not c.isspace():
+                node.chars += len(c)
+                node.says = (node.says + xxhash.xxh64_intdigest(c)) & (1 << 62) - 1
     return builder.root
 
 
-def _no_content(node: Node) -> bool:
-    if node.tag in HIDDEN or node.tag in ASIDE:
+def _named(names: str, inside: bool) -> str:
+    """`else` if a name says in full that this is no content, `maybe` if one holds such a word, or ``."""
+    out = ""
+    for name in names.split():
+        parts = [x.lower() for x in WORDS.findall(name)]
+        if any(x in ELSE for x in parts):
+            if all(x in ELSE or x in FRAME for x in parts) and not (inside and OWN & set(parts)):
+                return "else"
+            out = "maybe"
+    return out
+
+
+def _no_content(node: Node, inside: bool, template: bool) -> bool:
+    """inside: within a main element."""
+    if node.hidden or node.tag in HIDDEN:
         return True
+    if node.tag in ASIDE:
+        return not (node.tag == "form" and node.holds_main)
     if node.tag == "header":
-        above = node.parent
-        while above is not None and above.tag not in MAIN:
-            above = above.parent
-        return above is None
-    if node.tag in MAIN or node.tag in ("body", "html"):
+        return not inside
+    if node.tag in ("main", "body", "html"):
         return False
-    return any(w in MARKS for w in (x.lower() for x in WORDS.findall(node.names)))
+    named = _named(node.names, inside) if node.names else ""
+    if named == "else":
+        return not (node.holds_main and node.tag not in MAIN)
+    return named == "maybe" and node.tag not in MAIN and not node.holds_main and (template or node.linked >= LINKED * max(1, node.chars))
 
 
 def _path(above: int, node: Node) -> int:
@@ -119,47 +186,35 @@ def _path(above: int, node: Node) -> int:
 
 def style_nodes(root: Node) -> list[tuple[int, int, int, int | None]]:
     """(path, presentation, content, whole) of a page's element nodes; nodes of one path count together. whole: content of the main elements, null outside."""
-    looks: dict[int, list[str]] = {}
-    says: dict[int, list[str]] = {}
-    mains: set[int] = set()
+    looks: dict[int, dict[str, None]] = {}
+    says: dict[int, int] = {}
     within: set[int] = set()
-
-    def walk(node: Node, path: int) -> None:
-        stack = [(node, path, [path], False)]
-        while stack:
-            node, path, above, inside = stack.pop()
-            if inside:
-                within.add(path)
-            elif node.tag in MAIN:
-                mains.add(path)
-                inside = True
-            looks.setdefault(path, []).append(",".join(dict.fromkeys(c.tag for c in node.children if isinstance(c, Node))))
-            for c in reversed(node.children):
-                if isinstance(c, Node):
-                    if c.tag not in HIDDEN:
-                        p = _path(path, c)
-                        stack.append((c, p, [*above, p], inside))
-                elif not c.isspace():
-                    for p in above:
-                        says.setdefault(p, []).append(c)
-
-    walk(root, 0)
-    digest = lambda parts: xxhash.xxh64_intdigest("\n".join(parts)) >> 1
-    whole = digest(sorted(t for p in mains for t in says.get(p, ())))
-    return [(p, digest(dict.fromkeys(x)), digest(sorted(says.get(p, ()))), whole if p in within else None) for p, x in looks.items()]
+    whole = 0
+    stack = [(root, 0, False)]
+    while stack:
+        node, path, inside = stack.pop()
+        if inside:
+            within.add(path)
+        elif node.tag in MAIN:
+            inside = True
+            whole = (whole + node.says) & (1 << 62) - 1
+        looks.setdefault(path, {})[",".join(dict.fromkeys(c.tag for c in node.children if isinstance(c, Node)))] = None
+        says[path] = (says.get(path, 0) + node.says) & (1 << 62) - 1
+        stack += [(c, _path(path, c), inside) for c in reversed(node.children) if isinstance(c, Node) and c.tag not in HIDDEN]
+    return [(p, xxhash.xxh64_intdigest("\n".join(x)) >> 1, says[p], whole if p in within else None) for p, x in looks.items()]
 
 
 def extract(root: Node, template: set[int]) -> str:
-    """The text of the blocks of the main element, without the branches in `template`."""
+    """The text of the blocks of the main elements, without the branches in `template`."""
     mains: list[tuple[Node, int]] = []
     stack = [(root, 0)]
     while stack:
         node, path = stack.pop()
-        if node.tag in MAIN and not _no_content(node):
-            inner = [(c, _path(path, c)) for c in node.children if isinstance(c, Node) and c.tag == "article"] if node.tag == "main" else []
+        if node.tag in MAIN:
+            inner = [(c, _path(path, c)) for c in node.children if isinstance(c, Node) and c.tag == "article" and not _no_content(c, True, False)] if node.tag == "main" else []
             mains += inner or [(node, path)]
             continue
-        stack += [(c, _path(path, c)) for c in reversed(node.children) if isinstance(c, Node) and not _no_content(c)]
+        stack += [(c, _path(path, c)) for c in reversed(node.children) if isinstance(c, Node) and not _no_content(c, False, False)]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -184,10 +239,9 @@ def extract(root: Node, template: set[int]) -> str:
                 line.append(" ")
                 continue
             block = node.tag not in INLINE
-            if node is not top and _no_content(node):
-                continue
-            if path in template and not (mains and (node is top or not block)):
-                if mains:
+            dull = path in template and node is not top and (block or not mains)
+            if node is not top and _no_content(node, bool(mains), dull) or dull:
+                if block:
                     flush()
                 continue
             if block:
@@ -201,15 +255,13 @@ def extract(root: Node, template: set[int]) -> str:
 
 def importance(nodes: DataFrame) -> DataFrame:
     """host, path, pages, importance. nodes: host, path, look, say, whole. Nodes with a whole count once for each."""
-
-    def entropy(what: str) -> DataFrame:
-        n = nodes.groupBy("host", "path", what).agg((F.count_if(F.col("whole").isNull()) + F.count_distinct("whole")).alias("n"))
-        total = n.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-        h = F.when(F.col("pages") > 1, F.log("pages") - F.col("nlogn") / F.col("pages")).otherwise(1.0)
-        return total.select("host", "path", "pages", (h / F.when(F.col("pages") > 1, F.log("pages")).otherwise(1.0)).alias(f"h_{what}"))
-
-    both = entropy("look").join(entropy("say").drop("pages"), ["host", "path"])
-    return both.select("host", "path", "pages", F.greatest("h_look", "h_say").alias("importance"))
+    entropy = lambda n, n_log_n: F.when(n > 1, (F.log(n) - n_log_n / n) / F.log(n)).otherwise(1.0)
+    each = lambda n: F.sum(F.col(n) * F.log(n))
+    n = nodes.groupBy("host", "path", "look", "say").agg((F.count_if(F.col("whole").isNull()) + F.count_distinct("whole")).alias("n"))
+    looks = n.groupBy("host", "path", "look").agg(F.sum("n").alias("m"), entropy(F.sum("n"), each("n")).alias("said"))
+    paths = looks.groupBy("host", "path").agg(F.sum("m").alias("pages"), F.count("*").alias("l"), entropy(F.sum("m"), each("m")).alias("shown"), (F.sum(F.col("m") * F.col("said")) / F.sum("m")).alias("said"))
+    damped = F.pow(F.lit(DAMPING), F.col("l"))
+    return paths.select("host", "path", "pages", ((1 - damped) * F.col("shown") + damped * F.col("said")).alias("importance"))
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -309,6 +309,79 @@ def test_html_repeats_inside_main(spark):
     assert out[21] == "T 1\n\nSend this on\n\nNote a1\n\nb1"  # on too few pages
 
 
+def brute_html(rows):
+    """The extraction of whole pages with the site style tree in plain dictionaries."""
+    hosts = {}
+    for i, url, html in rows:
+        m = re.match("[a-z]+://([^/]+)", url or "")
+        hosts.setdefault(m[1] if m else None, []).append(i)
+    tree = {i: html_extract.parse(h or "") for i, _, h in rows}
+    out = {}
+    for host, ids in hosts.items():
+        seen = {}
+        for i in ids if host else []:
+            for path, look, say, whole in html_extract.style_nodes(tree[i]):
+                seen.setdefault(path, []).append((look, say, ("page", i) if whole is None else whole))
+        template = set()
+        for path, entries in seen.items():
+            counts = {}
+            for look, say, unit in entries:
+                counts.setdefault(look, {}).setdefault(say, set()).add(unit)
+            h = lambda ns: 1.0 if sum(ns) == 1 else -sum(n / sum(ns) * np.log(n / sum(ns)) for n in ns) / np.log(sum(ns))
+            says = [[len(u) for u in by.values()] for by in counts.values()]
+            m = [sum(x) for x in says]
+            damped = html_extract.DAMPING ** len(m)
+            score = (1 - damped) * h(m) + damped * sum(a * h(x) for a, x in zip(m, says, strict=True)) / sum(m)
+            if sum(m) >= html_extract.LEAST_PAGES and sum(m) >= html_extract.LEAST_SHARE * len(ids) and score <= html_extract.MOST_IMPORTANCE:
+                template.add(path)
+        out |= {i: html_extract.extract(tree[i], template) for i in ids}
+    return out
+
+
+PARTS = ["<p>{0}</p>", "<div class=note>same</div>", "<section class=entry-header><h2>{0}</h2></section>", "<div class='related-work'>{0} <a href=x>y</a></div>", "<div class=box><p>same</p><p>{1}</p></div>", "<ul class=x><li>{0}<li>b</ul>", "<div class='comment-list'>{0}</div>", "<p>a <b class=z>same</b> {0}"]
+
+
+def test_html_brute_force(spark):
+    r = random.Random(21)
+    rows = []
+    for i in range(160):
+        body = "".join(p.format(i, i % 3) for p in PARTS if r.random() < 0.7)
+        body = f"<article>{body}</article>" if i % 4 else body
+        rows.append((i, f"https://h{i % 5}.example/{i}" if i % 31 else None, f"<body><div class=top><span>same</span></div>{body}<div id=end>foot {i % 2}</div>"))
+    rows += [(500 + i, "https://h1.example/x", rows[1][2]) for i in range(20)]
+    got = {x["page_id"]: x["text"] for x in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == brute_html(rows)
+    alone = {i: html_extract.extract(html_extract.parse(h), set()) for i, _, h in rows}
+    assert sum(got[i] != alone[i] for i in got) > 50  # what the tree decides
+
+
+def test_html_marks():
+    text = lambda html: html_extract.extract(html_extract.parse(html), set())
+    main = "<article><h1>T</h1><p>a</p>{}<p>z</p></article>"
+    for gone in (
+        "<article class='comment'>no</article>", "<div class='comment-list'>no</div>", "<section id=comments><p>no</p></section>", "<div hidden>no</div>", "<div style='display: none'>no</div>", "<p class='cookie-notice'>no</p>",
+        "<div class=adSlot>no</div>", "<div role=navigation>no</div>", "<div class='share-buttons'>no</div>", "<form><input>no</form>", "<aside>no</aside>", "<div class='related-items-list'><a href=x>no</a> <a href=y>no</a></div>", "<footer>no</footer>", "<button>no</button>", "<![ y", "<script>no</script>",
+    ):
+        assert text(main.format(gone)) in ("T\n\na\n\nz", "T\n\na"), gone
+    for kept in ("<div class='entry-header'><h2>yes</h2></div>", "<section id='related-work'>yes</section>", "<p class='search-results-note'>yes</p>", "<header>yes</header>", "<div class=header>yes</div>", "<div class='commentary'>yes</div>", "<![CDATA[x]]>yes"):
+        assert text(main.format(kept)).replace("]]>", "") in ("T\n\na\n\nyes\n\nz",), kept
+    assert text("<body><form><main class=has-sidebar><p>in</p></main></form><header>no</header><div class=site-header>no</div>") == "in"
+    assert text("<p>one<aside>no</aside>two &amp; <b>three</b><br>x<p>four<hr>five") == "one\n\ntwo & three x\n\nfour\n\nfive"
+    assert text("<div>" * 50_000 + "deep" + "</div>" * 50_000 + "<b>" * 50_000 + "x" + "<p>y" * 20_000).startswith("deep")
+    r = random.Random(4)
+    for _ in range(2000):  # broken pages
+        html = "".join(r.choice(["<", ">", "<!", "<![", "--", "]]>", "&", "&#x", "<p", "<article", "</", " a", "='", '"', "<script>", "<?", "é", "</div>", "<title>", "\n"]) for _ in range(r.randint(1, 25)))
+        root = html_extract.parse(html)
+        html_extract.style_nodes(root), html_extract.extract(root, set())
+
+
+def test_html_columns(spark):
+    cols = "page_id string, url string, html string, host string, text string, template string, path string, n_chars long"
+    rows = [("a", "https://h.example/1", "<main>x</main>", "h", "t", "t", "p", 1)] * 3 + [(None, None, "<p>" + "long text " * 300_000, "h", None, "t", "p", 1)]
+    got = [(x["page_id"], x["n_chars"]) for x in html_extract.main_text(spark.createDataFrame(rows, cols)).collect()]
+    assert sorted(got, key=str) == [("a", 1)] * 3 + [(None, 2_999_999)]
+
+
 def test_nearest(spark):
     r = np.random.default_rng(1)
     v = r.normal(size=(1500, 16)).astype(np.float32)
