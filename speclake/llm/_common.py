@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
+#: Bytes of a row group of staged tables, which a writing task holds in memory.
+ROW_GROUP = 32 << 20
 #: Parts into which a hot key is split in joins with tables too large to broadcast.
 SALTED = 16
 #: Odd multiplier of the polynomial hashes and its inverse modulo 2**64.
@@ -43,10 +45,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(staged: DataFrame) -> None:
+    """Delete the files of a staged table that nothing to come reads."""
+    hadoop = staged.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = hadoop.Path(folder)
+        path.getFileSystem(staged.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
     """A staged table of narrow rows, to be broadcast if it has at most `most` rows; a join with a larger one shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

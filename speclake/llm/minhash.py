@@ -7,9 +7,11 @@
    similarity must reach SURE_BELOW (more than five standard deviations under the threshold).
 4. Pairs that are left are confirmed on the full sets. Confirmed links give components.
 5. A bucket whose members, without its hub, still lie in different components is unresolved. Unresolved buckets that share
-   members form families; a family is cut in blocks, each pair of blocks is compared on the full sets inside one task, and only
-   a spanning forest of the links between different components comes out. So every pair that shares a bucket is confirmed,
-   refuted or already connected; then components are joined.
+   members form families. A family of more than one block is split first, by the packed minima alone: the members of each of its
+   buckets are compared in pairs of blocks, and what reaches SURE_BELOW across components makes the new, smaller families. Then
+   texts move: a family is cut in blocks, each pair of blocks is compared on the full sets inside one task, and only a spanning
+   forest of the links between different components comes out. So every pair that shares a bucket is confirmed, refuted or
+   already connected; then components are joined.
 
 A pair at the threshold of 0.8 shares no bucket with probability (1 - 0.8**4)**32, about 5e-8.
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, by_bytes, mix, prefix_hashes, span_hashes, stage, utf8, word_spans
+from ._common import bounded, by_bytes, mix, prefix_hashes, release, span_hashes, stage, utf8, word_spans
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
@@ -38,6 +40,8 @@ SURE_BELOW = 0.6
 HUBS = 4
 #: A block of a family holds about so many texts and shingles at most.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 2_000_000
+#: A block of a bucket holds about so many packed signatures.
+BLOCK_PLANES = 2048
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -135,8 +139,10 @@ def components(links: DataFrame) -> DataFrame:
         least = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("label").alias("far"))
         step = stage(least.join(jump, "least", "left").select("node", F.col("label").alias("was"), F.least("least", F.coalesce("far", "least")).alias("label")), "labels")
+        release(labels)
         labels = step.select("node", "label")
         if step.where("was <> label").isEmpty():
+            release(edges)
             return labels
 
 
@@ -198,21 +204,63 @@ def _forest(words: int, percent: int):
     return run
 
 
+def _likely(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Stars (a, b) that connect the rows of two blocks of a bucket whose estimates reach SURE_BELOW across labels."""
+    i, j = key[-2:]
+    rows = rows.sort_values("node", kind="stable")
+    planes = np.stack(rows["planes"]).astype(np.int64).view(np.uint64)
+    mine, label, node = rows["block"].to_numpy(), rows["label"].to_numpy(), rows["node"].to_numpy()
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    lanes = HASHES // 64
+    equal = np.full((len(left), len(right)), HASHES, np.int16)
+    for k in range(lanes):
+        differ = np.zeros(equal.shape, np.uint64)
+        for p in range(k, B_BITS * lanes, lanes):
+            differ |= planes[left, p][:, None] ^ planes[right, p][None, :]
+        equal -= np.bitwise_count(differ).astype(np.int16)
+    chance = 2.0**-B_BITS
+    near = ((equal / HASHES - chance) / (1 - chance) >= SURE_BELOW) & (label[left][:, None] != label[right][None, :])
+    first, n = np.arange(len(rows)), len(rows)
+    while True:
+        old = first.copy()
+        np.minimum.at(first, left, np.where(near, first[right][None, :], n).min(1, initial=n))
+        np.minimum.at(first, right, np.where(near, first[left][:, None], n).min(0, initial=n))
+        first = first[first]
+        if (first == old).all():
+            break
+    other = np.flatnonzero(first != np.arange(n))
+    return pd.DataFrame({"a": node[first[other]], "b": node[other]})
+
+
+def _in_blocks(df: DataFrame) -> DataFrame:
+    """Each row of a group of `blocks` blocks, once for every pair i <= j of its own block with another."""
+    df = df.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+
+
+def _families(pairs: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, label, family and the family's blocks, of the nodes of pairs (a, b)."""
+    family = components(pairs).withColumnRenamed("label", "family")
+    members = family.join(labels, "node", "left").join(classes.select("node", "n_shingles"), "node")
+    members = stage(members.select("node", F.coalesce("label", "node").alias("label"), "family", "n_shingles"), "families")
+    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return stage(members.join(sizes, "family").select("node", "label", "family", "blocks"), "blocks")
+
+
 def _unresolved_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links that hub pairs haven't shown. shared: band, bucket, node, hub."""
+    kind = classes.schema["node"].dataType.simpleString()
     named = shared.where("node <> hub").join(labels, "node", "left").select("band", "bucket", "node", F.coalesce("label", "node").alias("label"))
-    torn = named.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("band", "bucket", "first")
-    named = stage(named.join(torn, ["band", "bucket"]).select("node", "label", "first").distinct(), "torn")
-    family = components(named.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    members = named.select("node", "label").distinct().join(family.withColumnRenamed("label", "family"), "node").join(classes.select("node", "n_shingles"), "node")
-    members = stage(members, "families")
-    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = stage(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
+    torn = named.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first"), F.ceil(F.count("*") / BLOCK_PLANES).cast("int").alias("blocks")).where("lo <> hi")
+    named = stage(named.join(torn.drop("lo", "hi"), ["band", "bucket"]), "torn")
+    members = _families(named.select(F.col("node").alias("a"), F.col("first").alias("b")), labels, classes)
+    large = members.where("blocks > 1").select("node")
+    if not large.isEmpty():
+        packed = named.join(large, "node", "left_semi").join(classes.select("node", "planes"), "node").select("band", "bucket", "blocks", "node", "label", "planes")
+        near = stage(_in_blocks(packed).groupBy("band", "bucket", "i", "j").applyInPandas(_likely, f"a {kind}, b {kind}").distinct(), "near")
+        members = stage(members.where("blocks = 1").union(_families(near, labels, classes)), "members")
     known = texts.select(F.col("doc_id").alias("node"), "text").join(bounded(members), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = known.select("family", "node", "label", "block", "text", other.alias("other"))
-    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "text")
-    kind = classes.schema["node"].dataType.simpleString()
+    dealt = _in_blocks(known).select("family", "i", "j", "node", "label", "block", "text")
     return stage(dealt.groupBy("family", "i", "j").applyInPandas(_forest(words, percent), f"a {kind}, b {kind}"), "links")
 
 

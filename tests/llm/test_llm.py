@@ -167,7 +167,10 @@ def shingles(t, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
-def test_minhash(spark, docs, empty):
+@pytest.mark.parametrize("block", [512, 4])
+def test_minhash(spark, docs, empty, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(minhash, "BLOCK_PLANES", block)
     r = random.Random(9)
     base = prose(80, 11).split()
     rows = list(enumerate(TEXTS))
