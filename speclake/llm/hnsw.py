@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
 Vectors that take part are collapsed to distinct ones, dealt by hash into shards of about `shard_rows`, and each shard's graph is
-built in one task: points enter in growing batches, each batch searches the graph so far and itself, and neighbours are chosen
-by the diversity rule. A shard is one row: its vectors and, for each level, a flat array of neighbours. For inner products the
-graph is over vectors with one more component that makes all lengths of the shard equal. Queries go in blocks to every shard,
-and the shards' results are merged; scores are inner products in double precision of the original vectors.
+built in a task of its own: points enter in growing batches, each batch searches the graph so far and itself, and neighbours are
+chosen by the diversity rule. A shard is one row: its vectors and, for each level, a flat array of neighbours. For inner products
+the graph is over vectors with one more component that makes all lengths of the shard equal. Every query goes to every shard of
+its length and streams past the shard's graph, which is read once (or, with fewer shards than cores, once a core); the shards'
+results are merged. A query costs a search a shard, so shards should be as large as a task's memory allows. Scores are inner
+products in double precision of the original vectors.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without id;
 vectors are compared with those of their own length only; repeated rows count once; ties go to the smaller id; with fewer than k
@@ -16,15 +18,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from ._common import mix, stage
+from ._common import bounded, mix, stage
 
 M, BUILD_EF, SEARCH_EF = 16, 96, 160
-SHARD_ROWS, BLOCK_ROWS = 8192, 1024
+SHARD_ROWS = 32_768
 MOST_BATCH = 256
 
 
@@ -149,63 +152,90 @@ def build(vectors: np.ndarray) -> Graph:
 
 def taking_part(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("vector")
+    kind = "float" if df.schema[vector_col].dataType == ArrayType(FloatType(), df.schema[vector_col].dataType.containsNull) else "double"
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & sound).distinct()
+    return df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast(f"array<{kind}>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & sound).distinct()
 
 
-def index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per shard: shard, dim, vectors, members (up to k + 1 ids each), entry and the levels' flat neighbour arrays. vectors: id, vector."""
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes()], pa.large_binary()).cast(pa.binary())
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The vectors of a batch, all of one length, as doubles."""
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+
+
+def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shard whose vectors are the whole partition."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).combine_chunks()
+    ids = rows.column("ids").combine_chunks()
+    order = np.argsort(ids.flatten().to_numpy()[np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy()))[:-1]], kind="stable")
+    rows = rows.take(pa.array(order))
+    ids = rows.column("ids").combine_chunks()
+    v = _vectors(rows.column("vector").combine_chunks())
+    g = build(v)
+    shard = {"shard": rows.column("shard")[:1].combine_chunks(), "query": pa.array([None], pa.int64()), "vector": pa.array([None], pa.list_(pa.float64()))}
+    flat = {"vectors": _binary(v), "ids": _binary(ids.flatten().to_numpy().astype(np.int64)), "n_ids": _binary(pc.list_value_length(ids).to_numpy().astype(np.int32)), "entry": pa.array([g.entry], pa.int32())}
+    yield pa.RecordBatch.from_pydict(shard | flat | {"levels": pa.array([[x.astype(np.int32).tobytes() for x in g.levels]], pa.list_(pa.binary()))})
+
+
+#: Rows of an index, which holds shards, and of a search, which holds queries too.
+ROWS = "shard int, query long, vector array<double>, vectors binary, ids binary, n_ids binary, entry int, levels array<binary>"
+
+
+def index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Shards (ROWS; up to k + 1 ids for each distinct vector) and dims: dim, base, shards (the numbers of a length's shards). vectors: id, vector."""
     nth = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     distinct = vectors.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     distinct = stage(distinct.withColumn("dim", F.size("vector")), "vectors")
-    sizes = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    dealt = distinct.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.col("shards")))
-
-    def graph(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(first=[x[0] for x in rows["ids"]]).sort_values("first")
-        v = np.stack(rows["vector"]).astype(np.float32)
-        g = build(v)
-        return pd.DataFrame({"dim": [int(key[0])], "shard": [int(key[1])], "vectors": [v.tobytes()], "ids": [np.concatenate(list(rows["ids"])).astype(np.int64).tobytes()], "n_ids": [np.array([len(x) for x in rows["ids"]], np.int32).tobytes()], "entry": [g.entry], "levels": [[x.astype(np.int32).tobytes() for x in g.levels]]})
-
-    tasks = 2 * max(1, -(-distinct.count() // shard_rows))  # a number of its own, as small shards are long work
-    dealt = dealt.select("dim", "shard", "vector", "ids").repartition(tasks, "dim", "shard")
-    return stage(dealt.groupBy("dim", "shard").applyInPandas(graph, "dim int, shard long, vectors binary, ids binary, n_ids binary, entry int, levels array<binary>"), "hnsw")
+    dims = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    before = Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1)
+    dims = stage(dims.withColumn("base", F.coalesce(F.sum("shards").over(before), F.lit(0)).cast("int")), "dims")
+    total = dims.agg(F.sum("shards")).first()[0] or 1
+    dealt = distinct.join(bounded(dims), "dim").withColumn("shard", (F.col("base") + F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.col("shards"))).cast("int"))
+    dealt = dealt.select("shard", F.col("vector").cast("array<double>").alias("vector"), "ids").repartitionById(total, "shard")
+    return stage(dealt.mapInArrow(_graph, ROWS), "hnsw"), dims
 
 
-def search(shards: DataFrame, queries: DataFrame, k: int, ef: int = SEARCH_EF) -> DataFrame:
+def search(shards: DataFrame, dims: DataFrame, queries: DataFrame, k: int, ef: int = SEARCH_EF) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest that the shards' graphs give. queries: id, vector."""
-    n = queries.count()
-    blocks = queries.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK_ROWS)))).alias("block"), F.struct("id", "vector").alias("q"))
-    blocks = blocks.groupBy("dim", "block").agg(F.collect_list("q").alias("queries"))
-    pairs = blocks.join(shards, "dim").repartition(2 * max(1, -(-n // BLOCK_ROWS)) * max(1, shards.count()), "dim", "shard", "block")
+    total = dims.agg(F.sum("shards")).first()[0] or 1
+    parts = max(1, queries.sparkSession.sparkContext.defaultParallelism // total)
+    asked = queries.withColumn("dim", F.size("vector")).join(bounded(dims), "dim")
+    asked = asked.withColumn("shard", F.explode(F.sequence("base", F.col("base") + F.col("shards") - 1))).withColumn("task", (F.col("shard") * parts + F.pmod(F.xxhash64("id"), F.lit(parts))).cast("int"))
+    both = shards.withColumn("task", F.explode(F.sequence(F.col("shard") * parts, F.col("shard") * parts + parts - 1)))
+    both = both.unionByName(asked.select("shard", F.col("id").alias("query"), F.col("vector").cast("array<double>").alias("vector"), "task"), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                at = lambda name, kind: np.frombuffer(row.column(name)[0].as_buffer(), kind)  # noqa: B023, E731
-                dim = row.column("dim")[0].as_py()
-                q = row.column("queries")[0].values
-                asked, x = q.field("id").to_numpy(), q.field("vector").flatten().to_numpy().reshape(-1, dim).astype(np.float64)
-                v = at("vectors", np.float32).reshape(-1, dim).astype(np.float64)
+            is_shard = np.asarray(batch.column("query").is_null())
+            if is_shard[:1].any():
+                at = lambda name, kind: np.frombuffer(batch.column(name)[0].as_buffer(), kind)  # noqa: B023, E731
+                n_ids = at("n_ids", np.int32)
+                v, ids, edge = at("vectors", np.float64).reshape(len(n_ids), -1), at("ids", np.int64), np.append(0, np.cumsum(n_ids))
                 square = (v * v).sum(1)
                 points = np.column_stack([v, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32)
-                levels = [np.frombuffer(b.as_buffer(), np.int32).reshape(len(v), -1).astype(np.int64) for b in row.column("levels")[0].values]
-                graph = Graph(points, levels, row.column("entry")[0].as_py())
-                ids, n_ids = at("ids", np.int64), at("n_ids", np.int32)
-                edge = np.append(0, np.cumsum(n_ids))
-                for lo in range(0, len(asked), 256):
-                    mine = x[lo : lo + 256]
-                    found = graph.search(np.column_stack([mine, np.zeros(len(mine))]).astype(np.float32), max(ef, 2 * k))
-                    scores = np.where(found >= 0, np.einsum("qd,qkd->qk", mine, v[found]), -np.inf)
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-                    found, scores = np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
-                    who, col = np.nonzero(found >= 0)
-                    hit = found[who, col]
-                    members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_ids[hit])).astype(np.int32)), pa.array(np.concatenate([ids[edge[h] : edge[h + 1]] for h in hit])))
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(asked[lo : lo + 256][who]), "members": members, "score": pa.array(scores[who, col])})
-
-    hits = pairs.select("dim", "queries", "vectors", "ids", "n_ids", "entry", "levels").mapInArrow(run, "query_id long, members array<long>, score double")
+                graph = Graph(points, [np.frombuffer(b.as_buffer(), np.int32).reshape(len(v), -1).astype(np.int64) for b in batch.column("levels")[0].values], batch.column("entry")[0].as_py())
+                batch = batch.slice(1)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                asked, mine = part.column("query").to_numpy(), _vectors(part.column("vector"))
+                found = graph.search(np.column_stack([mine, np.zeros(len(mine))]).astype(np.float32), max(ef, 2 * k))
+                scores = np.where(found >= 0, np.einsum("qd,qkd->qk", mine, v[found]), -np.inf)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+                found, scores = np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
+                who, col = np.nonzero(found >= 0)
+                hit = found[who, col]
+                members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_ids[hit])).astype(np.int32)), pa.array(np.concatenate([ids[edge[h] : edge[h + 1]] for h in hit])))
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(asked[who]), "members": members, "score": pa.array(scores[who, col])})
+
+    hits = both.repartitionById(total * parts, "task").sortWithinPartitions(F.col("query").asc_nulls_first()).drop("task", "shard")
+    hits = hits.mapInArrow(run, "query_id long, members array<long>, score double")
     hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.get("members", F.lit(0))))).where(F.col("nth") <= k + 1)
     hits = hits.select("query_id", F.explode("members").alias("vec_id"), "score").where("query_id <> vec_id")
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -213,7 +243,7 @@ def search(shards: DataFrame, queries: DataFrame, k: int, ef: int = SEARCH_EF) -
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20) -> DataFrame:
+def nearest(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k nearest by inner product of each row whose id is divisible by `every`, from all rows but its own."""
     vectors = taking_part(df, id_col, vector_col)
-    return search(index(vectors, k), stage(vectors.where(F.col("id") % every == 0), "queries"), k)
+    return search(*index(vectors, k, shard_rows), stage(vectors.where(F.col("id") % every == 0), "queries"), k)

@@ -385,12 +385,13 @@ def test_html_columns(spark):
     assert sorted(got, key=str) == [("a", 1)] * 3 + [(None, 2_999_999)]
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("shard_rows", [32_768, 400])
+def test_nearest(spark, shard_rows):
     r = np.random.default_rng(1)
     v = r.normal(size=(1500, 16)).astype(np.float32)
     v[700:760] = v[700]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5, v[5].tolist()), (2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (None, v[0].tolist())]
-    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=20).toPandas()
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=20, shard_rows=shard_rows).toPandas()
     d, hit = v.astype(float), 0
     for q in range(0, 1500, 20):
         s = d @ d[q]
@@ -402,6 +403,16 @@ def test_nearest(spark):
     assert hnsw.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_doubles(spark):
+    """Scores in double precision of double vectors, ties by id, several lengths, clashing columns."""
+    v = [[1 + i * 1e-12, 2.0, -1.0] for i in range(30)] + [[1.0, 2.0]] * 25
+    rows = [(i, x, 1, 2, "s", [1.0]) for i, x in enumerate(v)] + [(60, [float("inf"), 1.0], 1, 2, "s", None), (80, [None, 1.0], 1, 2, "s", None)]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim int, shard int, ids string, vector array<double>")).toPandas()
+    first = got[got.query_id == 0].sort_values("rank")
+    assert first.vec_id.tolist() == list(range(29, 9, -1)) and first.score.tolist() == [float(np.dot(np.array(v[0]), np.array(v[i]))) for i in range(29, 9, -1)]
+    assert got[got.query_id == 40].sort_values("rank").vec_id.tolist() == list(range(30, 40)) + list(range(41, 51)) and set(got.query_id) == {0, 20, 40}
+
+
 def test_pipeline(spark, tmp_path, docs):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
