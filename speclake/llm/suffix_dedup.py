@@ -5,16 +5,19 @@ A byte goes if a string of `length` bytes covers it that also starts earlier (sm
 1. Every window of `length` bytes picks its anchor: the GRAM-byte string in it with the least hash, leftmost first. Equal windows
    have equal anchors at the same offset. The windows of one anchor start in a run [a, b]; its context is the bytes [a, b + length).
 2. Anchors are dealt by gram hash. A context that was seen earlier has only windows that were seen earlier; in a map task such
-   repeats are found before the shuffle, so a common passage sends one row a task. Grams with one context are done.
+   repeats are found and verified byte by byte before the shuffle, so a common passage sends one row a task. What is left of the
+   contexts with equal hashes sends its bytes, dealt by context, and is verified there; bytes that differ end the job with an
+   error, as no result would be sure (chance: about 1e-15 in 1e12 anchors). Grams with one context are done.
 3. The rest, first contexts of grams with several, lie where repeats begin and end. Their bytes are dealt by gram, and the windows
    of a gram are sorted as suffixes: a mergesort whose comparisons find the common extension of two suffixes by binary search
    over prefix polynomial hashes, in logarithmic time; windows found equal are verified byte by byte, and all but the earliest are
    marked. A gram with more than CROWDED contexts is sorted in each map task first, and its windows are dealt one by one.
 4. Marked windows are merged into runs by document and cut out.
 
-Defined results: null or empty text has 0 bytes and keeps nothing; texts shorter than `length` keep all; repeated rows of a
-document are the same document and get the same result; a null id comes before all others; an empty table gives an empty result;
-other columns are ignored.
+Defined results: null or empty text has 0 bytes and keeps nothing; texts shorter than `length` keep all; rows with the same id and
+text are the same document and get the same result; rows with the same id and other texts are different documents, in order of
+a hash of the text; a null id comes before all others; ids that aren't whole numbers are ordered as text; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._common import by_bytes, mix, or_empty, prefix_hashes, span_hashes, stage, utf8
 
 LENGTH, GRAM = 100, 24
 #: Contexts that a map task remembers to find repeats before the shuffle; older ones are forgotten, which only sends more rows.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Grams with more contexts are compared window by window, so that their work is spread.
 CROWDED = 4096
 
@@ -140,16 +145,17 @@ def _anchor_rows(length: int, gram: int):
         seen: dict[tuple[int, int], tuple] = {}
         for batch in by_bytes(batches, "text", 1 << 19):
             data, at = utf8(batch.column("text"))
+            raw = data.tobytes()
             row, m, a, b, g, c = anchors(data, at, length, gram)
-            ids = batch.column("id").to_numpy()
-            owner, start = ids[row] if len(row) else np.zeros(0, np.int64), a - at[row]
+            ids, digests = batch.column("id").to_numpy(zero_copy_only=False)[row], batch.column("digest").to_numpy()[row]
+            start = a - at[row]
             repeat = np.zeros(len(row), bool)
-            for i, (key, mine) in enumerate(zip(zip(g.tolist(), c.tolist()), zip(owner.tolist(), start.tolist()), strict=True)):
+            for i, (key, mine, lo, hi) in enumerate(zip(zip(g.tolist(), c.tolist()), zip(ids.tolist(), digests.tolist(), start.tolist()), a.tolist(), (b + length).tolist(), strict=True)):
                 before = seen.get(key)
-                if before is not None and before < mine:
+                if before is None or mine < before[0]:
+                    seen[key] = mine, raw[lo:hi]
+                elif mine > before[0] and raw[lo:hi] == before[1]:
                     repeat[i] = True
-                else:
-                    seen[key] = mine
             if len(seen) > REMEMBERED:
                 seen = dict(list(seen.items())[len(seen) // 2 :])
             n = b - a
@@ -164,10 +170,12 @@ def _anchor_rows(length: int, gram: int):
             for x in np.flatnonzero(~cut):  # as they were
                 f[r[first[x]] : r[last[x]] + 1] = True
             first, span = first[cut], span[cut]
+            out = np.append(np.flatnonzero(f), r[first])
             yield pa.RecordBatch.from_pydict({
-                "id": pa.array(np.concatenate([owner[f], owner[r[first]]])),
+                "id": pa.array(ids[out], batch.schema.field("id").type),
+                "digest": pa.array(digests[out]),
                 "at": pa.array(np.concatenate([_packed(start, n, m - a)[f], _packed(start[r[first]], span, np.full(len(first), -1))])),
-                "gram": pa.array(np.concatenate([g[f], mix(owner[r[first]].view(np.uint64))]).view(np.int64)),
+                "gram": pa.array(np.concatenate([g[f], mix(digests[r[first]].view(np.uint64))]).view(np.int64)),
                 "context": pa.array(np.concatenate([c[f], np.zeros(len(first), np.uint64)]).view(np.int64)),
             })
 
@@ -175,7 +183,7 @@ def _anchor_rows(length: int, gram: int):
 
 
 def _contexts(length: int):
-    """A row for each unresolved run: key (its gram), id, at and its bytes.
+    """Rows with the bytes of unresolved runs: by their gram; and by their context (`same`) where its hash is on several rows.
 
     Runs of a crowded gram give a row for each window instead, keyed by a hash of the window, after a suffix sort within the
     batch has found repeats; those come without bytes.
@@ -185,24 +193,27 @@ def _contexts(length: int):
         for batch in by_bytes(batches, "text", 1 << 19):
             data, at = utf8(batch.column("text"))
             raw = data.tobytes()
-            ids = batch.column("id").to_numpy()
-            order = np.unique(ids, return_index=True)[1]
-            key, owner, where, context = [], [], [], []
+            documents = list(zip(batch.column("id").to_pylist(), batch.column("digest").to_pylist(), strict=True))
+            once = {d: r for r, d in reversed(list(enumerate(documents)))}
+            order = np.array([once[d] for d in sorted(once)], np.int64)
+            key, same, owner, where, context = [], [], [], [], []
             spots, rows, group = [], [], []
             for r in order.tolist():
                 runs = batch.column("runs")[r].values
-                for w, g, crowded in zip(runs.field("at").to_numpy().tolist(), runs.field("gram").to_numpy().tolist(), runs.field("crowded").to_pylist(), strict=True):
+                for w, g, c, crowded in zip(*(runs.field(f).to_pylist() for f in ("at", "gram", "context", "crowded")), strict=True):
                     a, n, m = w >> 32, (w >> 8) & 0xFFFFFF, (w & 0xFF) - 1
                     start = int(at[r]) + a
                     if start + n + length > at[r + 1]:
                         continue
+                    if c is not None:
+                        key.append(g ^ c), same.append(c), owner.append(r), where.append(w & ~0xFF), context.append(raw[start : start + n + length])
                     if crowded:
                         p = np.arange(n + 1)
                         spots.append(start + p)
                         rows.append(np.full(n + 1, r))
                         group.append(mix(np.uint64(g & (2**64 - 1)) ^ mix((m - p).astype(np.uint64))))
-                    else:
-                        key.append(g), owner.append(int(ids[r])), where.append(w), context.append(raw[start : start + n + length])
+                    elif crowded is not None:
+                        key.append(g), same.append(None), owner.append(r), where.append(w), context.append(raw[start : start + n + length])
             if spots:
                 pos, row, grp = (np.concatenate(v) for v in (spots, rows, group))
                 rank = np.empty(len(at), np.int64)
@@ -219,9 +230,10 @@ def _contexts(length: int):
                 pos = pos - shift[rank[row]]
                 for q, r, repeat in zip(pos.tolist(), row.tolist(), again.tolist(), strict=True):
                     window = None if repeat else raw[q : q + length]
-                    digest = None if repeat else xxhash.xxh3_64_intdigest(window)
-                    key.append(q if repeat else digest - (1 << 63)), owner.append(int(ids[r])), where.append(((q - int(at[r])) << 32) + (0 if repeat else 1)), context.append(window)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "id": pa.array(owner, pa.int64()), "at": pa.array(where, pa.int64()), "context": pa.array(context, pa.binary())})
+                    key.append(q if repeat else xxhash.xxh3_64_intdigest(window) - (1 << 63)), same.append(None), owner.append(r)
+                    where.append(((q - int(at[r])) << 32) + (0 if repeat else 1)), context.append(window)
+            who = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "same": pa.array(same, pa.int64()), "id": batch.column("id").take(who), "digest": batch.column("digest").take(who), "at": pa.array(where, pa.int64()), "context": pa.array(context, pa.binary())})
 
     return run
 
@@ -250,16 +262,23 @@ def _complete(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterat
 
 
 def _sorted_runs(length: int):
-    """Marks of the windows that equal an earlier one of their key, by a suffix sort of the key's contexts."""
+    """Marks of the windows that equal an earlier one of their key: of whole contexts, verified, and by a suffix sort of the key's contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _complete(batches):
-            key, ids, where = (table.column(c).to_numpy() for c in ("key", "id", "at"))
-            known = np.asarray(table.column("context").is_valid())
+            key, digest, where = (table.column(c).to_numpy() for c in ("key", "digest", "at"))
+            known, whole = (np.asarray(table.column(c).is_valid()) for c in ("context", "same"))
+            ids, same = table.column("id").combine_chunks(), table.column("same").fill_null(0).to_numpy()
             twin = np.zeros(len(key), bool)
-            twin[1:] = (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]) & (where[1:] == where[:-1])
-            use = np.flatnonzero(known & ~twin)
-            out_id, out_at = [ids[~known]], [where[~known]]
+            if len(key) > 1:
+                twin[1:] = (key[1:] == key[:-1]) & (whole[1:] == whole[:-1]) & (digest[1:] == digest[:-1]) & (where[1:] == where[:-1]) & np.asarray(pc.equal(ids[1:], ids[:-1]))
+            rows = np.flatnonzero(whole & ~twin)
+            texts = table.column("context").take(pa.array(rows)).to_pylist()
+            after = np.flatnonzero((key[rows][1:] == key[rows][:-1]) & (same[rows][1:] == same[rows][:-1])) + 1
+            if any(texts[i] != texts[i - 1] for i in after.tolist()):
+                raise RuntimeError("two contexts with one hash: choose another gram length")
+            parts = [(rows[after], where[rows[after]]), (np.flatnonzero(~known), where[~known])]
+            use = np.flatnonzero(known & ~whole & ~twin)
             if len(use):
                 texts = table.column("context").take(pa.array(use)).to_pylist()
                 text = np.frombuffer(b"".join(texts), np.uint8)
@@ -281,9 +300,9 @@ def _sorted_runs(length: int):
                 new[1:] = (np.diff(hit) > 1) | (row[1:] != row[:-1])
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
-                out_id.append(ids[use][row[first]])
-                out_at.append(_packed(a[row[first]] + hit[first] - base[row[first]], hit[last] - hit[first], np.full(len(first), -1)))
-            yield pa.RecordBatch.from_pydict({"id": pa.array(np.concatenate(out_id), pa.int64()), "at": pa.array(np.concatenate(out_at), pa.int64())})
+                parts.append((use[row[first]], _packed(a[row[first]] + hit[first] - base[row[first]], hit[last] - hit[first], np.full(len(first), -1))))
+            who = np.concatenate([x for x, _ in parts])
+            yield pa.RecordBatch.from_pydict({"id": ids.take(pa.array(who)), "digest": pa.array(digest[who]), "at": pa.array(np.concatenate([x for _, x in parts]), pa.int64())})
 
     return run
 
@@ -306,27 +325,30 @@ def _cut(length: int):
                 removed.append(int(gone.sum()))
                 spans.append(int((gone & ~np.append(False, gone[:-1])).sum()) if len(gone) else 0)
                 digests.append(hashlib.sha256(body[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "n_bytes": pa.array(at[1:] - at[:-1]), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("own"), "n_bytes": pa.array(at[1:] - at[:-1]), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests)})
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
-    none = -(1 << 63)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(none)).alias("id"), or_empty(docs[text_col]).alias("text"))
-    found = rows.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, gram), "id long, at long, gram long, context long")
-    found = found.repartition("gram").sortWithinPartitions("gram", "context", "id", "at")
-    by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context").orderBy("id", "at")
-    found = found.withColumn("nth", F.rank().over(by_context)).withColumn("several", F.min("context").over(by_gram) != F.max("context").over(by_gram)).withColumn("size", F.count("*").over(by_gram))
+    own = docs.schema[id_col].dataType
+    kind, least = ("long", F.lit(-(1 << 63))) if isinstance(own, IntegralType) else ("string", F.lit(""))
+    text = or_empty(docs[text_col])
+    rows = docs.select(docs[id_col].alias("own"), F.coalesce(docs[id_col].cast(kind), least).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    who = f"id {kind}, digest long, at long"
+    found = rows.where(F.octet_length("text") >= length).select("id", "digest", "text").mapInArrow(_anchor_rows(length, gram), f"{who}, gram long, context long")
+    found = found.repartition("gram").sortWithinPartitions("gram", "context", "id", "digest", "at")
+    by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context")
+    found = found.withColumn("nth", F.rank().over(by_context.orderBy("id", "digest", "at"))).withColumn("as_many", F.count("*").over(by_context))
+    found = found.withColumn("several", F.min("context").over(by_gram) != F.max("context").over(by_gram)).withColumn("size", F.count("*").over(by_gram))
     local = F.col("at").bitwiseAND(0xFF) == 0
-    run_key = ~local & (F.col("nth") == 1)
-    found = found.where(local | (F.col("nth") > 1) | F.col("several"))
-    found = stage(found.select("id", "at", F.when(run_key, F.col("gram")).alias("gram"), F.when(run_key, F.col("size") > CROWDED).alias("crowded")), "repeats")
-    runs = found.where("gram is not null").groupBy("id").agg(F.collect_set(F.struct("at", "gram", "crowded")).alias("runs"))
-    contexts = rows.join(runs, "id").select("id", "text", "runs").mapInArrow(_contexts(length), "key long, id long, at long, context binary")
-    again = contexts.repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(_sorted_runs(length), "id long, at long")
-    marks = found.where("gram is null").select("id", "at").union(again).groupBy("id").agg(F.collect_list("at").alias("marks"))
-    out = rows.join(marks, "id", "left").select("id", "text", "marks")
-    out = out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.when(F.col("doc_id") != none, F.col("doc_id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    again, several = ~local & (F.col("as_many") > 1), ~local & (F.col("nth") == 1) & F.col("several")
+    found = found.where(local | again | several)
+    found = stage(found.select("id", "digest", "at", F.when(again | several, F.col("gram")).alias("gram"), F.when(again, F.col("context")).alias("context"), F.when(several, F.col("size") > CROWDED).alias("crowded")), "repeats")
+    runs = found.where("gram is not null").groupBy("id", "digest").agg(F.collect_set(F.struct("at", "gram", "context", "crowded")).alias("runs"))
+    contexts = rows.join(runs, ["id", "digest"]).select("id", "digest", "text", "runs").mapInArrow(_contexts(length), f"key long, same long, {who}, context binary")
+    again = contexts.repartition("key").sortWithinPartitions("key", "same", "id", "digest", "at").mapInArrow(_sorted_runs(length), who)
+    marks = found.where("gram is null").select("id", "digest", "at").union(again).groupBy("id", "digest").agg(F.collect_list("at").alias("marks"))
+    out = rows.join(marks, ["id", "digest"], "left").select("own", "text", "marks")
+    return out.mapInArrow(_cut(length), f"doc_id {own.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("doc_id", id_col)

@@ -162,6 +162,19 @@ def test_suffixes(docs, empty, crowded, monkeypatch):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_ids(spark):
+    """Rows that share an id (or have none) but not the text are documents of their own; ids may be text; columns may clash."""
+    x = prose(60, 31)[:300]
+    z = prose(100, 32)
+    rows = [(None, x + x), (None, z), (7, z + "end"), (7, x), (8, "é" * 80), (8, "é" * 80), (9, None)]
+    df = spark.createDataFrame([(i, t, "k", 1, "r", 5) for i, t in rows], "doc_id long, text string, key string, id int, own string, digest int")
+    got = sorted((str(r[0]), *r[1:4]) for r in suffix_dedup.suffix_dedup(df).collect())
+    keep = [("None", 600, 300, 1), ("None", len(z), 0, 0), ("7", len(z) + 3, len(z), 1), ("7", 300, 300, 1), ("8", 160, 158, 1), ("8", 160, 158, 1), ("9", 0, 0, 0)]
+    assert got == sorted(keep)
+    named = spark.createDataFrame([("b", x), ("a", x + z), (None, "short")], "doc_id string, text string")
+    assert {r[0]: r[2] for r in suffix_dedup.suffix_dedup(named).collect()} == {"b": 300, "a": 0, None: 0}
+
+
 def shingles(t, n):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
