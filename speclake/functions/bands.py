@@ -96,11 +96,15 @@ def savgol_weights(window: int, order: int, der: int, at: float | None = None) -
     return (factor * np.linalg.pinv(basis)[der]).tolist()
 
 
-def savgol(df: DataFrame, window: int, order: int, der: int, n: int) -> DataFrame:
-    """Local polynomial fit along the bands (interior only): window // 2 bands go at each end."""
+def savgol(df: DataFrame, window: int, order: int, der: int, n: int, trim: bool = True) -> DataFrame:
+    """Local polynomial fit along the bands. window // 2 bands go at each end, or are read off the fits to the outermost windows."""
     if order >= window or der > order:
         raise ValueError("the order must be below the window and not below the derivative")
     w, half = savgol_weights(window, order, der), window // 2
     first = half - (window // 2 if window % 2 else window // 2 - 1)
-    out = [sum(F.get("bands", F.lit(k + first + j)) * w[j] for j in range(window)) for k in range(n - 2 * half)]
+    at = lambda start, weights: sum(F.get("bands", F.lit(start + j)) * weights[j] for j in range(window))
+    out = [at(k + first, w) for k in range(n - 2 * half)]
+    if not trim:
+        edge = [savgol_weights(window, order, der, at=k) for k in range(window)]
+        out = [at(0, edge[k]) for k in range(half)] + out + [at(n - window, edge[k]) for k in range(window - half, window)]
     return df.withColumn("bands", F.array(*out))

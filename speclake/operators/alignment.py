@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bands import per_band
+
 
 def assign_sensor(bands_dim: DataFrame, boundary: int) -> DataFrame:
     return bands_dim.withColumn("sensor", F.when(F.col("band") < boundary, 2).otherwise(1))
@@ -17,31 +23,29 @@ def average_lens_params(params: DataFrame, boundary: int, pixel_mm: float = 0.00
     return out.withColumns({f"{c}_mm": F.col(c) * pixel_mm for c in cols[:4]})
 
 
-def binned(planes: DataFrame, bins: int) -> DataFrame:
-    """Bin of each value between the least and the greatest of its plane; null for a flat plane."""
-    w = Window.partitionBy("image_id", "band")
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    return planes.withColumn("bin", F.when(hi > lo, F.least(F.floor(F.try_divide(F.col("value") - lo, hi - lo) * bins), F.lit(bins - 1))))
-
-
 def _information(joint: DataFrame, keys: list[str]) -> DataFrame:
-    """(H(a) + H(b)) / H(a, b) from counts n by keys, a, b; null where the joint entropy is 0."""
-    total = joint.groupBy(*keys).agg(F.sum("n").alias("t"))
-    h = None
-    for name, by in (("ha", ["a"]), ("hb", ["b"]), ("hab", ["a", "b"])):
-        p = joint.groupBy(*keys, *by).agg(F.sum("n").alias("n")).join(total, keys)
-        one = p.groupBy(*keys).agg((-F.sum(F.col("n") / F.col("t") * F.log(F.col("n") / F.col("t")))).alias(name))
-        h = one if h is None else h.join(one, keys)
-    return h.select(*keys, F.try_divide(F.col("ha") + F.col("hb"), F.when(F.col("hab") > 1e-12, F.col("hab"))).alias("nmi"))
-
-
-def normalized_mi(planes: DataFrame, ref_band: int, bins: int = 100) -> DataFrame:
-    """image_id, band, nmi of each band with the reference band; null where a plane is flat."""
-    b = binned(planes, bins)
-    ref = b.where(F.col("band") == ref_band).select("image_id", "row", "col", F.col("bin").alias("b"))
-    joint = b.where(F.col("band") != ref_band).join(ref, ["image_id", "row", "col"]).where("bin is not null and b is not null")
-    found = _information(joint.groupBy("image_id", "band", F.col("bin").alias("a"), "b").agg(F.count("*").alias("n")), ["image_id", "band"])
-    return planes.where(F.col("band") != ref_band).select("image_id", "band").distinct().join(found, ["image_id", "band"], "left")
+    """(H(a) + H(b)) / H(a, b) from counts n by keys, a, b; null where the joint entropy is 0. One pass over the counts."""
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), x.alias("x"), y.alias("y")) for k, x, y in (("ab", F.col("a"), F.col("b")), ("a", F.col("a"), F.lit(None)), ("b", F.lit(None), F.col("b")))]))
+    each = joint.select(*keys, "n", part.alias("p")).groupBy(*keys, "p.of", "p.x", "p.y").agg(F.sum("n").alias("n"))
+    total = F.sum(F.when(F.col("of") == "ab", F.col("n")))
+    h = {k: F.log(total) - F.sum(F.when(F.col("of") == k, F.col("n") * F.log("n"))) / total for k in ("a", "b", "ab")}
+    found = each.groupBy(*keys).agg(*[v.alias(f"_{k}") for k, v in h.items()])
+    return found.select(*keys, F.try_divide(F.col("_a") + F.col("_b"), F.when(F.col("_ab") > 1e-12, F.col("_ab"))).alias("nmi"))
+
+
+def normalized_mi(pixels: DataFrame, ref_band: int, n: int, bins: int = 100) -> DataFrame:
+    """image_id, band, nmi of each of n bands with the reference band; null where a plane is flat. pixels: image_id, row, col, bands.
+
+    A pixel's row holds the reference value too, so nothing is joined but the bounds of the planes, one row an image; joint
+    counts are added up in each task before they are dealt.
+    """
+    bounds = pixels.groupBy("image_id").agg(per_band(n, F.min).alias("_lo"), per_band(n, F.max).alias("_hi"))
+    cell = lambda v, lo, hi: F.when(hi > lo, F.least(F.floor(F.try_divide(v - lo, hi - lo) * bins), F.lit(bins - 1)))
+    b = pixels.join(bounds, "image_id").select("image_id", F.zip_with("bands", F.arrays_zip("_lo", "_hi"), lambda v, r: cell(v, r["_lo"], r["_hi"])).alias("_b"))
+    b = b.select("image_id", F.get("_b", F.lit(ref_band)).alias("b"), F.posexplode("_b").alias("band", "a")).where(F.col("band") != ref_band)
+    joint = b.where("a is not null and b is not null").groupBy("image_id", "band", "a", "b").agg(F.count("*").alias("n"))
+    others = bounds.select("image_id", F.explode(F.array(*[F.lit(k) for k in range(n) if k != ref_band])).alias("band"))
+    return others.join(_information(joint, ["image_id", "band"]), ["image_id", "band"], "left")
 
 
 def intensity_centroid(planes: DataFrame) -> DataFrame:
@@ -63,40 +67,86 @@ def apply_shift(planes: DataFrame, shifts: DataFrame) -> DataFrame:
     return grid.join(moved, ["image_id", "band", "row", "col"], "left").select("image_id", "band", "row", "col", F.coalesce("_v", F.lit(0.0)).alias("value"))
 
 
-def coarse_shift_search(planes: DataFrame, ref_band: int, steps: list[int], bins: int = 100) -> DataFrame:
-    """image_id, band, d_row, d_col, nmi: the shift of the grid with the most information on the overlap, ties to the smallest."""
-    b = binned(planes, bins).where("bin is not null")
-    ref = b.where(F.col("band") == ref_band).select("image_id", "row", "col", F.col("bin").alias("b"))
-    each = F.array(*map(F.lit, steps))
-    moved = b.where(F.col("band") != ref_band).withColumn("d_row", F.explode(each)).withColumn("d_col", F.explode(each))
-    moved = moved.withColumn("row", F.col("row") + F.col("d_row")).withColumn("col", F.col("col") + F.col("d_col"))
-    keys = ["image_id", "band", "d_row", "d_col"]
-    found = _information(moved.join(ref, ["image_id", "row", "col"]).groupBy(*keys, F.col("bin").alias("a"), "b").agg(F.count("*").alias("n")), keys)
-    order = Window.partitionBy("image_id", "band").orderBy(F.desc_nulls_last(F.round("nmi", 9)), "d_row", "d_col")
-    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-
-
-def remap(rows: int, cols: int, fx: float, fy: float, cx: float, cy: float, k1: float, k2: float, p1: float, p2: float, k3: float):
-    """Source position of every output pixel under radial and tangential distortion, as (src_row, src_col) columns of row and col."""
-    x, y = (F.col("col") - cx) / fx, (F.col("row") - cy) / fy
+def coarse_shift_search(planes: DataFrame, ref_band: int, rows: int, cols: int, *, max_shift: int, samples: int, bins: int = 100, least_overlap: float = 0.25, centered: bool = True) -> DataFrame:
+    """image_id, band, d_row, d_col, nmi: the shift with the most information about the reference on the overlap, ties to the smallest.
+
+    Shifts are those of shift_grid along both axes, around the offset of the centers of mass (or 0). A plane becomes one row, its
+    bins as bytes; each meets its image's reference plane once, and all its shifts are counted in one task. Overlaps of less than
+    `least_overlap` of the plane don't count; planes without a shift that says anything give no row.
+    """
+    if bins > 255:
+        raise ValueError("bins are kept in bytes")
+    kind, steps = dict(planes.dtypes), shift_grid(max_shift, samples)
+
+    def plane(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf["value"].to_numpy(float)
+        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        out = np.full((rows, cols), 255, np.uint8)
+        if v.max() > v.min():
+            out[r, c] = np.minimum(np.floor((v - v.min()) / (v.max() - v.min()) * bins), bins - 1)
+        total = v.sum()
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[:1], "band": pdf["band"].iloc[:1], "bin": [out.tobytes()], "row_c": (r * v).sum() / total if total else None, "col_c": (c * v).sum() / total if total else None})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for p in pdf.itertuples():
+                mine, ref = (np.frombuffer(x, np.uint8).reshape(rows, cols) for x in (p.bin, p.ref))
+                start = [0 if not centered or pd.isna(x) else int(np.floor(abs(x) + 0.5) * np.sign(x)) for x in (p.row_off, p.col_off)]
+                best = None
+                for dr in (start[0] + k for k in steps):
+                    for dc in (start[1] + k for k in steps):
+                        a = mine[max(0, -dr) : max(0, rows - dr), max(0, -dc) : max(0, cols - dc)].astype(np.int64)
+                        b = ref[max(0, dr) : max(0, rows + dr), max(0, dc) : max(0, cols + dc)]
+                        there = (a < 255) & (b < 255)
+                        if there.sum() < max(1, least_overlap * rows * cols):
+                            continue
+                        joint = np.bincount((a * bins + b)[there], minlength=bins * bins).reshape(bins, bins)
+                        ha, hb, hab = (_entropy(x) for x in (joint.sum(1), joint.sum(0), joint.ravel()))
+                        if hab > 1e-12 and (best is None or round((ha + hb) / hab, 9) > round(best[-1], 9)):
+                            best = (dr, dc, (ha + hb) / hab)
+                if best:
+                    out.append((p.image_id, p.band, *best))
+            yield pd.DataFrame(out, columns=["image_id", "band", "d_row", "d_col", "nmi"])
+
+    whole = planes.groupBy("image_id", "band").applyInPandas(plane, f"image_id {kind['image_id']}, band {kind['band']}, bin binary, row_c double, col_c double")
+    ref = whole.where(F.col("band") == ref_band).select("image_id", F.col("bin").alias("ref"), F.col("row_c").alias("_r"), F.col("col_c").alias("_c"))
+    both = whole.where(F.col("band") != ref_band).join(ref, "image_id")
+    both = both.select("image_id", "band", "bin", "ref", (F.col("_r") - F.col("row_c")).alias("row_off"), (F.col("_c") - F.col("col_c")).alias("col_off"))
+    return both.mapInPandas(search, f"image_id {kind['image_id']}, band {kind['band']}, d_row int, d_col int, nmi double")
+
+
+def _entropy(n: np.ndarray) -> float:
+    p = n[n > 0] / n.sum()
+    return float(-(p * np.log(p)).sum())
+
+
+def remap(row: np.ndarray, col: np.ndarray, fx: float, fy: float, cx: float, cy: float, k1: float, k2: float, p1: float, p2: float, k3: float) -> tuple[np.ndarray, np.ndarray]:
+    """Source position (row, col) of output pixels under radial and tangential distortion."""
+    x, y = (col - cx) / fx, (row - cy) / fy
     r2 = x * x + y * y
     radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
-    xd = x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)
-    yd = y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
-    return yd * fy + cy, xd * fx + cx
+    return (y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y) * fy + cy, (x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)) * fx + cx
 
 
 def undistort(planes: DataFrame, lens: dict[int, dict[str, float]], boundary: int, rows: int, cols: int) -> DataFrame:
-    """Bilinear value at each output pixel's source position, by sensor of the band; 0 outside the plane."""
-    spark = planes.sparkSession
-    grid = spark.range(rows * cols).select((F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
-    maps = None
-    for sensor, p in lens.items():
-        sr, sc = remap(rows, cols, **p)
-        one = grid.select(F.lit(sensor).alias("sensor"), "row", "col", sr.alias("sr"), sc.alias("sc"))
-        maps = one if maps is None else maps.union(one)
-    corner = F.explode(F.array(*[F.struct((F.floor("sr") + i).alias("src_row"), (F.floor("sc") + j).alias("src_col"), ((1 - F.abs(F.col("sr") - F.floor("sr") - i)) * (1 - F.abs(F.col("sc") - F.floor("sc") - j))).alias("w")) for i in (0, 1) for j in (0, 1)]))
-    maps = maps.select("sensor", "row", "col", corner.alias("c")).select("sensor", "row", "col", "c.*").where("w > 0")
-    p = assign_sensor(planes, boundary).withColumnsRenamed({"row": "src_row", "col": "src_col"})
-    value = p.join(maps, ["sensor", "src_row", "src_col"]).groupBy("image_id", "band", "row", "col").agg(F.sum(F.col("value") * F.col("w")).alias("_v"))
-    return planes.select("image_id", "band", "row", "col").join(value, ["image_id", "band", "row", "col"], "left").select("image_id", "band", "row", "col", F.coalesce("_v", F.lit(0.0)).alias("value"))
+    """Bilinear value at each output pixel's source position, by sensor of the band; 0 outside the plane. A plane is one group."""
+    kind = dict(planes.dtypes)
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        plane = np.zeros((rows, cols))
+        plane[r, c] = pdf["value"]
+        sr, sc = remap(r, c, **lens[2 if pdf["band"].iloc[0] < boundary else 1])
+        r0, c0 = np.floor(sr).astype(np.int64), np.floor(sc).astype(np.int64)
+        value = np.zeros(len(pdf))
+        for i in (0, 1):
+            for j in (0, 1):
+                u, v = r0 + i, c0 + j
+                w = (1 - np.abs(sr - u)) * (1 - np.abs(sc - v))
+                inside = (u >= 0) & (u < rows) & (v >= 0) & (v < cols)
+                value[inside] += w[inside] * plane[u[inside], v[inside]]
+        return pdf.assign(value=value)
+
+    schema = ", ".join(f"{c} {kind[c]}" for c in ("image_id", "band", "row", "col"))
+    return planes.select("image_id", "band", "row", "col", "value").groupBy("image_id", "band").applyInPandas(gather, f"{schema}, value double")

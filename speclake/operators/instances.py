@@ -20,15 +20,15 @@ def filter_by_score(instances: DataFrame, least: float = 0.99) -> DataFrame:
 
 
 def instance_key(instances: DataFrame) -> DataFrame:
-    """code: g<grape>p<plant>; plant: p<plant>."""
-    grape, plant = (F.col(c).cast("int").cast("string") for c in ("grape_no", "plant_no"))
+    """code: g<grape>p<plant>; plant: p<plant>; null where a number is missing or none."""
+    grape, plant = (F.col(c).try_cast("int").cast("string") for c in ("grape_no", "plant_no"))
     return instances.withColumn("code", F.concat(F.lit("g"), grape, F.lit("p"), plant)).withColumn("plant", F.concat(F.lit("p"), plant))
 
 
 def row_side(df: DataFrame, cut: int = 14) -> DataFrame:
-    """first or second row of the field, by the plant number at the end of the id."""
-    plant = F.regexp_extract("id", r"p(\d+)$", 1).cast("int")
-    return df.withColumn("side", F.when(plant < cut, "first").otherwise("second"))
+    """first or second row of the field, by the plant number at the end of the id; null without one."""
+    plant = F.regexp_extract("id", r"p(\d+)$", 1).try_cast("int")
+    return df.withColumn("side", F.when(plant < cut, "first").when(plant >= cut, "second"))
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ pixels: image_id, row, col, bands. panel_roi: panel, row0, row1, col0, col1 (hal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bands import per_band, to_long
@@ -16,12 +16,12 @@ def mean_dark_frame(dark: DataFrame, n: int) -> DataFrame:
     return dark.groupBy("row", "col").agg(per_band(n, F.avg).alias("bands"))
 
 
-def subtract_dark(pixels: DataFrame, dark: DataFrame, calibration_time: float | None = None, target_time: float | None = None) -> DataFrame:
-    """Frame less the dark frame; then over the exposure time, if the two times differ."""
+def subtract_dark(pixels: DataFrame, dark: DataFrame, own_time: float | None = None, other_time: float | None = None) -> DataFrame:
+    """Frame less its dark frame, over its own exposure time where that differs from the other phase's (calibration or acquisition)."""
     out = pixels.join(dark.select("row", "col", F.col("bands").alias("_dark")), ["row", "col"])
     out = out.withColumn("bands", F.zip_with("bands", "_dark", lambda a, b: a - b)).drop("_dark")
-    if target_time is not None and calibration_time != target_time:
-        out = out.withColumn("bands", F.transform("bands", lambda v: v / target_time))
+    if own_time is not None and own_time != other_time:
+        out = out.withColumn("bands", F.transform("bands", lambda v: v / own_time))
     return out
 
 
@@ -64,9 +64,10 @@ def fit_empirical_line(measured: DataFrame, known: DataFrame, origin: bool) -> D
 
 
 def apply_empirical_line(pixels: DataFrame, coef: DataFrame, scale: float = 1.0, clip: bool = False) -> DataFrame:
-    """(value * slope + intercept) * scale of each band, clipped to [0, 1] if asked for; a band without a line is null."""
+    """(value * slope + intercept) * scale of each band, clipped to [0, 1] if asked for; a band without a line keeps its value."""
     lines = coef.agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("intercept", "slope"))))).scalar()
-    value = lambda v, k: (v * F.try_element_at("_c", k)["slope"] + F.try_element_at("_c", k)["intercept"]) * scale
+    line = lambda v, k: (v * F.try_element_at("_c", k)["slope"] + F.try_element_at("_c", k)["intercept"]) * scale
+    value = lambda v, k: F.when(F.try_element_at("_c", k).isNotNull(), line(v, k)).otherwise(v)
     cut = (lambda v, k: F.least(F.greatest(value(v, k), F.lit(0.0)), F.lit(1.0))) if clip else value
     return pixels.withColumn("_c", lines).withColumn("bands", F.transform("bands", cut)).drop("_c")
 
@@ -97,8 +98,17 @@ def brightest_band(roi_means: DataFrame) -> DataFrame:
 def normalized_composite(picture: DataFrame, rois: DataFrame, color: list[float]) -> DataFrame:
     """Picture over its greatest value, with the regions painted in one color."""
     most = picture.agg(F.max(F.array_max("bands"))).scalar()
-    r = F.broadcast(rois.withColumn("_in", F.lit(True)))
-    inside = (picture["row"] >= r["row0"]) & (picture["row"] < r["row1"]) & (picture["col"] >= r["col0"]) & (picture["col"] < r["col1"])
-    painted = picture.join(r, inside, "left").select(*picture.columns, "_in").distinct().withColumn("_m", most)
+    rectangles = rois.agg(F.collect_list(F.struct("row0", "row1", "col0", "col1"))).scalar()
+    painted = F.exists("_r", lambda r: (F.col("row") >= r["row0"]) & (F.col("row") < r["row1"]) & (F.col("col") >= r["col0"]) & (F.col("col") < r["col1"]))
     body = F.transform("bands", lambda v: F.try_divide(v, F.col("_m")))
-    return painted.withColumn("bands", F.when(F.col("_in"), F.array(*map(F.lit, color))).otherwise(body)).drop("_in", "_m")
+    out = picture.withColumn("_r", rectangles).withColumn("_m", most)
+    return out.withColumn("bands", F.when(painted, F.array(*map(F.lit, color))).otherwise(body)).drop("_r", "_m")
+
+
+def save_line(coef: DataFrame, path: str) -> None:
+    """The coefficients as text: band, intercept, slope."""
+    coef.select("band", "intercept", "slope").coalesce(1).write.mode("overwrite").csv(path)
+
+
+def load_line(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("band int, intercept double, slope double").csv(path)

@@ -1,22 +1,24 @@
 """PLS regression of one target from fold moments, with single and nested cross-validation.
 
-One pass sums n, x, y, x'x, x'y and y'y per (outer, inner) fold; everything after works on those small sums. A Savitzky-Golay
-filter is linear, so the moments of filtered spectra follow from those of the plain ones.
+One pass sums n, x, y, x'x, x'y and y'y, less the means over all rows, per (outer, inner) fold; everything after works on those
+small sums. A Savitzky-Golay filter is linear, so the moments of filtered spectra follow from those of the plain ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bands import savgol_weights
+from ..functions.bands import msc, savgol_weights, snv
 from .stats import contiguous_folds
 
 FIELDS = "m array<double>"
+#: Bytes of all folds' moments that are sent to the tasks at most.
+MOST_BYTES = 1 << 29
 
 
 def _sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -25,6 +27,16 @@ def _sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (a.T @ a).ravel()
 
 
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The sums of partial Gram matrices (keys, m)."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1][keys].assign(m=[np.sum(np.stack(pdf["m"]), axis=0)])
+
+    types = dict(parts.dtypes)
+    return parts.groupBy(*keys).applyInPandas(add, ", ".join(f"{k} {types[k]}" for k in keys) + f", {FIELDS}")
+
+
 def moments(spectra: DataFrame, keys: list[str]) -> DataFrame:
     """keys, m: the Gram matrix of (1, bands, target) per key. Partial matrices are made in each task, then added."""
 
@@ -34,9 +46,35 @@ def moments(spectra: DataFrame, keys: list[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=[*keys, "m"])
 
     types = dict(spectra.dtypes)
-    part = spectra.select(*keys, "bands", "target").mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", {FIELDS}")
-    long = part.select(*keys, F.posexplode("m").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-    return long.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("m"))
+    return _summed(spectra.select(*keys, "bands", "target").mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", {FIELDS}"), keys)
+
+
+def fold_moments(spectra: DataFrame, inner: int, split: Callable = contiguous_folds) -> DataFrame:
+    """outer, inner, m: centred Gram matrices of the training rows of each outer fold by inner fold; inner -1 holds the fold's own rows.
+
+    A row is read once and added to the sums of every outer fold in its task. spectra: idx (unique), fold, bands, target. split:
+    (rows, inner, order, within) -> rows with `inner`.
+    """
+    mean = {r["k"]: r["v"] for r in spectra.select(F.posexplode("bands").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v")).collect()}
+    x0, y0 = np.array([mean[k] for k in sorted(mean)]), spectra.agg(F.avg("target")).first()[0]
+    folds = spectra.select(F.col("fold").alias("outer")).distinct()
+    train = split(spectra.select("idx", "fold").join(folds, F.col("fold") != F.col("outer")), inner, "idx", "outer")
+    inners = train.groupBy("idx").agg(F.collect_list(F.struct(F.col("outer").cast("int").alias("outer"), F.col("inner").cast("int").alias("inner"))).alias("inners"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in batches:
+            x, y = np.stack(pdf["bands"]) - x0, pdf["target"].to_numpy(float) - y0
+            where: dict[tuple[int, int], list[int]] = {}
+            for i, (own, others) in enumerate(zip(pdf["fold"], pdf["inners"], strict=True)):
+                for key in [(int(own), -1), *((o["outer"], o["inner"]) for o in (others if others is not None else []))]:
+                    where.setdefault(key, []).append(i)
+            for key, at in where.items():
+                sums[key] = sums.get(key, 0) + _sums(x[at], y[at])
+        yield pd.DataFrame([(*k, m) for k, m in sums.items()], columns=["outer", "inner", "m"])
+
+    wide = spectra.select("idx", "fold", "bands", "target").join(inners, "idx", "left")
+    return _summed(wide.mapInPandas(run, f"outer int, inner int, {FIELDS}"), ["outer", "inner"])
 
 
 def pls_fit(m: np.ndarray, n_comp: int) -> list[tuple[np.ndarray, float]]:
@@ -95,7 +133,7 @@ def _square(flat) -> np.ndarray:
     return a.reshape(int(round(len(a) ** 0.5)), -1)
 
 
-def _scores(folds: dict[int, dict[int, np.ndarray]], most: int, config: tuple[int, int, int] | None) -> list[tuple]:
+def _scores(folds: dict[int, dict[int, np.ndarray]], most: int, config: tuple[int, int, int] | None, fit: Callable = pls_fit, score: Callable = errors) -> list[tuple]:
     """(kind, fold, components, mse, r2) of single and nested cross-validation over moments by outer and inner fold."""
     if config:
         der, order, window = config
@@ -104,51 +142,56 @@ def _scores(folds: dict[int, dict[int, np.ndarray]], most: int, config: tuple[in
     out = []
     for o, by in folds.items():
         own, train = by[-1], sum(m for i, m in by.items() if i >= 0)
-        models = pls_fit(train, most)
-        out += [("single", o, k + 1, *errors(own, *b)) for k, b in enumerate(models)]
+        models = fit(train, most)
+        out += [("single", o, k + 1, *score(own, *b)) for k, b in enumerate(models)]
         inner = np.zeros(most)
         for i, m in by.items():
             if i >= 0:
-                inner += [errors(m, *b)[0] for b in pls_fit(train - m, most)]
+                inner += [score(m, *b)[0] for b in fit(train - m, most)]
         best = int(np.argmin(np.round(inner, 12)))
-        out.append(("nested", o, best + 1, *errors(own, *models[best])))
+        out.append(("nested", o, best + 1, *score(own, *models[best])))
     return out
 
 
-def cross_validate(spectra: DataFrame, *, most: int = 15, inner: int = 10, configs: list[tuple[int, int, int] | None] = (None,)) -> DataFrame:
+def cross_validate(spectra: DataFrame, *, most: int = 15, inner: int = 10, configs: list[tuple[int, int, int] | None] = (None,), fit: Callable = pls_fit, score: Callable = errors, split: Callable = contiguous_folds) -> DataFrame:
     """kind (single, nested), der, ord, wl (null without filter), fold, components, mse, rmse, r2. spectra: idx, fold, bands, target.
 
-    Each configuration is one row that a task scores on all folds' moments, whose size doesn't depend on the rows.
+    The folds' moments, whose size depends on bands and folds only, go to the tasks once; a configuration is scored in one task.
+    fit: (Gram matrix, components) -> [(coefficients, intercept)], score: (Gram matrix, coefficients, intercept) -> (mse, r2).
     """
-    folds = spectra.select("fold").distinct().withColumnRenamed("fold", "outer")
-    train = spectra.join(folds, F.col("fold") != F.col("outer"))
-    train = contiguous_folds(train, inner, "idx", "outer").select("outer", "inner", "bands", "target")
-    own = spectra.select(F.col("fold").alias("outer"), F.lit(-1).alias("inner"), "bands", "target")
-    m = moments(train.withColumn("inner", F.col("inner").cast("int")).union(own), ["outer", "inner"])
-    spark = spectra.sparkSession
+    by: dict[int, dict[int, np.ndarray]] = {}
+    for r in fold_moments(spectra, inner, split).toPandas().itertuples():
+        by.setdefault(r.outer, {})[r.inner] = _square(r.m)
+    if sum(m.nbytes for f in by.values() for m in f.values()) > MOST_BYTES:
+        raise ValueError("too many bands and folds to send their moments to every task")
     rows = [(i, *(c or (None, None, None))) for i, c in enumerate(configs)]
-    plan = spark.createDataFrame(rows, "config int, der int, ord int, wl int").join(m)
+    spark = spectra.sparkSession
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for c in pdf.itertuples():
+                config = None if pd.isna(c.wl) else (int(c.der), int(c.ord), int(c.wl))
+                out = pd.DataFrame(_scores(by, most, config, fit, score), columns=["kind", "fold", "components", "mse", "r2"])
+                out["rmse"] = np.sqrt(out["mse"])
+                for name, value in zip(("der", "ord", "wl"), config or (None,) * 3, strict=True):
+                    out[name] = pd.array([value] * len(out), dtype="Int32")
+                yield out[["kind", "der", "ord", "wl", "fold", "components", "mse", "rmse", "r2"]]
+
+    plan = spark.createDataFrame(rows, "config int, der int, ord int, wl int").repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "config")
+    return plan.mapInPandas(scored, "kind string, der int, ord int, wl int, fold int, components int, mse double, rmse double, r2 double")
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        by: dict[int, dict[int, np.ndarray]] = {}
-        for r in pdf.itertuples():
-            by.setdefault(r.outer, {})[r.inner] = _square(r.m)
-        first = pdf.iloc[0]
-        config = None if pd.isna(first["wl"]) else (int(first["der"]), int(first["ord"]), int(first["wl"]))
-        out = pd.DataFrame(_scores(by, most, config), columns=["kind", "fold", "components", "mse", "r2"])
-        out["rmse"] = np.sqrt(out["mse"])
-        for name, value in zip(("der", "ord", "wl"), config or (None,) * 3, strict=True):
-            out[name] = pd.array([value] * len(out), dtype="Int32")
-        return out[["kind", "der", "ord", "wl", "fold", "components", "mse", "rmse", "r2"]]
 
-    return plan.groupBy("config").applyInPandas(score, "kind string, der int, ord int, wl int, fold int, components int, mse double, rmse double, r2 double")
+def preprocessing_grid(spectra: DataFrame, n: int, *, configs: list[tuple[int, int, int]] | None = None, **options) -> DataFrame:
+    """cross_validate's fold rows of SNV and MSC spectra (prep snv, msc) and of SNV spectra under each filter (prep sg)."""
+    filters = cross_validate(snv(spectra), configs=[None, *(grid() if configs is None else configs)], **options)
+    return filters.withColumn("prep", F.when(F.col("wl").isNull(), "snv").otherwise("sg")).unionByName(cross_validate(msc(spectra, n), **options).withColumn("prep", F.lit("msc")))
 
 
-def cv_summary(folds: DataFrame) -> DataFrame:
+def cv_summary(folds: DataFrame, *by: str) -> DataFrame:
     """Means and population deviations over folds; nested runs choose components per fold, so they have one row."""
     key = F.when(F.col("kind") == "single", F.col("components")).alias("components")
     stats = [f(c).alias(f"{c}_{n}") for c in ("mse", "rmse", "r2") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    return folds.groupBy("kind", "der", "ord", "wl", key).agg(*stats)
+    return folds.groupBy("kind", *by, "der", "ord", "wl", key).agg(*stats)
 
 
 def best_components(cv: DataFrame) -> DataFrame:
@@ -184,6 +227,6 @@ def cv_report(folds: DataFrame) -> DataFrame:
 
 
 def select_best(folds: DataFrame) -> DataFrame:
-    """The nested runs' best configuration."""
-    s = cv_summary(folds).where("kind = 'nested' and wl is not null").withColumnRenamed("mse_mean", "mse")
-    return s.withColumn("_n", F.row_number().over(Window.orderBy("mse", "der", "ord", "wl"))).where("_n = 1 and mse <> 0").drop("_n")
+    """The nested runs' best filter: the least mean error that isn't 0."""
+    s = cv_summary(folds).where("kind = 'nested' and wl is not null and mse_mean <> 0").withColumnRenamed("mse_mean", "mse")
+    return s.orderBy("mse", "der", "ord", "wl").limit(1)

@@ -131,14 +131,18 @@ def group_summary(df: DataFrame, key: str, value: str) -> DataFrame:
     s = df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), q.alias("q"))
     s = s.select("*", *[F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)]).drop("q")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(F.broadcast(s.select(key, (F.col("q1") - reach).alias("_lo"), (F.col("q3") + reach).alias("_hi"))), key).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+    inside = df.join(s.select(key, (F.col("q1") - reach).alias("_lo"), (F.col("q3") + reach).alias("_hi")), key).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
     return s.join(inside.groupBy(key).agg(F.min(value).alias("whisker_lo"), F.max(value).alias("whisker_hi")), key)
 
 
+def target_range(df: DataFrame, other: DataFrame, value: str) -> DataFrame:
+    """lo and hi of a value over both tables."""
+    return df.select(value).unionByName(other.select(value)).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
 def minmax_scale(df: DataFrame, other: DataFrame, value: str) -> DataFrame:
     """value scaled to [0, 1] by its range over both tables."""
-    r = df.select(value).unionByName(other.select(value)).agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    return df.withColumn("_r", r).withColumn(value, F.try_divide(F.col(value) - F.col("_r.lo"), F.col("_r.hi") - F.col("_r.lo"))).drop("_r")
+    return df.withColumn("_r", target_range(df, other, value).select(F.struct("*")).scalar()).withColumn(value, F.try_divide(F.col(value) - F.col("_r.lo"), F.col("_r.hi") - F.col("_r.lo"))).drop("_r")
 
 
 def quantile_groups(df: DataFrame, target: str, n: int) -> DataFrame:

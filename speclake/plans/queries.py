@@ -11,6 +11,8 @@ from ..operators import instances as I
 from ..operators import radiometry as R
 from ..operators import regression as P
 from ..operators import stats as S
+from ..sources import envi as E
+from ..sources import tables as T
 from . import views as V
 from .views import N, with_views
 
@@ -110,9 +112,13 @@ def mean_dark_frame(spark: SparkSession, d: str) -> DataFrame:
     return long(R.mean_dark_frame(V.dark(spark, d), N), "row", "col")
 
 
-@query("with dark as (select row, col, band, avg(value * 0.05) as dk from planes where image_id % 10 = 0 group by all) select image_id, row, col, band, round((value - dk) / 4.0, 6) as value from planes join dark using (row, col, band)", "planes")
+@query("with dark as (select row, col, band, avg(value * 0.05) as dk from planes where image_id % 10 = 0 group by all) select case when image_id % 2 = 0 then 'calibration' else 'acquisition' end as phase, image_id, row, col, band, round((value - dk) / case when image_id % 2 = 0 then 2.0 else 4.0 end, 6) as value from planes join dark using (row, col, band)", "planes")
 def subtract_dark(spark: SparkSession, d: str) -> DataFrame:
-    return long(R.subtract_dark(V.pixels(spark, d), R.mean_dark_frame(V.dark(spark, d), N), 2.0, 4.0), *PIXEL)
+    """Calibration frames over 2.0, acquisition frames over 4.0: each over its own exposure time."""
+    p, dark = V.pixels(spark, d), R.mean_dark_frame(V.dark(spark, d), N)
+    phases = (("calibration", 0, 2.0, 4.0), ("acquisition", 1, 4.0, 2.0))
+    a, b = (R.subtract_dark(p.where(F.col("image_id") % 2 == k), dark, own, other).withColumn("phase", F.lit(name)) for name, k, own, other in phases)
+    return long(a.unionByName(b), "phase", *PIXEL)
 
 
 @query("select image_id, row, col, panel, band, value from inroi", "inroi")
@@ -153,9 +159,19 @@ def fit_empirical_line(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(_coef(spark, d), "intercept"), "slope", digits=9)
 
 
-@query("select image_id, row, col, band, round(least(greatest((value * slope + intercept) * 1.0, 0), 1), 5) as value from planes join coef using (band)", "planes", "coef")
+@query("select image_id, row, col, band, round(least(greatest(coalesce((value * slope + intercept) * 1.0, value), 0), 1), 5) as value from planes left join (select * from coef where band < 9) using (band)", "planes", "coef")
 def apply_empirical_line(spark: SparkSession, d: str) -> DataFrame:
-    return long(R.apply_empirical_line(V.pixels(spark, d), _coef(spark, d), 1.0, clip=True), *PIXEL, digits=5)
+    """Band 9 has no line: it keeps its value, and is clipped like the others."""
+    return long(R.apply_empirical_line(V.pixels(spark, d), _coef(spark, d).where("band < 9"), 1.0, clip=True), *PIXEL, digits=5)
+
+
+@query("select band, 0.0::double as intercept, round(known / measured, 12) as slope from measured join known using (band, panel) where panel = 3", "measured", "known")
+def fit_single_panel(spark: SparkSession, d: str) -> DataFrame:
+    """One panel section: the line through the origin, saved and loaded again."""
+    one = R.fit_empirical_line(R.mean_of_shots(_roi_means(spark, d)).where("panel = 3"), V.known(spark), origin=True)
+    path = V.scratch(spark, "line")
+    R.save_line(one, path)
+    return rounded(rounded(R.load_line(spark, path), "intercept"), "slope", digits=12)
 
 
 @query("select image_id, panel, band, round(avg(value * slope + intercept), 5) as value from inroi join coef using (band) group by all", "inroi", "coef")
@@ -276,7 +292,7 @@ def _nmi_sql(k: str) -> str:
 
 @query(f"with b as ({_BIN}), joint as (select x.image_id, x.band, x.bin as a, y.bin as b, count(*) as n from b x join b y on x.image_id = y.image_id and x.row = y.row and x.col = y.col and y.band = 5 and x.band <> 5 group by all), {_nmi_sql('image_id, band')} select image_id, band, round(nmi, 6) as nmi from found", "planes")
 def normalized_mi(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.normalized_mi(V.planes(spark, d), 5, 4), "nmi")
+    return rounded(A.normalized_mi(V.pixels(spark, d), 5, N, 4), "nmi")
 
 
 @query("select image_id, band, round(sum(row * value) / sum(value), 6) as row_c, round(sum(col * value) / sum(value), 6) as col_c from planes group by all", "planes")
@@ -284,9 +300,13 @@ def intensity_centroid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.intensity_centroid(V.planes(spark, d)), "row_c", "col_c")
 
 
-@query(f"with b as ({_BIN}), joint as (select x.image_id, x.band, d_row, d_col, x.bin as a, y.bin as b, count(*) as n from b x cross join (values (-2), (0), (2)) r(d_row) cross join (values (-2), (0), (2)) c(d_col) join b y on x.image_id = y.image_id and x.row + d_row = y.row and x.col + d_col = y.col and y.band = 5 and x.band <> 5 group by all), {_nmi_sql('image_id, band, d_row, d_col')}, best as (select *, row_number() over (partition by image_id, band order by round(nmi, 9) desc nulls last, d_row, d_col) as n from found) select image_id, band, d_row, d_col, round(nmi, 6) as nmi from best where n = 1", "planes")
+_START = "c as (select image_id, band, sum(row * value) / sum(value) as r, sum(col * value) / sum(value) as k from planes group by all), s as (select c.image_id, c.band, round(e.r - c.r)::int as r0, round(e.k - c.k)::int as k0 from c join c e on e.image_id = c.image_id and e.band = 5 and c.band <> 5)"
+
+
+@query(f"with b as ({_BIN}), {_START}, shifts as (select image_id, band, (r0 + i)::int as d_row, (k0 + j)::int as d_col from s, range(-5, 6) x(i), range(-5, 6) y(j)), counted as (select x.image_id, x.band, d_row, d_col, x.bin as a, y.bin as b, count(*) as n from b x join shifts using (image_id, band) join b y on x.image_id = y.image_id and x.row + d_row = y.row and x.col + d_col = y.col and y.band = 5 group by all), joint as (select * from counted qualify sum(n) over (partition by image_id, band, d_row, d_col) >= 16), {_nmi_sql('image_id, band, d_row, d_col')}, best as (select *, row_number() over (partition by image_id, band order by round(nmi, 9) desc nulls last, d_row, d_col) as n from found) select image_id, band, d_row, d_col, round(nmi, 6) as nmi from best where n = 1", "planes")
 def coarse_shift_search(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.coarse_shift_search(V.planes(spark, d), 5, [-2, 0, 2], 4), "nmi")
+    """All 121 shifts around the offset of the centers of mass."""
+    return rounded(A.coarse_shift_search(V.planes(spark, d), 5, 8, 8, max_shift=10, samples=10, bins=4), "nmi")
 
 
 @query("select g.image_id, g.band, g.row, g.col, coalesce(p.value, 0) as value from planes g left join planes p on p.image_id = g.image_id and p.band = g.band and p.row = g.row - g.band % 3 and p.col = g.col + 1", "planes")
@@ -429,6 +449,21 @@ def savgol(spark: SparkSession, d: str) -> DataFrame:
     return long(B.savgol(V.spectra(spark, d), 7, 3, 1, 64), "id")
 
 
+_EDGES = [B.savgol_weights(7, 3, 1, at=k) for k in range(7)]
+_ROWS = ", ".join(str((k, (start := min(max(k - 3, 0), 57)) + 1, _EDGES[k - start])) for k in range(64))
+
+
+@query(f"select id, band::int as band, round(list_inner_product(bands[s:s + 6], w), 6) as value from spectra, (values {_ROWS}) t(band, s, w)", "spectra")
+def savgol_full(spark: SparkSession, d: str) -> DataFrame:
+    """All bands: the outermost are read off the fits to the outermost windows."""
+    return long(B.savgol(V.spectra(spark, d), 7, 3, 1, 64, trim=False), "id")
+
+
+@query("select round(least(min(p_retailprice::double), (select min(target) from spectra)), 6) as lo, round(greatest(max(p_retailprice::double), (select max(target) from spectra)), 6) as hi from part", "spectra")
+def target_range(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(S.target_range(V.spectra(spark, d), V.table(spark, d, "part").select(F.col("p_retailprice").cast("double").alias("target")), "target"), "lo", "hi")
+
+
 def _pred(spark: SparkSession, d: str) -> DataFrame:
     return P.pls_predict(_folds(spark, d), [10.0] * 64, 1200.0)
 
@@ -437,6 +472,11 @@ _PRED = _FOLD + ", pred as (select *, 1200 + list_sum(bands) * 10 as pred from f
 _METRIC = "select fold::bigint as fold, avg((target - pred) * (target - pred)) as mse, 1 - avg((target - pred) * (target - pred)) / var_pop(target) as r2 from pred group by fold"
 
 
+@query(f"{_PRED} select id, round(pred, 6) as pred from pred", "spectra")
+def pls_predict(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_pred(spark, d).select("id", "pred"), "pred")
+
+
 @query(f"{_PRED} select fold, round(mse, 4) as mse, round(sqrt(mse), 4) as rmse, round(r2, 6) as r2 from ({_METRIC})", "spectra")
 def fold_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(P.fold_metrics(_pred(spark, d), ["fold"]), "mse", "rmse", digits=4), "r2").withColumn("fold", F.col("fold").cast("long"))
@@ -477,26 +517,143 @@ def moments(spark: SparkSession, d: str) -> DataFrame:
     return m.select("fold", F.col("m")[0].alias("n"), F.round(F.col("m")[1], 6).alias("sx"), F.round(F.col("m")[66 + 65], 4).alias("sxy"))
 
 
+def _ten_folds(spark: SparkSession, d: str) -> DataFrame:
+    return S.stratified_folds(S.quantile_groups(V.spectra(spark, d), "target", 5), 10).withColumn("fold", F.col("fold").cast("int"))
+
+
 @query()
 def cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Single and nested cross-validation of plain spectra."""
-    s = _folds(spark, d).withColumn("fold", F.col("fold").cast("int"))
-    return P.cv_summary(P.cross_validate(s, most=6, inner=5))
+    """Single and nested cross-validation of plain spectra: 10 outer and 10 inner folds, 15 components."""
+    return P.cv_summary(P.cross_validate(_ten_folds(spark, d)))
 
 
 @query()
 def preprocessing_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The best of the filter grid by nested cross-validation, on SNV spectra."""
-    s = B.snv(_folds(spark, d)).withColumn("fold", F.col("fold").cast("int"))
-    return P.select_best(P.cross_validate(s, most=4, inner=4, configs=P.grid()))
+    """Single and nested results of SNV, MSC and the 243 filters on SNV spectra."""
+    return P.cv_summary(P.preprocessing_grid(_ten_folds(spark, d), 64), "prep")
 
 
 @query()
+def select_best(spark: SparkSession, d: str) -> DataFrame:
+    """The filter with the least nested error."""
+    return P.select_best(P.preprocessing_grid(_ten_folds(spark, d), 64).where("prep = 'sg'"))
+
+
+@query("with m as (select image_id, ann_id, min(row) as r, min(col0) as c from masks group by all), e as (select *, r + k as row, ceil(c + 4 * (1 - (k + 0.5) / 5) - 0.5)::int as stop from m, range(5) t(k)) select image_id, ann_id, row::int as row, c::int as col0, least(stop, 8)::int as col1 from e where least(stop, 8) > c", "masks")
 def rasterize_polygons(spark: SparkSession, d: str) -> DataFrame:
     """Row runs of a triangle per instance."""
-    from ..sources.tables import rasterize_polygons as rasterize
-
     m = V.masks(spark, d).groupBy("image_id", "ann_id").agg(F.min("row").alias("r"), F.min("col0").alias("c"))
     corner = [F.col("c"), F.col("r"), F.col("c") + 4, F.col("r"), F.col("c"), F.col("r") + 5]
     polygon = F.array(F.array(*[x.cast("double") for x in corner]))
-    return rasterize(m.select("image_id", "ann_id", polygon.alias("segmentation"), F.lit(8).alias("width"), F.lit(8).alias("height")))
+    return T.rasterize_polygons(m.select("image_id", "ann_id", polygon.alias("segmentation"), F.lit(8).alias("width"), F.lit(8).alias("height")))
+
+
+def _cubes(spark: SparkSession, d: str) -> str:
+    """The images as ENVI cubes in a new folder whose name has a space."""
+    path = f"{V.scratch(spark, 'cubes')} x"
+    E.write_envi(V.pixels(spark, d).withColumn("image_id", F.col("image_id").cast("string")), E.local(path), 8, 8, N)
+    return path
+
+
+_CUBE = "select distinct image_id::varchar as image_id"
+
+
+@query(f"{_CUBE}, 'cube.hdr' as hdr, 'cube.dat' as dat from planes", "planes")
+def list_acquisitions(spark: SparkSession, d: str) -> DataFrame:
+    last = lambda c: F.element_at(F.split(c, "/"), -1).alias(c)
+    return E.list_acquisitions(spark, _cubes(spark, d)).select("image_id", last("hdr"), last("dat"))
+
+
+@query(f"{_CUBE}, (8 * 8 * {N} * 4)::bigint as length from planes", "planes")
+def write_envi(spark: SparkSession, d: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dat").load(_cubes(spark, d))
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("image_id"), "length")
+
+
+@query("select image_id::varchar as image_id, row, col, band, value from planes", "planes")
+def read_envi(spark: SparkSession, d: str) -> DataFrame:
+    return long(E.read_envi(spark, _cubes(spark, d), 3).withColumn("bands", F.col("bands").cast("array<double>")), *PIXEL)
+
+
+def _coco(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations as read_annotations gives them: the masks' rectangles; the numbers are those of the table."""
+    m = V.masks(spark, d).groupBy("image_id", "ann_id", "plant_no", "grape_no").agg(F.min("row").cast("double").alias("r"), F.min("col0").cast("double").alias("c"))
+    box = F.array(F.col("c"), F.col("r"), F.lit(4.0), F.lit(5.0)).alias("bbox")
+    polygon = F.array(F.col("c"), F.col("r"), F.col("c") + 4, F.col("r"), F.col("c") + 4, F.col("r") + 5, F.col("c"), F.col("r") + 5)
+    named = F.concat(F.lit("set/img"), F.lpad(F.col("image_id").cast("string"), 9, "0"), F.lit(".png")).alias("file_name")
+    attributes = F.struct((F.col("image_id") % 3 != 0).alias("tagged"), F.col("plant_no").cast("string").alias("plant_no"), F.col("grape_no").cast("string").alias("grape_no")).alias("attributes")
+    return m.select(named, F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("ann_id").alias("seq"), box, F.lit(0.995).alias("score"), F.array(polygon, F.array(F.lit(1.0), F.lit(2.0))).alias("segmentation"), attributes)
+
+
+_COCO = "with m as (select image_id, ann_id, plant_no, grape_no, min(row) as r, min(col0) as c from masks group by all)"
+
+
+@query(f"{_COCO} select 'img' || lpad(image_id::varchar, 9, '0') as image_id, ann_id::int as ann_id, plant_no::varchar as plant_no, grape_no::varchar as grape_no, image_id % 3 <> 0 as tagged, c::double as x, r::double as y, 1::int as polygons from m", "masks")
+def read_annotations(spark: SparkSession, d: str) -> DataFrame:
+    path = V.scratch(spark, "coco")
+    T.write_annotations(_coco(spark, d), path)
+    a = T.read_annotations(spark, path)
+    return a.select("image_id", F.col("ann_id").cast("int").alias("ann_id"), "attributes.plant_no", "attributes.grape_no", "attributes.tagged", F.get("bbox", F.lit(0)).alias("x"), F.get("bbox", F.lit(1)).alias("y"), F.size("segmentation").alias("polygons"))
+
+
+@query(f"{_COCO} select dense_rank() over (order by image_id)::int as no, count(*) over (partition by image_id)::int as annotations from m qualify row_number() over (partition by image_id order by ann_id) = 1", "masks")
+def write_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """One document per image."""
+    path = V.scratch(spark, "coco")
+    T.write_annotations(_coco(spark, d), path)
+    doc = spark.read.schema(T.COCO).json(path)
+    return doc.select(F.get("images", F.lit(0))["id"].alias("no"), F.size("annotations").alias("annotations"))
+
+
+@query("select c_custkey as seq, 'p' || c_nationkey as plant, round(c_acctbal::double, 6) as \"Brix\" from customer")
+def read_lab_table(spark: SparkSession, d: str) -> DataFrame:
+    path = V.scratch(spark, "lab")
+    c = V.table(spark, d, "customer")
+    c.select(F.col("c_custkey").alias("seq"), F.concat(F.lit("p"), "c_nationkey").alias("plant"), F.col("c_acctbal").cast("double").alias("Brix")).write.csv(path, header=True)
+    return rounded(T.read_lab_table(spark, path, "seq long, plant string, Brix double"), "Brix")
+
+
+@query("select p_partkey::int as wavelength, panel, kind, round(p_retailprice::double / f, 6) as pct from part, (values ('White', 'total', 100.0), ('White', 'diffuse', 200.0), ('Black', 'total', 400.0), ('Black', 'diffuse', 800.0)) t(panel, kind, f)")
+def read_panel_table(spark: SparkSession, d: str) -> DataFrame:
+    path, price = V.scratch(spark, "panels"), F.col("p_retailprice").cast("double")
+    wide = [(price / f).alias(c) for c, f in (("White total", 100), ("White diffuse", 200), ("Black total", 400), ("Black diffuse", 800))]
+    V.table(spark, d, "part").select(F.col("p_partkey").alias("Wavelength"), *wide).write.csv(path, header=True)
+    return rounded(T.read_panel_table(spark, path, ["White", "Black"], ["total", "diffuse"]), "pct")
+
+
+def _matrix(spark: SparkSession, d: str) -> str:
+    path = V.scratch(spark, "matrix")
+    T.save_matrix(_coef(spark, d).select("band", "intercept", "slope"), path)
+    return path
+
+
+@query("select band::double as band, round(intercept, 9) as intercept, round(slope, 12) as slope from coef", "coef")
+def load_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rounded(T.load_matrix(spark, _matrix(spark, d), ["band", "intercept", "slope"]), "intercept", digits=9), "slope", digits=12)
+
+
+@query("select band, 3::int as fields from coef", "coef")
+def save_matrix(spark: SparkSession, d: str) -> DataFrame:
+    fields = F.split("value", ",")
+    return spark.read.text(_matrix(spark, d)).select(F.get(fields, F.lit(0)).cast("int").alias("band"), F.size(fields).alias("fields"))
+
+
+_BANDS = [500.0 + 6.25 * k for k in range(64)]
+
+
+def _dataset(spark: SparkSession, d: str) -> str:
+    path = V.scratch(spark, "dataset")
+    T.write_dataset(V.spectra(spark, d).withColumnRenamed("target", "Brix"), path, _BANDS, ["Brix"])
+    return path
+
+
+@query("select id, band, round(value, 6) as value, round(target, 6) as \"Brix\" from long", "long")
+def read_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(long(T.read_dataset(spark, _dataset(spark, d), _BANDS, ["Brix"]), "id", "Brix"), "Brix")
+
+
+@query("select id, round(bands[1], 6) as first, round(bands[64], 6) as last from spectra", "spectra")
+def write_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Under its own header: one column per wavelength."""
+    t = spark.read.csv(_dataset(spark, d), header=True)
+    return rounded(t.select("id", F.col(f"`{_BANDS[0]:g}`").cast("double").alias("first"), F.col(f"`{_BANDS[-1]:g}`").cast("double").alias("last")), "first", "last")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one (local runs) or under the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        local = spark.sparkContext.master.startswith("local")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/stage"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path}/{name}-{uuid.uuid4().hex}"
+
+
 def planes(spark: SparkSession, d: str) -> DataFrame:
     """Ten vectors are the ten 8 x 8 bands of an image."""
     v = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v"))
@@ -54,7 +67,7 @@ def masks(spark: SparkSession, d: str) -> DataFrame:
 
 def lab_plant(spark: SparkSession, d: str) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    by = c.join(n, c["c_nationkey"] == n["n_nationkey"]).groupBy("n_nationkey").agg(F.round(F.avg(F.col("c_acctbal").cast("double")), 2).alias("Brix"))
+    by = c.join(n, c["c_nationkey"] == n["n_nationkey"]).groupBy("n_nationkey").agg(F.round(F.avg(F.col("c_acctbal").cast("double")), 5).alias("Brix"))
     return by.select(F.lit(DATE).cast("date").alias("date"), F.col("n_nationkey").cast("int").alias("plant"), F.lit(1).alias("seq"), "Brix")
 
 
@@ -92,7 +105,7 @@ SQL = {
     "clean": "select m.* replace (case when b.image_id is null then value else 0 end as value) from masked m left join bad b using (image_id, ann_id, row, col)",
     "inst": "select image_id, ann_id, plant_no, grape_no, band, coalesce(avg(nullif(value, 0)), 0) as value, sum(value) as s, count(nullif(value, 0)) as n from clean group by all",
     "plant": "select plant_no, a.band, sum(s) / nullif(sum(first), 0) as value from inst a join (select image_id, ann_id, n as first from inst where band = 0) using (image_id, ann_id) group by all",
-    "lab_plant": "select n_nationkey::int as plant, round(avg(c_acctbal::double), 2) as Brix from customer join nation on c_nationkey = n_nationkey group by 1",
+    "lab_plant": "select n_nationkey::int as plant, round(avg(c_acctbal::double), 5) as Brix from customer join nation on c_nationkey = n_nationkey group by 1",
     "spectra": "select 'g' || (label + 1) || 'p' || vec_id as id, vec_id as idx, list_transform(embedding, lambda v: v::double) as bands, p_retailprice::double as target from embeddings join part on p_partkey = vec_id",
     "long": "select id, idx, target, unnest(range(64))::int as band, unnest(bands) as value from spectra",
     "nmi_a": "select l_suppkey as image_id, l_linenumber as band, round(avg(l_discount::double), 9) as nmi from lineitem where l_returnflag = 'A' group by all",

@@ -6,7 +6,6 @@ they must lie on a file system that all executors mount.
 
 from __future__ import annotations
 
-import glob
 import os
 import re
 from collections.abc import Iterator
@@ -27,26 +26,34 @@ def parse_header(text: str) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in pairs}
 
 
+def _files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """stem, path and content of the files of a kind; the content is only read if asked for."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").load(folder)
+    return files.select(F.regexp_replace("path", rf"\.{kind}$", "").alias("stem"), F.col("path").alias(kind), "content")
+
+
+def _acquisitions(spark: SparkSession, folder: str) -> DataFrame:
+    digits = F.regexp_replace(F.element_at(F.split("stem", "/"), -2), r"\D", "")
+    image = F.when(digits != "", digits).otherwise(F.element_at(F.split("stem", "/"), -1))
+    hdr = _files(spark, folder, "hdr").select("stem", image.alias("image_id"), "hdr", F.decode("content", "UTF-8").alias("header"))
+    return hdr.join(_files(spark, folder, "dat").select("stem", "dat"), "stem").drop("stem")
+
+
 def list_acquisitions(spark: SparkSession, folder: str) -> DataFrame:
     """image_id, hdr, dat: one row per header that has its samples; the id is the digits of the folder, or the stem without any."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{hdr,dat}").load(folder).select("path")
-    parts = F.split("path", "/")
-    stem = F.regexp_replace("path", r"\.(hdr|dat)$", "")
-    digits = F.regexp_replace(F.element_at(parts, -2), r"\D", "")
-    files = files.select("path", stem.alias("stem"), F.when(digits != "", digits).otherwise(F.element_at(F.split(stem, "/"), -1)).alias("image_id"))
-    hdr = files.where("path like '%.hdr'").select("stem", "image_id", F.col("path").alias("hdr"))
-    return hdr.join(files.where("path like '%.dat'").select("stem", F.col("path").alias("dat")), "stem").drop("stem")
+    return _acquisitions(spark, folder).drop("header")
 
 
-def _local(path: str) -> str:
+def local(path: str) -> str:
+    """The path on a mounted file system."""
     return re.sub(r"^file:/+", "/", path)
 
 
 def read_envi(spark: SparkSession, folder: str, block_rows: int = 64) -> DataFrame:
-    """pixels of all cubes in the folder (bsq, bil or bip, either byte order)."""
-    acquisitions = list_acquisitions(spark, folder)
-    blocks = acquisitions.join(spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.hdr").select(F.col("_metadata.file_path").alias("hdr"), F.col("value").alias("header")), "hdr")
-    lines = F.regexp_extract("header", r"(?m)^\s*lines\s*=\s*(\d+)", 1).cast("int")
+    """pixels of all cubes in the folder (bsq, bil or bip, either byte order); a header without its sizes is an error."""
+    blocks = _acquisitions(spark, folder)
+    lines = F.regexp_extract("header", r"(?m)^\s*lines\s*=\s*(\d+)", 1)
+    lines = F.when(lines != "", lines.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no number of lines in "), "hdr")).cast("int"))
     blocks = blocks.withColumn("row0", F.explode(F.sequence(F.lit(0), lines - 1, F.lit(block_rows)))).repartition(F.col("dat"), F.col("row0"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,7 +63,7 @@ def read_envi(spark: SparkSession, folder: str, block_rows: int = 64) -> DataFra
                 rows, cols, n = int(h["lines"]), int(h["samples"]), int(h["bands"])
                 kind = np.dtype(TYPES[h["data type"]]).newbyteorder(">" if h.get("byte order", "0") == "1" else "<")
                 shape, axes = {"bsq": ((n, rows, cols), (1, 2, 0)), "bil": ((rows, n, cols), (0, 2, 1)), "bip": ((rows, cols, n), (0, 1, 2))}[h.get("interleave", "bsq").lower()]
-                cube = np.memmap(_local(r.dat), kind, "r", int(h.get("header offset", 0)), shape).transpose(axes)
+                cube = np.memmap(local(r.dat), kind, "r", int(h.get("header offset", 0)), shape).transpose(axes)
                 part = np.array(cube[r.row0 : r.row0 + block_rows], np.float32)
                 rr, cc = np.divmod(np.arange(part.shape[0] * cols), cols)
                 yield pd.DataFrame({"image_id": r.image_id, "row": (rr + r.row0).astype(np.int32), "col": cc.astype(np.int32), "bands": list(part.reshape(-1, n))})
@@ -85,7 +92,3 @@ def write_envi(pixels: DataFrame, folder: str, rows: int, cols: int, n: int) ->
 
     long = pixels.select("image_id", "row", "col", F.posexplode("bands").alias("band", "value"))
     long.groupBy("image_id", "band").applyInPandas(plane, "image_id string, band int").write.format("noop").mode("overwrite").save()
-
-
-def headers(folder: str) -> list[str]:
-    return sorted(glob.glob(f"{folder}/**/*.hdr", recursive=True))

@@ -23,14 +23,14 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_annotations(instances: DataFrame, folder: str) -> None:
-    """COCO 1.0, one document per image: ids from 1, category 1, polygons of more than 5 numbers. instances as read_annotations gives."""
+    """COCO 1.0, one file per image: ids from 1, category 1, polygons of more than 5 numbers. instances as read_annotations gives."""
     images = instances.select("file_name", "width", "height").distinct().withColumn("no", F.row_number().over(Window.orderBy("file_name")))
     w = Window.partitionBy("file_name").orderBy("seq")
     polygons = F.filter("segmentation", lambda p: F.size(p) > 5)
     a = instances.withColumn("ann_no", F.row_number().over(w)).join(images.select("file_name", "no"), "file_name")
     ann = F.struct(F.col("ann_no").alias("id"), F.col("no").alias("image_id"), F.lit(1).alias("category_id"), "bbox", "score", F.lit(0).alias("iscrowd"), polygons.alias("segmentation"), "attributes")
     image = F.struct(F.col("no").alias("id"), "file_name", "width", "height")
-    a.groupBy("no", "file_name", "width", "height").agg(F.sort_array(F.collect_list(ann)).alias("annotations")).select(F.array(image).alias("images"), "annotations").write.mode("overwrite").json(folder)
+    a.groupBy("no", "file_name", "width", "height").agg(F.sort_array(F.collect_list(ann)).alias("annotations")).select(F.array(image).alias("images"), "annotations", F.col("no").alias("image")).write.mode("overwrite").partitionBy("image").json(folder)
 
 
 def read_lab_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
