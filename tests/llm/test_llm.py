@@ -12,7 +12,6 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from speclake.llm import hnsw, html_extract, langid, minhash, mixing, packing, quality, secret_scan, suffix_dedup, tokens
 
 #: Extra columns whose names clash with those of the operators.
@@ -424,9 +423,3 @@ def test_nearest_doubles(spark):
     first = got[got.query_id == 0].sort_values("rank")
     assert first.vec_id.tolist() == list(range(29, 9, -1)) and first.score.tolist() == [float(np.dot(np.array(v[0]), np.array(v[i]))) for i in range(29, 9, -1)]
     assert got[got.query_id == 40].sort_values("rank").vec_id.tolist() == list(range(30, 40)) + list(range(41, 51)) and set(got.query_id) == {0, 20, 40}
-
-
-def test_pipeline(spark, tmp_path, docs):
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in rows} <= {0, 3, 9, 12, 13, 15, None, 10} and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
