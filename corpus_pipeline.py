@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-duplicates, secrets, mixture and packing, each stage on what the one before kept."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, mixture and packing, each stage on what the one before kept.
+
+Defined results, of every stage: null texts are empty (the quality rules drop them as short); rows without id are documents of
+their own that no stage links; repeated rows are judged alike, kept or dropped together, and packed each; an empty table gives
+an empty result; other columns, whatever their names, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +46,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Packing, the last stage, isn't expressible in SQL; tests hold run() against a brute-force version.
+#: Packing, the last stage, isn't expressible in SQL; tests hold run() and each stage against plain loops.
 ORACLE_SQL = None
 
 
