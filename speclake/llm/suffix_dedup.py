@@ -347,8 +347,9 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = found.where(local | again | several)
     found = stage(found.select("id", "digest", "at", F.when(again | several, F.col("gram")).alias("gram"), F.when(again, F.col("context")).alias("context"), F.when(several, F.col("size") > CROWDED).alias("crowded")), "repeats")
     runs = found.where("gram is not null").groupBy("id", "digest").agg(F.collect_set(F.struct("at", "gram", "context", "crowded")).alias("runs"))
-    contexts = rows.join(runs, ["id", "digest"]).select("id", "digest", "text", "runs").mapInArrow(_contexts(length), f"key long, same long, {who}, context binary")
+    contexts = rows.join(runs, ["id", "digest"]).select("own", "id", "digest", "text", "runs")  # all columns of rows, so that their exchange serves both joins
+    contexts = contexts.mapInArrow(_contexts(length), f"key long, same long, {who}, context binary")
     again = contexts.repartition("key").sortWithinPartitions("key", "same", "id", "digest", "at").mapInArrow(_sorted_runs(length), who)
     marks = found.where("gram is null").select("id", "digest", "at").union(again).groupBy("id", "digest").agg(F.collect_list("at").alias("marks"))
-    out = rows.join(marks, ["id", "digest"], "left").select("own", "text", "marks")
+    out = rows.join(marks, ["id", "digest"], "left").select("own", "id", "digest", "text", "marks")
     return out.mapInArrow(_cut(length), f"doc_id {own.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("doc_id", id_col)
