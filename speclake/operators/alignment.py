@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import per_band
 
+#: Images whose joint counts a task adds up at once.
+HELD = 64
+
 
 def assign_sensor(bands_dim: DataFrame, boundary: int) -> DataFrame:
     return bands_dim.withColumn("sensor", F.when(F.col("band") < boundary, 2).otherwise(1))
@@ -36,16 +40,62 @@ def _information(joint: DataFrame, keys: list[str]) -> DataFrame:
 def normalized_mi(pixels: DataFrame, ref_band: int, n: int, bins: int = 100) -> DataFrame:
     """image_id, band, nmi of each of n bands with the reference band; null where a plane is flat. pixels: image_id, row, col, bands.
 
-    A pixel's row holds the reference value too, so nothing is joined but the bounds of the planes, one row an image; joint
-    counts are added up in each task before they are dealt.
+    A pixel's row holds the reference value too, so nothing is joined but the bounds of the planes, one row an image. Joint counts
+    are added up in each task, for up to HELD images at once, before they are dealt.
     """
     bounds = pixels.groupBy("image_id").agg(per_band(n, F.min).alias("_lo"), per_band(n, F.max).alias("_hi"))
-    cell = lambda v, lo, hi: F.when(hi > lo, F.least(F.floor(F.try_divide(v - lo, hi - lo) * bins), F.lit(bins - 1)))
-    b = pixels.join(bounds, "image_id").select("image_id", F.zip_with("bands", F.arrays_zip("_lo", "_hi"), lambda v, r: cell(v, r["_lo"], r["_hi"])).alias("_b"))
-    b = b.select("image_id", F.get("_b", F.lit(ref_band)).alias("b"), F.posexplode("_b").alias("band", "a")).where(F.col("band") != ref_band)
-    joint = b.where("a is not null and b is not null").groupBy("image_id", "band", "a", "b").agg(F.count("*").alias("n"))
+    kind, size = dict(pixels.dtypes)["image_id"], bins * bins
+
+    def rows_of(held: dict, of: pa.DataType) -> pa.RecordBatch:
+        images, codes, counts = [], [], []
+        for image, (code, count) in held.items():
+            images.append(np.full(len(code), len(images)))
+            codes.append(code), counts.append(count)
+        code = np.concatenate(codes)
+        who = pa.array(list(held), of).take(pa.array(np.concatenate(images)))
+        parts = {"band": code // size, "a": code % size // bins, "b": code % bins}
+        return pa.RecordBatch.from_pydict({"image_id": who, **{k: pa.array(v.astype(np.int32)) for k, v in parts.items()}, "n": pa.array(np.concatenate(counts))})
+
+    def joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            image = batch.column("image_id").dictionary_encode()
+            v, lo, hi = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n) for c in ("bands", "_lo", "_hi"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cell = np.minimum(np.floor((v - lo) / (hi - lo) * bins), bins - 1)
+            there = (hi > lo) & np.isfinite(cell) & np.isfinite(cell[:, [ref_band]])
+            there[:, ref_band] = False
+            code = (np.arange(n) * size + np.where(there, cell, 0) * bins + np.where(np.isfinite(cell[:, [ref_band]]), cell[:, [ref_band]], 0)).astype(np.int64)
+            which = image.indices.to_numpy()
+            for k, name in enumerate(image.dictionary.to_pylist()):
+                mine = which == k
+                found, count = np.unique(code[mine][there[mine]], return_counts=True) if mine.sum() < 1000 else _counted(np.bincount(code[mine][there[mine]], minlength=n * size))
+                if name in held:
+                    found, at = np.unique(np.append(held[name][0], found), return_inverse=True)
+                    count = np.bincount(at, np.append(held[name][1], count)).astype(np.int64)
+                held[name] = found, count
+            if len(held) > HELD:
+                yield rows_of(held, image.dictionary.type)
+                held = {}
+        if held:
+            yield rows_of(held, image.dictionary.type)
+
+    counts = pixels.join(bounds, "image_id").select("image_id", "bands", "_lo", "_hi").mapInArrow(joint, f"image_id {kind}, band int, a int, b int, n long")
+    counts = counts.groupBy("image_id", "band", "a", "b").agg(F.sum("n").alias("n"))
     others = bounds.select("image_id", F.explode(F.array(*[F.lit(k) for k in range(n) if k != ref_band])).alias("band"))
-    return others.join(_information(joint, ["image_id", "band"]), ["image_id", "band"], "left")
+    return others.join(_information(counts, ["image_id", "band"]), ["image_id", "band"], "left")
+
+
+def _counted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(n)
+    return at, n[at]
+
+
+def _by_plane(planes: DataFrame) -> DataFrame:
+    """Dealt by plane in a fixed number of tasks: a few rows mean much work, so small partitions aren't merged."""
+    return planes.repartition(int(planes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "band")
 
 
 def intensity_centroid(planes: DataFrame) -> DataFrame:
@@ -109,11 +159,11 @@ def coarse_shift_search(planes: DataFrame, ref_band: int, rows: int, cols: int,
                     out.append((p.image_id, p.band, *best))
             yield pd.DataFrame(out, columns=["image_id", "band", "d_row", "d_col", "nmi"])
 
-    whole = planes.groupBy("image_id", "band").applyInPandas(plane, f"image_id {kind['image_id']}, band {kind['band']}, bin binary, row_c double, col_c double")
+    whole = _by_plane(planes).groupBy("image_id", "band").applyInPandas(plane, f"image_id {kind['image_id']}, band {kind['band']}, bin binary, row_c double, col_c double")
     ref = whole.where(F.col("band") == ref_band).select("image_id", F.col("bin").alias("ref"), F.col("row_c").alias("_r"), F.col("col_c").alias("_c"))
     both = whole.where(F.col("band") != ref_band).join(ref, "image_id")
     both = both.select("image_id", "band", "bin", "ref", (F.col("_r") - F.col("row_c")).alias("row_off"), (F.col("_c") - F.col("col_c")).alias("col_off"))
-    return both.mapInPandas(search, f"image_id {kind['image_id']}, band {kind['band']}, d_row int, d_col int, nmi double")
+    return _by_plane(both).mapInPandas(search, f"image_id {kind['image_id']}, band {kind['band']}, d_row int, d_col int, nmi double")
 
 
 def _entropy(n: np.ndarray) -> float:
@@ -149,4 +199,4 @@ def undistort(planes: DataFrame, lens: dict[int, dict[str, float]], boundary: in
         return pdf.assign(value=value)
 
     schema = ", ".join(f"{c} {kind[c]}" for c in ("image_id", "band", "row", "col"))
-    return planes.select("image_id", "band", "row", "col", "value").groupBy("image_id", "band").applyInPandas(gather, f"{schema}, value double")
+    return _by_plane(planes.select("image_id", "band", "row", "col", "value")).groupBy("image_id", "band").applyInPandas(gather, f"{schema}, value double")
