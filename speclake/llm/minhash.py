@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bounded, by_bytes, mix, prefix_hashes, release, span_hashes, stage, utf8, word_spans
@@ -161,7 +161,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
 
 
 def _forest(words: int, percent: int):
-    """Links between different labels of two blocks of a family, as a spanning forest."""
+    """Links between different labels of two blocks of a family, as a spanning forest of the labels."""
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
@@ -193,13 +193,13 @@ def _forest(words: int, percent: int):
                 x = root[x]
             return x
 
-        out, node = [], block["node"].to_numpy()
+        out = []
         for a, b in zip(*np.nonzero(linked), strict=True):
-            x, y = find(label[left[a]]), find(label[right[b]])
-            if x != y:
-                root[x] = y
-                out.append((node[left[a]], node[right[b]]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64" if node.dtype == np.int64 else object)
+            x, y = label[left[a]], label[right[b]]
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                out.append((x, y))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64" if label.dtype == np.int64 else object)
 
     return run
 
@@ -238,27 +238,33 @@ def _in_blocks(df: DataFrame) -> DataFrame:
     return df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def _families(pairs: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, label, family and the family's blocks, of the nodes of pairs (a, b)."""
-    family = components(pairs).withColumnRenamed("label", "family")
-    members = family.join(labels, "node", "left").join(classes.select("node", "n_shingles"), "node")
-    members = stage(members.select("node", F.coalesce("label", "node").alias("label"), "family", "n_shingles"), "families")
+def _families(led: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, label, family and the family's blocks, where nodes that share a lead are one family. led: node, lead; a lead leads itself.
+
+    A node's leads are joined by links to the least of them, so components are sought among the few leads, not all nodes.
+    """
+    led = stage(led.withColumn("top", F.min("lead").over(Window.partitionBy("node"))), "led")
+    families = components(led.where("lead <> top").select(F.col("lead").alias("a"), F.col("top").alias("b")).distinct())
+    tops = led.where("lead = top").select("node", "top").distinct().join(families.select(F.col("node").alias("top"), F.col("label").alias("family")), "top", "left")
+    members = tops.join(labels, "node", "left").join(classes.select("node", "n_shingles"), "node")
+    members = stage(members.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("family", "top").alias("family"), "n_shingles"), "families")
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     return stage(members.join(sizes, "family").select("node", "label", "family", "blocks"), "blocks")
 
 
 def _unresolved_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links that hub pairs haven't shown. shared: band, bucket, node, hub."""
+    """Links between components (their labels) that hub pairs haven't shown. shared: band, bucket, node, hub."""
     kind = classes.schema["node"].dataType.simpleString()
     named = shared.where("node <> hub").join(labels, "node", "left").select("band", "bucket", "node", F.coalesce("label", "node").alias("label"))
     torn = named.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first"), F.ceil(F.count("*") / BLOCK_PLANES).cast("int").alias("blocks")).where("lo <> hi")
     named = stage(named.join(torn.drop("lo", "hi"), ["band", "bucket"]), "torn")
-    members = _families(named.select(F.col("node").alias("a"), F.col("first").alias("b")), labels, classes)
+    members = _families(named.select("node", F.col("first").alias("lead")), labels, classes)
     large = members.where("blocks > 1").select("node")
     if not large.isEmpty():
         packed = named.join(large, "node", "left_semi").join(classes.select("node", "planes"), "node").select("band", "bucket", "blocks", "node", "label", "planes")
         near = stage(_in_blocks(packed).groupBy("band", "bucket", "i", "j").applyInPandas(_likely, f"a {kind}, b {kind}").distinct(), "near")
-        members = stage(members.where("blocks = 1").union(_families(near, labels, classes)), "members")
+        led = near.select(F.col("b").alias("node"), F.col("a").alias("lead")).union(near.select("a", "a").distinct())
+        members = stage(members.where("blocks = 1").union(_families(led, labels, classes)), "members")
     known = texts.select(F.col("doc_id").alias("node"), "text").join(bounded(members), "node")
     dealt = _in_blocks(known).select("family", "i", "j", "node", "label", "block", "text")
     return stage(dealt.groupBy("family", "i", "j").applyInPandas(_forest(words, percent), f"a {kind}, b {kind}"), "links")
@@ -281,13 +287,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = components(links)
 
     more = _unresolved_links(shared, labels, classes, texts, words, percent)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    joined = components(more).select(F.col("node").alias("component"), F.col("label").alias("least"))
 
     several = classes.where("n > 1").select("digest", "node")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = out.join(several, "digest", "left").withColumn("node", F.coalesce("node", "doc_id")).join(labels, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node"))
+    out = out.withColumn("component", F.coalesce("label", "node")).join(bounded(joined), "component", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "component"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
