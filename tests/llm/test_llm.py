@@ -423,3 +423,28 @@ def test_nearest_doubles(spark):
     first = got[got.query_id == 0].sort_values("rank")
     assert first.vec_id.tolist() == list(range(29, 9, -1)) and first.score.tolist() == [float(np.dot(np.array(v[0]), np.array(v[i]))) for i in range(29, 9, -1)]
     assert got[got.query_id == 40].sort_values("rank").vec_id.tolist() == list(range(30, 40)) + list(range(41, 51)) and set(got.query_id) == {0, 20, 40}
+
+
+def test_families_of_leads(spark):
+    """Nodes that share a lead, over any number of steps, are one family; its id is the least lead."""
+    rng = np.random.default_rng(5)
+    led = {(int(n), int(n) // 10 * 10 + int(rng.integers(0, 3))) for n in rng.integers(0, 300, 200)} | {(7, 0), (25, 10), (25, 21)}
+    led |= {(lead, lead) for _, lead in led}
+    root = {n: n for n, _ in led}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, lead in led:
+        a, b = find(n), find(lead)
+        root[max(a, b)] = min(a, b)
+    nodes = sorted(root)
+    want = {n: min(lead for m, lead in led if find(m) == find(n)) for n in nodes}
+    classes = spark.createDataFrame([(n, 5) for n in nodes], "node long, n_shingles long")
+    labels = spark.createDataFrame([(nodes[0], -1)], "node long, label long")
+    out = minhash._families(spark.createDataFrame(sorted(led), "node long, lead long"), labels, classes).collect()
+    assert {r.node: r.family for r in out} == want and len(out) == len(nodes)
+    assert {r.node: r.label for r in out} == {n: -1 if n == nodes[0] else n for n in nodes}
+    assert {r.blocks for r in out} == {1}
