@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import per_band
+from .stats import numbered
 
 
 def tagged_instances(instances: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def join_lab_plant(instances: DataFrame, lab: DataFrame, date: str) -> DataFrame
 
 def number_annotations(instances: DataFrame) -> DataFrame:
     """Image numbers from 1 by file name, annotation numbers from 1 inside each image, in input order (seq)."""
-    images = instances.select("file_name").distinct().withColumn("image_no", F.row_number().over(Window.orderBy("file_name")))
+    images = numbered(instances.select("file_name").distinct(), "image_no", "file_name").drop("_total").withColumn("image_no", F.col("image_no").cast("int"))
     ann = F.row_number().over(Window.partitionBy("file_name").orderBy("seq"))
     return instances.withColumn("ann_no", ann).join(images, "file_name")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import msc, savgol_weights, snv
+from ..sources.staging import staged
 from .stats import contiguous_folds
 
 FIELDS = "m array<double>"
@@ -55,6 +56,7 @@ def fold_moments(spectra: DataFrame, inner: int, split: Callable = contiguous_fo
     A row is read once and added to the sums of every outer fold in its task. spectra: idx (unique), fold, bands, target. split:
     (rows, inner, order, within) -> rows with `inner`.
     """
+    spectra = staged(spectra.select("idx", "fold", "bands", "target"), "spectra")
     mean = {r["k"]: r["v"] for r in spectra.select(F.posexplode("bands").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v")).collect()}
     x0, y0 = np.array([mean[k] for k in sorted(mean)]), spectra.agg(F.avg("target")).first()[0]
     folds = spectra.select(F.col("fold").alias("outer")).distinct()

@@ -16,11 +16,36 @@ from pyspark.sql import functions as F
 EULER = 0.57721
 #: Sign flips that one group of rows computes.
 BLOCK = 250
+#: Order keys that are drawn to cut a global order in ranges, and drawn keys a range. Any draw gives the same numbers.
+DRAWN, PER_RANGE = 4096, 16
+
+
+def numbered(df: DataFrame, name: str, *order: str, within: str | None = None) -> DataFrame:
+    """name: position from 1 in the order, over all rows or those of equal `within` (null: a value of its own); _total: how many there are.
+
+    The order is cut in ranges at drawn keys. Rows are numbered inside their range, in a task a range, and a range's first number
+    is the count of the rows before it. Rows with equal keys share a range; nulls come first.
+    """
+    own = [within] if within else []
+    keys = df.select(F.struct(*order).alias("k"))
+    edges = keys.orderBy(F.xxhash64("k")).limit(DRAWN).agg(F.array_sort(F.collect_set("k")).alias("k")).select(F.filter("k", lambda k, i: i % PER_RANGE == 0)).scalar()
+    cut = df.withColumn("_e", edges).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.struct(*order)))).drop("_e")
+    sizes = cut.groupBy(*own, "_b").agg(F.count("*").alias("_n"))
+    ranges = Window.partitionBy(*own)
+    before = F.coalesce(F.sum("_n").over(ranges.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(c).alias("_w") for c in own], F.col("_b").alias("_c"), before.alias("_before"), F.sum("_n").over(ranges).alias("_total"))
+    same = F.col("_b") == F.col("_c")
+    if within:
+        same &= F.col(within).eqNullSafe(F.col("_w"))
+    else:
+        sizes = F.broadcast(sizes)  # a row a range
+    place = F.row_number().over(Window.partitionBy(*own, "_b").orderBy(*order))
+    return cut.join(sizes, same).withColumn(name, F.col("_before") + place).drop("_w", "_b", "_c", "_before")
 
 
 def every_other(df: DataFrame, order: str) -> DataFrame:
     """The 1st, 3rd, 5th ... row in order."""
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(order))).where("_n % 2 = 1").drop("_n")
+    return numbered(df, "_p", order).where("_p % 2 = 1").drop("_p", "_total")
 
 
 def pair_methods(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -152,24 +177,33 @@ def quantile_groups(df: DataFrame, target: str, n: int) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, k: int, order: str = "idx", grp: str = "grp") -> DataFrame:
-    """fold: k folds that keep the classes' shares, dealt in row order."""
-    code = F.min(order).over(Window.partitionBy(grp))
-    by_class = df.withColumn("_code", code).withColumn("_p", F.row_number().over(Window.orderBy("_code", order)) - 1)
-    by_class = by_class.withColumn("_rank", F.row_number().over(Window.partitionBy(grp).orderBy(order)))
-    slots = by_class.select(grp, (F.col("_p") % k).alias("fold"), "_p").withColumn("_rank", F.row_number().over(Window.partitionBy(grp).orderBy("fold", "_p"))).drop("_p")
-    return by_class.join(slots, [grp, "_rank"]).drop("_code", "_p", "_rank")
+    """fold: k folds that keep the classes' shares, dealt in row order.
+
+    Classes in the order of their first rows fill the places 0, 1, 2 ...; place p is of fold p % k. A class's rows, in order, take
+    its places of fold 0, then those of fold 1 and so on, so a row's fold follows from its rank and the class's first place.
+    """
+    classes = df.groupBy(F.col(grp).alias("_g")).agg(F.min(order).alias("_code"), F.count("*").alias("_n"))
+    start = F.coalesce(F.sum("_n").over(Window.orderBy("_code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = numbered(df, "_rank", order, within=grp).join(classes.select("_g", start.alias("_start")), F.col(grp).eqNullSafe(F.col("_g")))
+    places = lambda end, f: F.floor((end - 1 - f) / k) + 1
+    upto = [sum((places(F.col("_start") + F.col("_total"), f) - places(F.col("_start"), f) for f in range(last + 1)), F.lit(0)) for last in range(k - 1)]
+    fold = sum(((F.col("_rank") > n).cast("long") for n in upto), F.lit(0).cast("long"))
+    return ranked.withColumn("fold", fold).drop("_g", "_start", "_rank", "_total")
 
 
 def contiguous_folds(df: DataFrame, k: int, order: str = "idx", within: str | None = None) -> DataFrame:
-    """inner: k contiguous folds, sizes differing by at most 1."""
-    w = Window.partitionBy(within) if within else Window.partitionBy()
-    return df.withColumn("inner", F.ntile(k).over(w.orderBy(order)) - 1)
+    """inner: k contiguous folds, sizes differing by at most 1, the larger ones first."""
+    least, more = F.floor(F.col("_total") / k), F.col("_total") % k
+    place, large = F.col("_p") - 1, more * (least + 1)
+    inner = F.when(place < large, F.floor(place / (least + 1))).otherwise(more + F.floor((place - large) / F.greatest(least, F.lit(1))))
+    return numbered(df, "_p", order, within=within).withColumn("inner", inner.cast("int")).drop("_p", "_total")
 
 
 def batch_number(df: DataFrame, size: int, order: str) -> DataFrame:
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    return numbered(df, "_p", order).withColumn("batch", F.floor((F.col("_p") - 1) / size)).drop("_p", "_total")
 
 
 def shuffle_rows(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
     """idx: position in a seeded order of the ids."""
-    return df.withColumn("idx", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)))
+    drawn = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    return numbered(drawn, "idx", "_h", key).withColumn("idx", F.col("idx").cast("int")).drop("_h", "_total")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import scratch  # noqa: F401
+
 N = 10
 WAVELENGTHS = {0: 500.0, 1: 508.2, 2: 556.5, 3: 600.0, 4: 642.7, 5: 688.0, 6: 721.5, 7: 780.0, 8: 842.5, 9: 900.0}
 ROI = [(0, 0, 3, 0, 3), (1, 0, 3, 4, 8), (2, 4, 8, 0, 3), (3, 4, 8, 4, 8)]
@@ -19,16 +18,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one (local runs) or under the warehouse."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        local = spark.sparkContext.master.startswith("local")
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/stage"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path}/{name}-{uuid.uuid4().hex}"
-
-
 def planes(spark: SparkSession, d: str) -> DataFrame:
     """Ten vectors are the ten 8 x 8 bands of an image."""
     v = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v"))

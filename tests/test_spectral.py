@@ -71,6 +71,41 @@ def test_corrections(spark):
     assert [count(f) for f in (S.correct_none, S.correct_bonferroni, S.correct_bh, S.correct_by)] == [5, 1, 2, 1]
 
 
+def test_numbering(spark):
+    """Positions and folds against loops over sorted rows, over many ranges; nulls, ties, one class with most rows, no rows."""
+    r = np.random.default_rng(5)
+    idx = r.permutation(9000)
+    rows = [(int(i), None if i % 11 == 0 else "big" if i % 3 else f"c{i % 5}", None if i == 7 else float(i * 37 % 9001)) for i in idx]
+    df = spark.createDataFrame(rows, "idx long, grp string, value double")
+    by = sorted(rows, key=lambda x: (x[2] is not None, x[2]))
+    assert {x["idx"]: x["n"] for x in S.numbered(df, "n", "value").collect()} == {x[0]: k + 1 for k, x in enumerate(by)}
+    own = {}
+    for x in by:
+        own.setdefault(x[1], []).append(x[0])
+    got = S.numbered(df, "n", "value", within="grp").collect()
+    assert {(x["idx"], x["n"], x["_total"]) for x in got} == {(i, k + 1, len(ids)) for ids in own.values() for k, i in enumerate(ids)}
+    ties = S.numbered(df.withColumn("value", F.lit(1)), "n", "value")
+    assert sorted(x["n"] for x in ties.collect()) == list(range(1, 9001))
+    assert all(f(df.limit(0)).count() == 0 for f in (lambda d: S.numbered(d, "n", "idx"), lambda d: S.stratified_folds(d, 3), lambda d: S.contiguous_folds(d, 3)))
+
+    classes = {}
+    for x in sorted(rows):
+        classes.setdefault(x[1], []).append(x[0])
+    want, start = {}, 0
+    for ids in sorted(classes.values()):  # in the order of their first rows
+        want |= zip(ids, sorted(p % 7 for p in range(start, start + len(ids))), strict=True)
+        start += len(ids)
+    assert {x["idx"]: x["fold"] for x in S.stratified_folds(df, 7).collect()} == want
+    for n, k in ((9000, 7), (5, 8)):
+        part = df.where(F.col("idx") < n)
+        for within in (None, "grp"):
+            groups = {}
+            for x in sorted(x for x in rows if x[0] < n):
+                groups.setdefault(within and x[1], []).append(x[0])
+            want = {i: f for ids in groups.values() for f, a in enumerate(np.array_split(ids, k)) for i in a}
+            assert {x["idx"]: x["inner"] for x in S.contiguous_folds(part, k, within=within).collect()} == want
+
+
 def test_permutations(spark):
     assert Q.ITERS == 10_000
     sign = lambda k: -1.0 if int(hashlib.md5(k.encode()).hexdigest()[0], 16) % 2 else 1.0
