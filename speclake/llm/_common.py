@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. options: the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +62,16 @@ def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+_kept: dict = {}
+
+
+def kept(key: Hashable, make: Callable):
+    """What `make` gives for the key, made once in a Python worker and kept for its later tasks."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
