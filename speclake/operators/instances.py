@@ -1,6 +1,9 @@
 """Instances: masks, outliers, mean spectra and laboratory values.
 
 mask_runs: image_id, ann_id, row, col0, col1 (half-open). masked: pixels with ann_id and the columns of their instance.
+
+Masks, bounds and means all read the same pixels: pixel_layout writes them once by image and row, so that mask joins move only mask
+runs, and bounds go to the pixels on the runs of their instance.
 """
 
 from __future__ import annotations
@@ -9,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import per_band
+from ..sources.staging import bucketed
+from .quantiles import band_quantiles
 from .stats import numbered
 
 
@@ -36,24 +41,39 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.dropna()
 
 
+def pixel_layout(pixels: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The pixels as a table bucketed by image and row, for mask_join. An image is spread over the buckets."""
+    return bucketed(pixels, "pixels", "image_id", "row", buckets=buckets)
+
+
 def mask_join(pixels: DataFrame, mask_runs: DataFrame) -> DataFrame:
-    """The pixels of each instance; a pixel may lie in several. Keyed by image and row, so a crowded image is spread."""
+    """The pixels of each instance, with the runs' other columns; a pixel may lie in several. Keyed by image and row, so a crowded image is spread."""
     both = pixels.join(mask_runs, ["image_id", "row"])
     return both.where((F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col1"))).drop("col0", "col1")
 
 
-def iqr_bounds(masked: DataFrame, n: int, tolerance: float = 2.2) -> DataFrame:
-    """Per instance: lo and hi, arrays by band of median -+ tolerance * interquartile range (zeros included)."""
-    q = masked.groupBy("image_id", "ann_id").agg(*[F.percentile(F.get("bands", F.lit(k)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}") for k in range(n)])
-    side = lambda s: F.array(*[F.get(f"q{k}", F.lit(1)) + s * tolerance * (F.get(f"q{k}", F.lit(2)) - F.get(f"q{k}", F.lit(0))) for k in range(n)])
+def iqr_bounds(masked: DataFrame, n: int, tolerance: float = 2.2, **options) -> DataFrame:
+    """Per instance: lo and hi, arrays by band of median -+ tolerance * interquartile range (zeros included). options: band_quantiles'."""
+    q = band_quantiles(masked, ["image_id", "ann_id"], n, [0.25, 0.5, 0.75], **options)
+    side = lambda s: F.transform("q", lambda x: x[1] + s * tolerance * (x[2] - x[0]))
     return q.select("image_id", "ann_id", side(-1).alias("lo"), side(1).alias("hi"))
 
 
+def zero_outliers(bounded: DataFrame) -> DataFrame:
+    """Pixels with the columns lo and hi, which go: a pixel outside of them in any band is zeroed in all."""
+    bad = F.exists(F.arrays_zip("bands", "lo", "hi"), lambda x: (x["bands"] < x["lo"]) | (x["bands"] > x["hi"]))
+    return bounded.withColumn("bands", F.when(bad, F.transform("bands", lambda v: F.lit(0.0))).otherwise(F.col("bands"))).drop("lo", "hi")
+
+
 def remove_outlier_pixels(masked: DataFrame, bounds: DataFrame) -> DataFrame:
     """A pixel outside the bounds in any band is zeroed in all."""
-    out = masked.join(bounds, ["image_id", "ann_id"])
-    bad = F.exists(F.arrays_zip("bands", "lo", "hi"), lambda x: (x["bands"] < x["lo"]) | (x["bands"] > x["hi"]))
-    return out.withColumn("bands", F.when(bad, F.transform("bands", lambda v: F.lit(0.0))).otherwise(F.col("bands"))).drop("lo", "hi")
+    return zero_outliers(masked.join(bounds, ["image_id", "ann_id"]))
+
+
+def clean_instances(layout: DataFrame, mask_runs: DataFrame, n: int, tolerance: float = 2.2) -> DataFrame:
+    """masked without outliers, of a pixel_layout: the runs bring their instance's bounds to the pixels."""
+    bounds = iqr_bounds(mask_join(layout, mask_runs.select("image_id", "ann_id", "row", "col0", "col1")), n, tolerance)
+    return zero_outliers(mask_join(layout, mask_runs.join(bounds, ["image_id", "ann_id"])))
 
 
 def instance_mean_spectrum(masked: DataFrame, n: int, keep: tuple[str, ...] = ()) -> DataFrame:

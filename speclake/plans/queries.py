@@ -222,13 +222,13 @@ def mask_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select image_id, ann_id, band, round(lo, 6) as lo, round(hi, 6) as hi from bounds", "bounds")
 def iqr_bounds(spark: SparkSession, d: str) -> DataFrame:
-    b = I.iqr_bounds(_masked(spark, d), N, 1.2).select("image_id", "ann_id", F.posexplode(F.arrays_zip("lo", "hi")).alias("band", "x"))
+    m = I.mask_join(I.pixel_layout(V.pixels(spark, d)), V.masks(spark, d))
+    b = I.iqr_bounds(m, N, 1.2).select("image_id", "ann_id", F.posexplode(F.arrays_zip("lo", "hi")).alias("band", "x"))
     return rounded(b.select("image_id", "ann_id", "band", "x.lo", "x.hi"), "lo", "hi")
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
-    m = _masked(spark, d)
-    return I.remove_outlier_pixels(m, I.iqr_bounds(m, N, 1.2))
+    return I.clean_instances(I.pixel_layout(V.pixels(spark, d)), V.masks(spark, d), N, 1.2)
 
 
 @query("select image_id, ann_id, row, col, band, value from clean", "clean")
@@ -551,7 +551,7 @@ def rasterize_polygons(spark: SparkSession, d: str) -> DataFrame:
 def _cubes(spark: SparkSession, d: str) -> str:
     """The images as ENVI cubes in a new folder whose name has a space."""
     path = f"{V.scratch(spark, 'cubes')} x"
-    E.write_envi(V.pixels(spark, d).withColumn("image_id", F.col("image_id").cast("string")), E.local(path), 8, 8, N)
+    E.write_envi(V.pixels(spark, d), path, 8, 8, N)
     return path
 
 

@@ -23,3 +23,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, *keys: str, buckets: int | None = None) -> DataFrame:
+    """df as a table of `buckets` buckets (by default, the shuffle's partitions), written once: joins and groups on the keys don't deal it again."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, name)
+    called = f"{name}_{path[-32:]}".replace("-", "_")
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(called)
+    return spark.read.table(called)

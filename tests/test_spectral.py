@@ -18,7 +18,7 @@ from speclake.operators import radiometry as R
 from speclake.operators import regression as P
 from speclake.operators import stats as S
 from speclake.plans import queries as Q
-from speclake.sources import envi, tables
+from speclake.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -217,22 +217,6 @@ def test_keys_and_lines(spark):
 
 
 def test_files(spark, tmp_path):
-    cube = np.arange(4 * 5 * 3, dtype=np.uint16).reshape(4, 5, 3)
-    for k, (kind, axes, order) in enumerate([("bsq", (2, 0, 1), "<"), ("bil", (0, 2, 1), ">"), ("bip", (0, 1, 2), "<")]):
-        d = tmp_path / "in put" / f"ref_{k}"
-        d.mkdir(parents=True)
-        (d / "c.dat").write_bytes(b"junk" + cube.transpose(axes).astype(f"{order}u2").tobytes())
-        (d / "c.hdr").write_text(f"ENVI\nsamples = 5\nlines = 4\nbands = 3\nheader offset = 4\ndata type = 12\ninterleave = {kind}\nbyte order = {int(order == '>')}\n")
-    pixels = envi.read_envi(spark, str(tmp_path / "in put"), 3)
-    got = pixels.toPandas()
-    assert len(got) == 60 and all(list(cube[r.row, r.col]) == list(r.bands) for r in got.itertuples())
-    envi.write_envi(pixels, str(tmp_path / "out"), 4, 5, 3)
-    again = envi.read_envi(spark, str(tmp_path / "out")).toPandas()
-    key = lambda df: sorted((r.image_id, r.row, r.col, *r.bands) for r in df.itertuples())
-    assert key(again) == key(got)
-    (tmp_path / "in put" / "ref_0" / "c.hdr").write_text("ENVI\nsamples = 5\n")
-    with pytest.raises(Exception, match="no number of lines"):
-        envi.read_envi(spark, str(tmp_path / "in put")).count()
     shapes = spark.createDataFrame([("i", 1, [[0.0, 0.0, 4.0, 0.0, 4.0, 2.0, 0.0, 2.0], [2.0, 1.0, 9.0, 1.0, 9.0, 3.0, 2.0, 3.0]], 6, 6)], "image_id string, ann_id int, segmentation array<array<double>>, width int, height int")
     runs = sorted(tuple(r)[2:] for r in tables.rasterize_polygons(shapes).collect())
     assert runs == [(0, 0, 4), (1, 0, 6), (2, 2, 6)]
