@@ -16,7 +16,8 @@ order of the staged pieces; other columns are ignored; an empty table gives an e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,15 @@ SHARD_ROWS = 4096
 SLACK = 16
 #: Bytes of a text that are encoded at once, and of ids in a batch that goes back to Spark.
 STRETCH = 1 << 20
-#: Token ids that a Python worker remembers at most.
-REMEMBERED = 1 << 21
+#: Bytes of runs and of their ids that a Python worker remembers at most (it takes about ten times as much).
+REMEMBERED = 3 << 23
 
 
 class Remembered:
     """Token ids by run of non-blanks; each run is encoded once, all are forgotten when they are too many."""
 
     def __init__(self, model_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(model_path)
@@ -48,20 +50,24 @@ class Remembered:
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.held = 0
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        runs = text.split()
-        if len(self.ids) > REMEMBERED:
+    def learn(self, runs: Iterable[bytes]) -> None:
+        if self.held > REMEMBERED:
             self.forget()
         fresh = [r for r in dict.fromkeys(runs) if r not in self.place]
         if fresh:
             found = [e.ids for e in self.model.encode_batch_fast([r.decode() for r in fresh], add_special_tokens=False)]
             size = np.array([len(x) for x in found], np.int64)
+            self.held += sum(map(len, fresh)) + 4 * int(size.sum())
             self.place |= zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True)
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+
+    def __call__(self, runs: list[bytes]) -> np.ndarray:
+        """The ids of runs that are all known."""
         at = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
         size = self.size[at]
         ends = np.cumsum(size)
@@ -158,8 +164,17 @@ def window_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
         for batch in by_bytes(batches, "text", STRETCH):
             types = [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64()]
             rows, held = [], 0
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.concatenate([*(ids_of(part) for part in stretches((text or "").encode(), STRETCH)), np.array([end_id], np.uint32)]).astype("<u4")
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            runs = [t.split() for t in texts] if len(texts) > 1 else None  # several are a stretch together, one may be of any length
+            if runs:
+                ids_of.learn(r for doc in runs for r in doc)
+            for k, (key, text) in enumerate(zip(batch.column("id").to_pylist(), texts, strict=True)):
+                found = []
+                for part in [runs[k]] if runs else map(bytes.split, stretches(text, STRETCH)):
+                    if not runs:
+                        ids_of.learn(part)
+                    found.append(ids_of(part))
+                ids = np.concatenate([*found, np.array([end_id], np.uint32)]).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
                     rows.append((key, start, len(part), part.tobytes(), len(ids)))
