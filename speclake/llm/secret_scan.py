@@ -48,10 +48,12 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|your[_-]|dummy|sample|abcdefgh|12345678",
 )
-#: Paths and slugs, whose parts are judged.
-PARTED = r"^(?=.*/)/?[a-z]+[a-z0-9]*(/[a-z0-9._-]+)*/?$|^[a-z0-9]+([_-][a-z0-9]+)+$"
-#: What the SQL allows besides, whole: it misses lower-case keys that start with a letter or hold separators.
-SQL_ALLOWED = (r"^(/?[a-z]+[a-z0-9]*)(/[a-z0-9._-]+)*/?$", r"^[a-z0-9]+([_-][a-z0-9]+)+$")
+#: Paths and slugs, whose parts are judged: (characters and edges, what must be in, what must not). No pattern repeats a group,
+#: which Java's matcher would follow by recursion.
+PARTED = ((r"^/?[a-z][a-z0-9]*(/[a-z0-9._/-]*)?$", "/", "//"), (r"^[a-z0-9][a-z0-9_-]*[a-z0-9]$", "[_-]", "[_-][_-]"))
+#: Characters of candidates, whose counts lie in words of COUNTS counts of five bits.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+COUNTS, BITS = 12, 5
 REDACTED = "[SECRET]"
 CHUNK = 1024
 NAMED = "array<struct<start:int,end:int,kind:int,s:string>>"
@@ -81,22 +83,37 @@ def _spans(found: str, kind: int) -> Column:
 
 
 def highest_entropy(candidate: Column) -> Column:
-    """The highest Shannon entropy, in bits, of WINDOW consecutive characters; counts change by one character in, one out."""
-    bits = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 2)])
+    """The highest Shannon entropy, in bits, of WINDOW consecutive characters; counts change by one character in, one out.
+
+    Long candidates are read in chunks that share the characters of a window.
+    """
+    chunks = F.regexp_extract_all(candidate, F.lit(f".{{1,{CHUNK}}}"), F.lit(0))
+    overlapping = let(lambda q: F.transform(q["c"], lambda x, i: F.concat(x, F.coalesce(F.left(F.get(q["c"], i + 1), F.lit(WINDOW - 1)), F.lit("")))), c=chunks)
+    return F.array_max(F.transform(overlapping, _chunk_entropy))
+
+
+def _chunk_entropy(chunk: Column) -> Column:
+    gain = F.array(*[F.lit((n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)) for n in range(WINDOW + 1)])
+    codes = F.transform(F.split(chunk, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    word, bit = lambda c: F.floor(c / COUNTS).cast("int"), lambda c: c % COUNTS * BITS
+    count = lambda counts, c: F.call_function("shiftright", F.get(counts, word(c)), bit(c)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    moved = lambda counts, c, by: F.transform(counts, lambda v, k: F.when(k == word(c), v + by * F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))).otherwise(v))
 
     def best(q: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            rest = F.slice(q["codes"], F.greatest(i - WINDOW + 1, F.lit(0)) + 1, F.least(i, F.lit(WINDOW - 1)))  # what both windows share
-            n = lambda c: F.size(rest) - F.size(F.array_remove(rest, c))
-            gain = lambda c: let(lambda x: F.get(q["bits"], x["n"] + 1) - F.get(q["bits"], x["n"]), n=n(c))
-            lost = F.when(i >= WINDOW, gain(F.get(q["codes"], i - WINDOW))).otherwise(0.0)
-            s = acc["s"] - lost + gain(F.get(q["codes"], i))
-            return let(lambda x: F.struct(x["s"].alias("s"), F.greatest(acc["best"], F.when(i >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - x["s"] / WINDOW).otherwise(0.0)).alias("best")), s=s)
-
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+            full = i >= WINDOW
+            kept = lambda x: F.when(full, moved(acc["counts"], x["old"], -1)).otherwise(acc["counts"])
+            lost = lambda x: F.when(full, F.get(q["gain"], count(x["kept"], x["old"]))).otherwise(0.0)
+            into = lambda x: acc["s"] - lost(x) + F.get(q["gain"], count(x["kept"], x["new"]))
+            high = lambda v: F.greatest(acc["best"], F.when(i >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - v / WINDOW).otherwise(0.0))
+            done = lambda x: let(lambda y: F.struct(moved(x["kept"], x["new"], 1).alias("counts"), y["s"].alias("s"), high(y["s"]).alias("best")), s=into(x))
+            return let(lambda x: let(done, kept=kept(x), old=x["old"], new=x["new"]), old=F.get(q["codes"], i - WINDOW), new=F.get(q["codes"], i))
+
+        words = -(-len(ALPHABET) // COUNTS)
+        zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
         return F.aggregate(F.sequence(F.lit(0), F.size(q["codes"]) - 1), zero, step, lambda acc: acc["best"])
 
-    return let(best, codes=F.transform(F.split(candidate, ""), lambda c: F.ascii(c)), bits=bits)
+    return let(best, codes=codes, gain=gain)
 
 
 def _allowed(s: Column) -> Column:
@@ -114,7 +131,8 @@ def _random(s: Column) -> Column:
 
 
 def _suspicious(s: Column) -> Column:
-    parts = F.when(F.regexp_like(s, F.lit(PARTED)), F.split(s, "[/_-]")).otherwise(F.array(s))
+    parted = [F.regexp_like(s, F.lit(whole)) & F.regexp_like(s, F.lit(there)) & ~F.regexp_like(s, F.lit(never)) for whole, there, never in PARTED]
+    parts = F.when(parted[0] | parted[1], F.split(s, "[/_-]")).otherwise(F.array(s))
     return F.when(_allowed(s), False).otherwise(F.exists(parts, _random))
 
 
@@ -184,7 +202,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
 
 
 def oracle() -> str:
-    """secret_scan as DuckDB SQL over documents (doc_id unique, no secrets that only SQL_ALLOWED excuses)."""
+    """secret_scan as DuckDB SQL over documents (doc_id unique)."""
     quoted = {k: p.replace("'", "''") for k, p in SCANNED.items()} | {"entropy": CANDIDATE}
 
     def found(i: int, k: str) -> str:
@@ -196,8 +214,9 @@ def oracle() -> str:
     {k} as (select doc_id, {i} as kind, s[i] as str, v[i] as val,
                    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x))), 0) as start from {k}_i)"""
 
-    allowed = " or ".join(f"regexp_matches(str, '{p}')" for p in (*ALLOWED, *SQL_ALLOWED))
-    least = "case " + " ".join(f"when regexp_matches(str, '{p}') then {b}" for p, b in CLASSES.values()) + " end"
+    allowed = lambda s: " or ".join(f"regexp_matches({s}, '{p}')" for p in ALLOWED)
+    parted = " or ".join(f"(regexp_matches(str, '{whole}') and regexp_matches(str, '{there}') and not regexp_matches(str, '{never}'))" for whole, there, never in PARTED)
+    least = "case " + " ".join(f"when regexp_matches(part, '{p}') then {b}" for p, b in CLASSES.values()) + " end"
     counts = ", ".join(f"count(*) filter (kind = {i}) as n_{k}" for i, k in enumerate(KINDS))
     names = "['" + "', '".join([*KINDS, "entropy"]) + "']"
     joined = f"coalesce(string_agg({names}[kind + 1] || ':' || start::bigint || ':' || stop::bigint, ',' order by start, stop, kind)"
@@ -206,13 +225,14 @@ def oracle() -> str:
     base as (select doc_id, kind, start, start + length(str) as stop from assign where length(val) >= {LEAST["assign"]}
              union all select doc_id, kind, start, start + length(str) from access
              union all select doc_id, kind, start, start + length(str) from hex),
-    cand as (select doc_id, kind, str, start, start + length(str) as stop from entropy where not ({allowed})),
+    cand as (select doc_id, kind, str, start, start + length(str) as stop from entropy where not ({allowed('str')})),
     free as (select * from cand c where not exists (select 1 from base b where b.doc_id = c.doc_id and b.start < c.stop and c.start < b.stop)),
-    wins as (select doc_id, kind, str, start, stop, unnest(range(1, length(str)::bigint - {WINDOW - 2})) as w from free),
-    chars as (select doc_id, kind, str, start, stop, w, unnest(string_split(str[w:w + {WINDOW - 1}], '')) as ch from wins),
-    freq as (select doc_id, kind, str, start, stop, w, ch, count(*) as n from chars group by all),
-    ent as (select doc_id, kind, str, start, stop, w, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} as h from freq group by all),
-    more as (select doc_id, kind, start, stop from ent group by doc_id, kind, str, start, stop having max(h) >= {least}),
+    parts as (select distinct doc_id, kind, start, stop, unnest(case when {parted} then string_split_regex(str, '[/_-]') else [str] end) as part from free),
+    wins as (select *, unnest(range(1, length(part)::bigint - {WINDOW - 2})) as w from parts where length(part) >= {WINDOW} and not ({allowed('part')})),
+    chars as (select *, unnest(string_split(part[w:w + {WINDOW - 1}], '')) as ch from wins),
+    freq as (select doc_id, kind, part, start, stop, w, ch, count(*) as n from chars group by all),
+    ent as (select doc_id, kind, part, start, stop, w, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} as h from freq group by all),
+    more as (select distinct doc_id, kind, start, stop from (select doc_id, kind, part, start, stop from ent group by all having max(h) >= {least})),
     spans as (select * from base union all select * from more),
     per as (select doc_id, {counts}, {joined} filter (kind < {len(KINDS)}), '') as base, {joined}, '') as spans, count(*) filter (kind = {len(KINDS)}) as n_entropy from spans group by doc_id)
     select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_entropy, 0) as n_entropy

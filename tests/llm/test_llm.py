@@ -1,6 +1,8 @@
 """The operators of speclake.llm on small tables: brute force, nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 
@@ -113,6 +115,26 @@ def test_lower_case_secrets(spark):
     assert {x["text"] for x in secret_scan.redact(df).where(f"doc_id < {len(secret)}").collect()} == {"see [SECRET] end"}
 
 
+def test_long_candidates(spark):
+    """Slugs and paths of a million parts, a candidate of ten megabytes: judged to the end, without recursion."""
+    slug, path = "-".join(["ab1"] * 1_000_000), "usr" + "/b2" * 1_000_000
+    key = "k7" + "".join(random.Random(8).sample("abcdefghijklmnopqrstuvwxyz0123456789", 30))
+    late = "g1" * 5_000_000 + "/" + key
+    texts = [slug, path, f"{slug}-{key}", f"{path}/{key}", "A1" + late, f"{slug}--{key}", f"{key}-{slug}"]
+    df = spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate(texts)], "doc_id long, text string").repartition(len(texts))
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.secret_scan(df).collect()}
+    assert got == {i: "" if i < 2 else f"entropy:4:{4 + len(t)}" for i, t in enumerate(texts)}
+
+
+def test_highest_entropy(spark):
+    """Against counts of every window, over chunk edges."""
+    r = random.Random(3)
+    texts = ["".join(r.choice(of) for _ in range(n)) for n in (20, 21, 1024, 1030, 1043, 2500) for of in ("ab", secret_scan.ALPHABET, "0123456789abcdef")] + ["a" * 1020 + secret_scan.ALPHABET]
+    got = [x["h"] for x in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", secret_scan.highest_entropy(F.col("t")).alias("h")).orderBy("i").collect()]
+    entropy = lambda w: -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w).values())
+    assert got == pytest.approx([max(entropy(t[i : i + 20]) for i in range(len(t) - 19)) for t in texts], abs=1e-9)
+
+
 def test_many_secrets(spark):
     r = random.Random(12)
     parts = [f"{r.getrandbits(128):032x}" if i % 3 else f"Zx8Qp2Lw9Vt4Rk7Nb3Mh{i:06d}" for i in range(20_000)]
