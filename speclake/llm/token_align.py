@@ -35,7 +35,7 @@ MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SAFE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 SPACE = "▁"
 #: Characters of chunks and groups that a Python worker remembers at most.
-REMEMBERED = 3 << 22
+REMEMBERED = 5 << 22
 #: Characters of chunks that are encoded as one text.
 TOGETHER = 1 << 15
 #: Pairs of ids whose counts are broadcast (16 bytes each and their table); more go by a join.
@@ -118,15 +118,12 @@ class Aligner:
             ends_a = [stop for _, stop in spans]
         else:
             at = [*np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80).tolist(), len(text)]
-            ends_a, end = [], 0
-            for k, (_, stop) in enumerate(spans):
-                shared = k + 1 < len(spans) and spans[k + 1][0] < stop
-                end = end + len(bytes_a[k]) if shared else at[stop]
-                ends_a.append(end)
-        ends_b, end, is_byte = [], 0, self.is_byte
-        for i, stop in b:
-            end = end + 1 if is_byte[i] else stop + 1
-            ends_b.append(end)
+            ends_a = [at[stop] for _, stop in spans]
+            for k in [k for k in range(len(spans) - 1) if spans[k + 1][0] < spans[k][1]]:  # a shared character
+                ends_a[k] = (ends_a[k - 1] if k else 0) + len(bytes_a[k])
+        ends_b, is_byte = [stop + 1 for _, stop in b], self.is_byte
+        for k in [k for k, (i, _) in enumerate(b) if is_byte[i]]:
+            ends_b[k] = (ends_b[k - 1] if k else 0) + 1
         if ends_a != list(accumulate(map(len, bytes_a))) or ends_b != list(accumulate(map(len, bytes_b))):
             raise ValueError(f"spans and decoded bytes disagree in {chars!r}")
         stops = accumulate(len(c.encode()) + 1 for c in chunks)
