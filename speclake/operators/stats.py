@@ -13,34 +13,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 EULER = 0.57721
-#: Sign flips that one group of rows computes.
-BLOCK = 250
-#: Order keys that are drawn to cut a global order in ranges, and drawn keys a range. Any draw gives the same numbers.
-DRAWN, PER_RANGE = 4096, 16
+#: Sign flips that one digest gives, digests a row has in one group of rows, and numbers of a matrix of flipped values.
+FLIPS, DIGESTS, HELD = 128, 8, 1 << 20
 
 
 def numbered(df: DataFrame, name: str, *order: str, within: str | None = None) -> DataFrame:
     """name: position from 1 in the order, over all rows or those of equal `within` (null: a value of its own); _total: how many there are.
 
-    The order is cut in ranges at drawn keys. Rows are numbered inside their range, in a task a range, and a range's first number
-    is the count of the rows before it. Rows with equal keys share a range; nulls come first.
+    Rows are range-partitioned, as many ranges as the shuffle's size asks for, and written in order; a row's number is its place in
+    its range and the count of the rows in ranges before. Equal keys are split by where rows come from. Nulls come first.
     """
-    own = [within] if within else []
-    keys = df.select(F.struct(*order).alias("k"))
-    edges = keys.orderBy(F.xxhash64("k")).limit(DRAWN).agg(F.array_sort(F.collect_set("k")).alias("k")).select(F.filter("k", lambda k, i: i % PER_RANGE == 0)).scalar()
-    cut = df.withColumn("_e", edges).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.struct(*order)))).drop("_e")
-    sizes = cut.groupBy(*own, "_b").agg(F.count("*").alias("_n"))
-    ranges = Window.partitionBy(*own)
+    by = [*([within] if within else []), *order, "_tie"]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = staged(placed.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    own, part = F.col(within) if within else F.lit(0), F.shiftright("_at", 33)  # the range
+    sizes = placed.groupBy(own.alias("_w"), part.alias("_b")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    ranges = Window.partitionBy("_w")
     before = F.coalesce(F.sum("_n").over(ranges.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*[F.col(c).alias("_w") for c in own], F.col("_b").alias("_c"), before.alias("_before"), F.sum("_n").over(ranges).alias("_total"))
-    same = F.col("_b") == F.col("_c")
-    if within:
-        same &= F.col(within).eqNullSafe(F.col("_w"))
-    else:
-        sizes = F.broadcast(sizes)  # a row a range
-    place = F.row_number().over(Window.partitionBy(*own, "_b").orderBy(*order))
-    return cut.join(sizes, same).withColumn(name, F.col("_before") + place).drop("_w", "_b", "_c", "_before")
+    sizes = sizes.select("_w", "_b", (before - F.col("_first") + 1).alias("_from"), F.sum("_n").over(ranges).alias("_total"))
+    return placed.join(sizes, (part == F.col("_b")) & own.eqNullSafe(F.col("_w"))).withColumn(name, F.col("_from") + F.col("_at")).drop("_w", "_b", "_at", "_from")
 
 
 def every_other(df: DataFrame, order: str) -> DataFrame:
@@ -57,55 +51,67 @@ def median_by_band(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy("band").agg(F.percentile(value, F.lit(0.5)).alias("median"))
 
 
-def _signs(keys: list[str]) -> np.ndarray:
-    """1 or -1 by the parity of the first hex digit of each key's md5."""
-    return np.array([1.0 - (md5(k.encode()).digest()[0] >> 3 & 2) for k in keys])
+def _signs(keys: list[str], blocks: range, iters: int) -> np.ndarray:
+    """(keys, iterations of the blocks): 1 or -1 by the bits of the md5 of key and block number; a digest gives FLIPS signs."""
+    digests = b"".join(md5(k.replace("*", str(b)).encode()).digest() for k in keys for b in blocks)
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(len(keys), -1)
+    return 1.0 - 2.0 * bits[:, : iters - blocks[0] * FLIPS]
 
 
 def _blocks(diff: DataFrame, iters: int, *by: str) -> DataFrame:
-    """band, image (text after the iteration in a key), diff, block: every row in each block of iterations, dealt by `by` in a fixed number of tasks, as few rows mean much work."""
+    """band, image (text after the block in a key), diff, group: every row in each group of blocks, dealt by `by` in a fixed number of tasks, as few rows mean much work."""
     tasks = int(diff.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     image = F.coalesce(F.concat(F.lit("-"), F.col("image_id").cast("string")), F.lit("")).alias("image")
-    return diff.select("band", image, "diff", F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // BLOCK))).alias("block")).repartition(tasks, *by)
+    return diff.select("band", image, "diff", F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // (FLIPS * DIGESTS)))).alias("group")).repartition(tasks, *by)
 
 
-def _iterations(block: int, iters: int) -> range:
-    return range(block * BLOCK + 1, min(iters, (block + 1) * BLOCK) + 1)
+def _of_group(group: int, iters: int) -> range:
+    return range(group * DIGESTS, min((group + 1) * DIGESTS, -(-iters // FLIPS)))
 
 
 def permutation_test_per_band(diff: DataFrame, iters: int = 10_000) -> DataFrame:
-    """test (band), p: share of sign flips whose squared median is greater than the observed one."""
+    """test (band), p: share of sign flips whose squared median is greater than the observed one.
+
+    Iteration i from 0 flips an image by bit i % 128 of the md5 of band, i div 128 and image.
+    """
     seen = diff.groupBy("band").agg(F.percentile("diff", F.lit(0.5)).alias("m")).select("band", F.round(F.col("m") * F.col("m"), 12).alias("t0"))
 
     def medians(pdf: pd.DataFrame) -> pd.DataFrame:
         band = pdf["band"].iloc[0]
         rows = pdf.dropna(subset="diff")
-        before, image, value = "" if pd.isna(band) else f"{int(band)}-", rows["image"].tolist(), rows["diff"].to_numpy(float)
-        out = [(band, np.median(value * _signs([f"{before}{i}{x}" for x in image])) if len(value) else None) for i in _iterations(int(pdf["block"].iloc[0]), iters)]
-        return pd.DataFrame(out, columns=["band", "m"])
+        before, value = "" if pd.isna(band) else f"{int(band)}-", rows["diff"].to_numpy(float)
+        keys = [f"{before}*{x}" for x in rows["image"]]
+        blocks = _of_group(int(pdf["group"].iloc[0]), iters)
+        step = max(1, HELD // max(1, len(value) * FLIPS))
+        out = [np.median(value[:, None] * _signs(keys, blocks[i : i + step], iters), axis=0) for i in range(0, len(blocks), step)] if len(value) else []
+        m = np.concatenate(out) if out else np.full(min(iters, blocks[-1] * FLIPS + FLIPS) - blocks[0] * FLIPS, np.nan)
+        return pd.DataFrame({"band": [band] * len(m), "m": m})
 
     kind = diff.schema["band"].dataType.simpleString()
-    flipped = _blocks(diff, iters, "band", "block").groupBy("band", "block").applyInPandas(medians, f"band {kind}, m double")
-    t = flipped.select("band", F.round(F.col("m") * F.col("m"), 12).alias("t")).join(F.broadcast(seen), "band")
+    flipped = _blocks(diff, iters, "band", "group").groupBy("band", "group").applyInPandas(medians, f"band {kind}, m double")
+    m = F.nanvl("m", F.lit(None))
+    t = flipped.select("band", F.round(m * m, 12).alias("t")).join(F.broadcast(seen), "band")  # a row a band
     return t.groupBy(F.col("band").alias("test")).agg(F.avg((F.col("t") > F.col("t0")).cast("double")).alias("p"))
 
 
 def permutation_test_global(diff: DataFrame, iters: int = 10_000) -> DataFrame:
-    """p of the squared length of the mean difference vector; one sign per image."""
+    """p of the squared length of the mean difference vector; one sign per image, by the md5 of i div 128 and image."""
     t0 = diff.groupBy("band").agg(F.avg("diff").alias("m")).agg(F.round(F.sum(F.col("m") * F.col("m")), 12)).scalar()
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for block, rows in pdf.groupby("block"):
+            for group, rows in pdf.groupby("group"):
                 image, names = pd.factorize(rows["image"])
                 band, bands = pd.factorize(rows["band"], use_na_sentinel=False)
-                value, n = rows["diff"].to_numpy(float), np.bincount(band)
-                turns = _iterations(int(block), iters)
-                s = [np.bincount(band, value * _signs([f"{i}{x}" for x in names])[image]) for i in turns]
-                yield pd.DataFrame({"iter": np.repeat(turns, len(n)), "band": np.tile(bands, len(turns)), "s": np.concatenate(s), "n": np.tile(n, len(turns))})
+                value = np.zeros((len(bands), len(names)))
+                np.add.at(value, (band, image), rows["diff"].to_numpy(float))
+                blocks = _of_group(int(group), iters)
+                s = value @ _signs([f"*{x}" for x in names], blocks, iters)
+                turns = np.arange(s.shape[1]) + blocks[0] * FLIPS
+                yield pd.DataFrame({"iter": np.tile(turns, len(bands)), "band": np.repeat(bands, len(turns)), "s": s.ravel(), "n": np.repeat(np.bincount(band), len(turns))})
 
     kind = diff.schema["band"].dataType.simpleString()
-    parts = _blocks(diff.where("diff is not null"), iters, "block").mapInPandas(sums, f"iter int, band {kind}, s double, n long")
+    parts = _blocks(diff.where("diff is not null"), iters, "group", "image").mapInPandas(sums, f"iter int, band {kind}, s double, n long")
     m = parts.groupBy("iter", "band").agg((F.sum("s") / F.sum("n")).alias("m"))
     t = m.groupBy("iter").agg(F.round(F.sum(F.col("m") * F.col("m")), 12).alias("t")).withColumn("t0", t0)
     return t.agg(F.avg((F.col("t") > F.col("t0")).cast("double")).alias("p"))
@@ -139,8 +145,10 @@ def correct_by(tests: DataFrame, alpha: float) -> DataFrame:
 CORRECTIONS = {"none": correct_none, "bonferroni": correct_bonferroni, "bh": correct_bh, "by": correct_by}
 
 
-def compare_methods(a: DataFrame, b: DataFrame, correction: str | Callable = "by", alpha: float = 0.1, iters: int = 10_000) -> DataFrame:
-    """Per band: medians of both methods and of their difference, p, rejected."""
+def compare_methods(a: DataFrame, b: DataFrame, correction: str | Callable = "by", alpha: float = 0.1, iters: int = 10_000, halved: bool = False) -> DataFrame:
+    """Per band: medians of both methods and of their difference, p, rejected. halved: over every other image of a and of b, in the order of their ids."""
+    if halved:
+        a, b = (x.join(every_other(x.select("image_id").distinct(), "image_id"), "image_id") for x in (a, b))
     diff = pair_methods(a, b)
     tests = permutation_test_per_band(diff, iters)
     tests = (CORRECTIONS[correction] if isinstance(correction, str) else correction)(tests, alpha)

@@ -340,8 +340,15 @@ def pair_methods(spark: SparkSession, d: str) -> DataFrame:
 
 
 ITERS = 10_000
-_SIGN = "case when ('0x' || substr(md5({}), 1, 1))::int % 2 = 0 then 1.0 else -1.0 end"
-_PER_BAND = f"with t0 as (select band, round(quantile_cont(diff, 0.5) * quantile_cont(diff, 0.5), 12) as t0 from diffs group by band), m as (select band, i, quantile_cont(diff * {_SIGN.format("band || '-' || i || '-' || image_id")}, 0.5) as m from diffs, range(1, {ITERS + 1}) r(i) group by band, i), tests as (select band as test, avg(case when round(m * m, 12) > t0 then 1.0 else 0.0 end) as p from m join t0 using (band) group by band)"
+_SIGN = "(1.0 - 2.0 * (((instr('0123456789abcdef', substr(h, f::int // 4 + 1, 1)) - 1) >> (3 - f::int % 4)) & 1))"
+
+
+def _flipped(key: str) -> str:
+    """diffs with x, the difference times its sign, in each iteration i."""
+    return f"select band, e * {S.FLIPS} + f as i, diff * {_SIGN} as x from (select *, md5({key}) as h from diffs, range(0, {-(-ITERS // S.FLIPS)}) e(e)), range(0, {S.FLIPS}) f(f) where e * {S.FLIPS} + f < {ITERS}"
+
+
+_PER_BAND = f"with t0 as (select band, round(quantile_cont(diff, 0.5) * quantile_cont(diff, 0.5), 12) as t0 from diffs group by band), m as (select band, i, quantile_cont(x, 0.5) as m from ({_flipped("band || '-' || e || '-' || image_id")}) group by band, i), tests as (select band as test, avg(case when round(m * m, 12) > t0 then 1.0 else 0.0 end) as p from m join t0 using (band) group by band)"
 
 
 @query(f"{_PER_BAND} select test, round(p, 6) as p from tests", "diffs")
@@ -349,7 +356,7 @@ def permutation_test_per_band(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.permutation_test_per_band(_diffs(spark, d), ITERS), "p")
 
 
-@query(f"with t0 as (select round(sum(m * m), 12) as t0 from (select avg(diff) as m from diffs group by band)), m as (select i, band, avg(diff * {_SIGN.format("i || '-' || image_id")}) as m from diffs, range(1, {ITERS + 1}) r(i) group by i, band) select round(avg(case when t > t0 then 1.0 else 0.0 end), 6) as p from (select i, round(sum(m * m), 12) as t from m group by i), t0", "diffs")
+@query(f"with t0 as (select round(sum(m * m), 12) as t0 from (select avg(diff) as m from diffs group by band)), m as (select i, band, avg(x) as m from ({_flipped("e || '-' || image_id")}) group by i, band) select round(avg(case when t > t0 then 1.0 else 0.0 end), 6) as p from (select i, round(sum(m * m), 12) as t from m group by i), t0", "diffs")
 def permutation_test_global(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.permutation_test_global(_diffs(spark, d), ITERS), "p")
 
@@ -382,6 +389,12 @@ def compare_methods(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.compare_methods(V.nmi(spark, d, "A"), V.nmi(spark, d, "R"), "by", 0.1, ITERS), "median_a", "median_b", "median_diff", "p")
 
 
+@query(f"{_PER_BAND.replace("diffs", "half_diffs")}, cor as ({_STEP.format(a=0.1, c='(ln(n) + 0.57721 + 1 / (2 * n))', t='tests')}), med as (select band, round(quantile_cont(a.nmi, 0.5), 6) as median_a, round(quantile_cont(b.nmi, 0.5), 6) as median_b, round(quantile_cont(a.nmi - b.nmi, 0.5), 6) as median_diff from half_a a join half_b b using (image_id, band) group by band) select band, median_a, median_b, median_diff, round(p, 6) as p, rejected from med join tests on tests.test = band join cor on cor.test = band", "half_diffs")
+def compare_halves(spark: SparkSession, d: str) -> DataFrame:
+    """Over every other image of each method."""
+    return rounded(S.compare_methods(V.nmi(spark, d, "A"), V.nmi(spark, d, "R"), "by", 0.1, ITERS, halved=True), "median_a", "median_b", "median_diff", "p")
+
+
 @query("with s as (select event_type, count(value) as n, avg(value) as mean, stddev_pop(value) as std, min(value) as least, max(value) as most, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as q2, quantile_cont(value, 0.75) as q3 from events group by all) select s.event_type, n, round(mean, 6) as mean, round(std, 6) as std, least, most, round(q1, 6) as q1, round(q2, 6) as q2, round(q3, 6) as q3, min(value) as whisker_lo, max(value) as whisker_hi from s join events e on e.event_type = s.event_type and value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) group by all")
 def group_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.group_summary(V.table(spark, d, "events"), "event_type", "value"), "mean", "std", "q1", "q2", "q3")

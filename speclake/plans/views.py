@@ -100,11 +100,15 @@ SQL = {
     "nmi_a": "select l_suppkey as image_id, l_linenumber as band, round(avg(l_discount::double), 9) as nmi from lineitem where l_returnflag = 'A' group by all",
     "nmi_b": "select l_suppkey as image_id, l_linenumber as band, round(avg(l_discount::double), 9) as nmi from lineitem where l_returnflag = 'R' group by all",
     "diffs": "select a.image_id, a.band, a.nmi - b.nmi as diff from nmi_a a join nmi_b b using (image_id, band)",
+    "half_a": "select * from nmi_a where image_id in (select image_id from (select image_id, row_number() over (order by image_id) as n from (select distinct image_id from nmi_a)) where n % 2 = 1)",
+    "half_b": "select * from nmi_b where image_id in (select image_id from (select image_id, row_number() over (order by image_id) as n from (select distinct image_id from nmi_b)) where n % 2 = 1)",
+    "half_diffs": "select a.image_id, a.band, a.nmi - b.nmi as diff from half_a a join half_b b using (image_id, band)",
     "pvalues": "select s_suppkey as test, pow(abs(s_acctbal::double) / 10000, 2) as p from supplier where pow(abs(s_acctbal::double) / 10000, 2) > 0 and pow(abs(s_acctbal::double) / 10000, 2) <= 1",
 }
 NEEDS = {
     "inroi": ["planes", "roi"], "means": ["inroi"], "measured": ["means"], "coef": ["measured", "known"], "masked": ["planes", "masks"],
     "bounds": ["masked"], "bad": ["bounds"], "clean": ["bad"], "inst": ["clean"], "plant": ["inst"], "long": ["spectra"], "diffs": ["nmi_a", "nmi_b"],
+    "half_a": ["nmi_a"], "half_b": ["nmi_b"], "half_diffs": ["half_a", "half_b"],
 }
 
 

@@ -108,15 +108,15 @@ def test_numbering(spark):
 
 def test_permutations(spark):
     assert Q.ITERS == 10_000
-    sign = lambda k: -1.0 if int(hashlib.md5(k.encode()).hexdigest()[0], 16) % 2 else 1.0
+    sign = lambda before, i, image: -1.0 if int(hashlib.md5(f"{before}{i // 128}-{image}".encode()).hexdigest(), 16) >> (127 - i % 128) & 1 else 1.0
     r = np.random.default_rng(4)
     v = {b: r.normal(0.02 * b, 0.05, 9 + b).round(6) for b in (1, 2)}
     diff = spark.createDataFrame([(i, b, float(x)) for b in v for i, x in enumerate(v[b])] + [(99, 1, None)], "image_id int, band int, diff double")
-    iters = range(1, 602)  # blocks of iterations, the last one short
-    want = {b: np.mean([round(np.median([x * sign(f"{b}-{k}-{i}") for i, x in enumerate(v[b])]) ** 2, 12) > round(np.median(v[b]) ** 2, 12) for k in iters]) for b in v}
-    assert {x["test"]: x["p"] for x in S.permutation_test_per_band(diff, 601).collect()} == pytest.approx(want)
-    t = [sum(np.mean([x * sign(f"{k}-{i}") for i, x in enumerate(v[b])]) ** 2 for b in v) for k in iters]
-    assert S.permutation_test_global(diff, 601).first()["p"] == pytest.approx(np.mean(np.round(t, 12) > round(sum(np.mean(x) ** 2 for x in v.values()), 12)))
+    for iters in (1500, 128, 3):  # several groups of blocks, the last one short; one whole block; a part of one
+        want = {b: np.mean([round(np.median([x * sign(f"{b}-", k, i) for i, x in enumerate(v[b])]) ** 2, 12) > round(np.median(v[b]) ** 2, 12) for k in range(iters)]) for b in v}
+        assert {x["test"]: x["p"] for x in S.permutation_test_per_band(diff, iters).collect()} == pytest.approx(want)
+        t = [sum(np.mean([x * sign("", k, i) for i, x in enumerate(v[b])]) ** 2 for b in v) for k in range(iters)]
+        assert S.permutation_test_global(diff, iters).first()["p"] == pytest.approx(np.mean(np.round(t, 12) > round(sum(np.mean(x) ** 2 for x in v.values()), 12)))
 
 
 def test_pls():
