@@ -34,6 +34,8 @@ SHARD_ROWS = 4096
 SLACK = 16
 #: Bytes of a text that are encoded at once, and of ids in a batch that goes back to Spark.
 STRETCH = 1 << 20
+#: Runs of letters, and a mark after them, that are encoded as one text: each word's last token says so.
+TOGETHER, MARKS = 256, ".,;:!?"
 #: Bytes of runs and of their ids that a Python worker remembers at most (it takes about ten times as much).
 REMEMBERED = 3 << 23
 
@@ -46,28 +48,50 @@ class Remembered:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(model_path)
+        self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(self.model.get_vocab_size())])
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.held = 0
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, runs: Iterable[bytes]) -> None:
         if self.held > REMEMBERED:
             self.forget()
         fresh = [r for r in dict.fromkeys(runs) if r not in self.place]
-        if fresh:
-            found = [e.ids for e in self.model.encode_batch_fast([r.decode() for r in fresh], add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
-            self.held += sum(map(len, fresh)) + 4 * int(size.sum())
-            self.place |= zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True)
+        text = [r.decode() for r in fresh]
+        words = [1 if t.isalpha() else 2 if t[-1] in MARKS and t[:-1].isalpha() else 0 for t in text]
+        alone = [k for k, n in enumerate(words) if not n]
+        plain = [k for k, n in enumerate(words) if n]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, e in zip(groups, self.model.encode_batch_fast([" ".join([text[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([words[k] for k in group])
+            if len(ends) == last[-1]:
+                self.add([fresh[k] for k in group], ids, np.diff(ends[last - 1], prepend=0))
+            else:  # a letter that becomes several characters
+                alone += group
+        found = [e.ids for e in self.model.encode_batch_fast([text[k] for k in alone], add_special_tokens=False)]
+        self.add([fresh[k] for k in alone], np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def add(self, runs: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        self.held += sum(map(len, runs)) + ids.nbytes
+        self.place |= zip(runs, range(len(self.place), len(self.place) + len(runs)), strict=True)
+        self.new.append((ids, size))
+
+    def settle(self) -> None:
+        if self.new:
+            ids, size = (np.concatenate(x) for x in zip(*self.new, strict=True))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+            self.new = []
 
     def __call__(self, runs: list[bytes]) -> np.ndarray:
         """The ids of runs that are all known."""
+        self.settle()
         at = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
         size = self.size[at]
         ends = np.cumsum(size)
