@@ -16,13 +16,30 @@ def mean_dark_frame(dark: DataFrame, n: int) -> DataFrame:
     return dark.groupBy("row", "col").agg(per_band(n, F.avg).alias("bands"))
 
 
+def row_runs(pixels: DataFrame, *keys: str) -> DataFrame:
+    """keys, row, run: a row's pixels as one record, an array of their other columns by col."""
+    others = [c for c in pixels.columns if c not in (*keys, "row", "col")]
+    return pixels.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", *others))).alias("run"))
+
+
 def subtract_dark(pixels: DataFrame, dark: DataFrame, own_time: float | None = None, other_time: float | None = None) -> DataFrame:
-    """Frame less its dark frame, over its own exposure time where that differs from the other phase's (calibration or acquisition)."""
-    out = pixels.join(dark.select("row", "col", F.col("bands").alias("_dark")), ["row", "col"])
-    out = out.withColumn("bands", F.zip_with("bands", "_dark", lambda a, b: a - b)).drop("_dark")
-    if own_time is not None and own_time != other_time:
-        out = out.withColumn("bands", F.transform("bands", lambda v: v / own_time))
-    return out
+    """Frame less its dark frame, over its own exposure time where that differs from the other phase's (calibration or acquisition).
+
+    Rows of pixels meet rows of the dark frame, whose bands lie in an array by column; pixels without a dark value go. Columns of a
+    type that has no order aren't taken along.
+    """
+    whole = row_runs(dark.select("row", "col", F.col("bands").alias("_dark")))
+    # bands by col, from 0: gaps are filled when the columns aren't dense
+    dense = F.element_at("run", -1)["col"] + 1 == F.size("run")
+    by_col = F.map_from_entries("run")
+    filled = F.transform(F.sequence(F.lit(0), F.element_at("run", -1)["col"]), lambda c: F.try_element_at(by_col, c))
+    whole = whole.select(F.col("row").alias("_row"), F.when(dense, F.transform("run", lambda x: x["_dark"])).otherwise(filled).alias("_dark"))
+    runs = row_runs(pixels, "image_id")
+    both = runs.join(whole, F.col("row") == F.col("_row"))
+    time = own_time if own_time is not None and own_time != other_time else 1.0
+    value = (lambda a, b: a - b) if time == 1.0 else (lambda a, b: (a - b) / time)
+    taken = F.transform(F.filter("run", lambda x: F.get("_dark", x["col"]).isNotNull()), lambda x: x.withField("bands", F.zip_with(x["bands"], F.get("_dark", x["col"]), value)))
+    return both.select("image_id", "row", F.inline(taken)).select(*pixels.columns)
 
 
 def roi_pixels(pixels: DataFrame, panel_roi: DataFrame) -> DataFrame:

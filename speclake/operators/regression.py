@@ -18,8 +18,8 @@ from ..sources.staging import staged
 from .stats import contiguous_folds
 
 FIELDS = "m array<double>"
-#: Bytes of all folds' moments that are sent to the tasks at most.
-MOST_BYTES = 1 << 29
+#: Bytes of all folds' moments that are sent to the tasks at most, and groups in which a key's partial moments meet first.
+MOST_BYTES, FANS = 1 << 29, 64
 
 
 def _sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -29,54 +29,71 @@ def _sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """The sums of partial Gram matrices (keys, m)."""
+    """The sums of partial Gram matrices (keys, m), on two levels: a key's parts, one a task, meet in FANS groups first."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[:1][keys].assign(m=[np.sum(np.stack(pdf["m"]), axis=0)])
+        return pdf.iloc[:1][[c for c in pdf.columns if c != "m"]].assign(m=[np.sum(np.stack(pdf["m"]), axis=0)])
 
     types = dict(parts.dtypes)
-    return parts.groupBy(*keys).applyInPandas(add, ", ".join(f"{k} {types[k]}" for k in keys) + f", {FIELDS}")
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    some = parts.withColumn("_fan", F.spark_partition_id() % FANS)
+    some = some.groupBy(*keys, "_fan").applyInPandas(add, f"{schema}, _fan int, {FIELDS}")
+    return some.drop("_fan").groupBy(*keys).applyInPandas(add, f"{schema}, {FIELDS}")
 
 
-def moments(spectra: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, m: the Gram matrix of (1, bands, target) per key. Partial matrices are made in each task, then added."""
+def center(spectra: DataFrame) -> tuple[np.ndarray, float]:
+    """The means of bands and target: a number a band."""
+    mean = {r["k"]: r["v"] for r in spectra.select(F.posexplode("bands").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v")).collect()}
+    return np.array([mean[k] for k in sorted(mean)]), spectra.agg(F.avg("target")).first()[0]
+
+
+def _gathered(rows: DataFrame, at: tuple[np.ndarray, float]) -> DataFrame:
+    """outer, inner, m: the centred Gram matrix of the rows (bands, target, folds: an array of outer and inner) of each pair. A task reads a row once and adds it to all its sums."""
+    x0, y0 = at
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            rows = [(*(k if isinstance(k, tuple) else (k,)), _sums(np.stack(g["bands"]), g["target"].to_numpy(float))) for k, g in pdf.groupby(keys)]
-            yield pd.DataFrame(rows, columns=[*keys, "m"])
+            if pdf.empty:
+                continue
+            x, y = np.stack(pdf["bands"]) - x0, pdf["target"].to_numpy(float) - y0
+            where: dict[tuple, list[int]] = {}
+            for i, folds in enumerate(pdf["folds"]):
+                for f in folds:
+                    where.setdefault((f["outer"], f["inner"]), []).append(i)
+            for key, at in where.items():
+                sums[key] = sums.get(key, 0) + _sums(x[at], y[at])
+        yield pd.DataFrame([(*k, m) for k, m in sums.items()], columns=["outer", "inner", "m"])
+
+    return _summed(rows.select("bands", "target", "folds").mapInPandas(run, f"outer int, inner int, {FIELDS}"), ["outer", "inner"])
 
-    types = dict(spectra.dtypes)
-    return _summed(spectra.select(*keys, "bands", "target").mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", {FIELDS}"), keys)
+
+def moments(spectra: DataFrame, key: str) -> DataFrame:
+    """key, m: the Gram matrix of (1, bands, target) less the means over all rows, of the rows of each value of key (an integer)."""
+    at = center(spectra)
+    own = F.array(F.struct(F.col(key).cast("int").alias("outer"), F.lit(-1).alias("inner")))
+    return _gathered(spectra.withColumn("folds", own), at).select(F.col("outer").alias(key), "m")
 
 
 def fold_moments(spectra: DataFrame, inner: int, split: Callable = contiguous_folds) -> DataFrame:
     """outer, inner, m: centred Gram matrices of the training rows of each outer fold by inner fold; inner -1 holds the fold's own rows.
 
-    A row is read once and added to the sums of every outer fold in its task. spectra: idx (unique), fold, bands, target. split:
-    (rows, inner, order, within) -> rows with `inner`.
+    spectra: idx (unique), fold, bands, target. split: (rows, inner, order, within) -> rows with `inner`.
     """
     spectra = staged(spectra.select("idx", "fold", "bands", "target"), "spectra")
-    mean = {r["k"]: r["v"] for r in spectra.select(F.posexplode("bands").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v")).collect()}
-    x0, y0 = np.array([mean[k] for k in sorted(mean)]), spectra.agg(F.avg("target")).first()[0]
+    at = center(spectra)
+    n = spectra.agg(F.count_distinct("fold")).first()[0]
+    if n * (inner + 1) * (len(at[0]) + 2) ** 2 * 8 > MOST_BYTES:
+        raise ValueError("too many bands and folds to send their moments to every task")
     folds = spectra.select(F.col("fold").alias("outer")).distinct()
-    train = split(spectra.select("idx", "fold").join(folds, F.col("fold") != F.col("outer")), inner, "idx", "outer")
-    inners = train.groupBy("idx").agg(F.collect_list(F.struct(F.col("outer").cast("int").alias("outer"), F.col("inner").cast("int").alias("inner"))).alias("inners"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for pdf in batches:
-            x, y = np.stack(pdf["bands"]) - x0, pdf["target"].to_numpy(float) - y0
-            where: dict[tuple[int, int], list[int]] = {}
-            for i, (own, others) in enumerate(zip(pdf["fold"], pdf["inners"], strict=True)):
-                for key in [(int(own), -1), *((o["outer"], o["inner"]) for o in (others if others is not None else []))]:
-                    where.setdefault(key, []).append(i)
-            for key, at in where.items():
-                sums[key] = sums.get(key, 0) + _sums(x[at], y[at])
-        yield pd.DataFrame([(*k, m) for k, m in sums.items()], columns=["outer", "inner", "m"])
-
-    wide = spectra.select("idx", "fold", "bands", "target").join(inners, "idx", "left")
-    return _summed(wide.mapInPandas(run, f"outer int, inner int, {FIELDS}"), ["outer", "inner"])
+    others = folds.agg(F.collect_list("outer")).scalar()
+    train = spectra.select("idx", "fold", others.alias("_folds")).select("idx", "fold", F.explode(F.filter("_folds", lambda f: f != F.col("fold"))).alias("outer"))
+    train = split(train, inner, "idx", "outer")
+    pair = lambda outer, of: F.struct(outer.cast("int").alias("outer"), of.cast("int").alias("inner"))
+    inners = train.groupBy("idx").agg(F.collect_list(pair(F.col("outer"), F.col("inner"))).alias("inners"))
+    wide = spectra.join(inners, "idx", "left")
+    own = F.array(pair(F.col("fold"), F.lit(-1)))
+    return _gathered(wide.withColumn("folds", F.when(F.col("inners").isNull(), own).otherwise(F.concat(own, "inners"))), at)
 
 
 def pls_fit(m: np.ndarray, n_comp: int) -> list[tuple[np.ndarray, float]]:
@@ -164,8 +181,6 @@ def cross_validate(spectra: DataFrame, *, most: int = 15, inner: int = 10, confi
     by: dict[int, dict[int, np.ndarray]] = {}
     for r in fold_moments(spectra, inner, split).toPandas().itertuples():
         by.setdefault(r.outer, {})[r.inner] = _square(r.m)
-    if sum(m.nbytes for f in by.values() for m in f.values()) > MOST_BYTES:
-        raise ValueError("too many bands and folds to send their moments to every task")
     rows = [(i, *(c or (None, None, None))) for i, c in enumerate(configs)]
     spark = spectra.sparkSession
 
@@ -185,6 +200,7 @@ def cross_validate(spectra: DataFrame, *, most: int = 15, inner: int = 10, confi
 
 def preprocessing_grid(spectra: DataFrame, n: int, *, configs: list[tuple[int, int, int]] | None = None, **options) -> DataFrame:
     """cross_validate's fold rows of SNV and MSC spectra (prep snv, msc) and of SNV spectra under each filter (prep sg)."""
+    spectra = staged(spectra, "folds")
     filters = cross_validate(snv(spectra), configs=[None, *(grid() if configs is None else configs)], **options)
     return filters.withColumn("prep", F.when(F.col("wl").isNull(), "snv").otherwise("sg")).unionByName(cross_validate(msc(spectra, n), **options).withColumn("prep", F.lit("msc")))
 

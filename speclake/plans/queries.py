@@ -205,10 +205,27 @@ def assign_sensor(spark: SparkSession, d: str) -> DataFrame:
     return V.planes(spark, d).join(A.assign_sensor(V.bands_dim(spark), 5).select("band", "sensor"), "band").groupBy("image_id", "band", "sensor").agg(F.count("*").alias("n"))
 
 
-@query("select case when band < 5 then 2 else 1 end as sensor, round(avg(fx), 6) as fx, round(avg(fx) * 0.0055, 8) as fx_mm from (select band, avg(value) as fx from planes group by band) group by 1", "planes")
+_LENS_SQL = "select case when band < 5 then 2 else 1 end as sensor, " + ", ".join(f"round(avg({c}), 6) as {c}" for c in A.LENS) + "{} from (select band, avg(value) as fx, max(value) as fy, min(value) as cx, stddev_pop(value) as cy, avg(value * row) / 1e6 as k1, avg(value * col) / 1e6 as k2, avg(row * col) as p1, min(value) / 1e6 as p2, max(value) / 1e6 as k3 from planes group by band) group by 1"
+
+
+def _lens(spark: SparkSession, d: str) -> DataFrame:
+    v, row, col = F.col("value"), F.col("row"), F.col("col")
+    of = dict(zip(A.LENS, (F.avg(v), F.max(v), F.min(v), F.stddev_pop(v), F.avg(v * row) / 1e6, F.avg(v * col) / 1e6, F.avg(row * col), F.min(v) / 1e6, F.max(v) / 1e6), strict=True))
+    return A.average_lens_params(V.planes(spark, d).groupBy("band").agg(*[x.alias(c) for c, x in of.items()]), 5)
+
+
+@query(_LENS_SQL.format("".join(f", round(avg({c}) * 0.0055, 8) as {c}_mm" for c in A.LENS[:4])), "planes")
 def average_lens_params(spark: SparkSession, d: str) -> DataFrame:
-    params = V.planes(spark, d).groupBy("band").agg(F.avg("value").alias("fx"))
-    return rounded(rounded(A.average_lens_params(params, 5), "fx"), "fx_mm", digits=8)
+    return rounded(rounded(_lens(spark, d), *A.LENS), *[f"{c}_mm" for c in A.LENS[:4]], digits=8)
+
+
+@query(_LENS_SQL.format(""), "planes")
+def load_lens(spark: SparkSession, d: str) -> DataFrame:
+    """Both sensors' parameters, saved and loaded again."""
+    path = V.scratch(spark, "lens")
+    A.save_lens(_lens(spark, d), path, "s")
+    files = {k: (f"{path}/s_intrinsic_matrix_{k}", f"{path}/s_distortion_{k}") for k in (1, 2)}
+    return rounded(A.load_lens(spark, files), *A.LENS)
 
 
 def _masked(spark: SparkSession, d: str) -> DataFrame:
@@ -524,10 +541,14 @@ def best_preprocessing(spark: SparkSession, d: str) -> DataFrame:
     return P.best_preprocessing(_table(spark, d)).select("der", "ord", "wl", "mse")
 
 
-@query(_FOLD + " select fold::int as fold, count(*)::double as n, round(sum(bands[1]), 6) as sx, round(sum(bands[1] * target), 4) as sxy from f group by fold", "spectra")
+_CENTERED = "cen as (select band, avg(value) as v from long group by band union all select 64, avg(target) from f union all select -1, 0), xs as (select fold, id, band, value from (select fold, id, -1 as band, 1.0::double as value from f union all select fold, f.id, band, value from f join long using (id) union all select fold, id, 64, target from f)), zs as (select fold, id, band + 1 as k, value - v as value from xs join cen using (band))"
+
+
+@query(f"{_FOLD}, {_CENTERED} select fold::int as fold, (a.k * 66 + b.k)::int as k, round(sum(a.value * b.value), 4) as m from zs a join zs b using (fold, id) group by fold, a.k, b.k", "long")
 def moments(spark: SparkSession, d: str) -> DataFrame:
-    m = P.moments(_folds(spark, d).withColumn("fold", F.col("fold").cast("int")), ["fold"])
-    return m.select("fold", F.col("m")[0].alias("n"), F.round(F.col("m")[1], 6).alias("sx"), F.round(F.col("m")[66 + 65], 4).alias("sxy"))
+    """All numbers of each fold's centred Gram matrix."""
+    m = P.moments(_folds(spark, d), "fold").select("fold", F.posexplode("m").alias("k", "m"))
+    return rounded(m, "m", digits=4)
 
 
 def _ten_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -609,13 +630,14 @@ def read_annotations(spark: SparkSession, d: str) -> DataFrame:
     return a.select("image_id", F.col("ann_id").cast("int").alias("ann_id"), "attributes.plant_no", "attributes.grape_no", "attributes.tagged", F.get("bbox", F.lit(0)).alias("x"), F.get("bbox", F.lit(1)).alias("y"), F.size("segmentation").alias("polygons"))
 
 
-@query(f"{_COCO} select dense_rank() over (order by image_id)::int as no, count(*) over (partition by image_id)::int as annotations from m qualify row_number() over (partition by image_id order by ann_id) = 1", "masks")
+@query(f"{_COCO} select dense_rank() over (order by image_id)::int as no, 'set/img' || lpad(image_id::varchar, 9, '0') || '.png' as file_name, row_number() over (partition by image_id order by ann_id)::int as id, 1::int as category_id, 0::int as iscrowd, c || ',' || r || ',' || c + 4 || ',' || r || ',' || c + 4 || ',' || r + 5 || ',' || c || ',' || r + 5 as polygon, plant_no::varchar as plant_no from m", "masks")
 def write_annotations(spark: SparkSession, d: str) -> DataFrame:
-    """One document per image."""
+    """The written lines, read as plain JSON."""
     path = V.scratch(spark, "coco")
     T.write_annotations(_coco(spark, d), path)
-    doc = spark.read.schema(T.COCO).json(path)
-    return doc.select(F.get("images", F.lit(0))["id"].alias("no"), F.size("annotations").alias("annotations"))
+    doc = spark.read.schema(T.COCO).json(path).select(F.explode("images").alias("i"), "annotations").select("i", F.explode("annotations").alias("a"))
+    polygon = F.array_join(F.transform(F.flatten("a.segmentation"), lambda v: v.cast("long").cast("string")), ",")
+    return doc.select(F.col("a.image_id").alias("no"), "i.file_name", "a.id", "a.category_id", "a.iscrowd", polygon.alias("polygon"), "a.attributes.plant_no")
 
 
 @query("select c_custkey as seq, 'p' || c_nationkey as plant, round(c_acctbal::double, 6) as \"Brix\" from customer")

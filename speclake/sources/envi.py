@@ -78,10 +78,10 @@ class Layout:
         size = self.kind.itemsize
 
         def read(first: int, count: int) -> np.ndarray:
-            got = np.frombuffer(file.read_at(count * size, self.offset + first * size), self.kind)
-            if len(got) < count:
+            got = file.read_at(count * size, self.offset + first * size)
+            if len(got) < count * size:
                 raise ValueError("a cube has fewer samples than its header says")
-            return got
+            return np.frombuffer(got, self.kind)
 
         if self.interleave == "bsq":
             out = np.empty((stop - start, self.cols, len(bands)), np.float32)

@@ -9,28 +9,46 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.stats import numbered
+from .objects import CHUNK, json_objects, readable
+from .staging import staged
+
 ATTRIBUTES = "attributes struct<tagged: boolean, plant_no: string, grape_no: string>"
 COCO = f"images array<struct<id: int, file_name: string, width: int, height: int>>, annotations array<struct<id: int, image_id: int, category_id: int, bbox: array<double>, score: double, iscrowd: int, segmentation: array<array<double>>, {ATTRIBUTES.replace(' ', ': ', 1)}>>"
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per annotation with its image's name and size."""
-    doc = spark.read.schema(COCO).json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_path"))
-    images = doc.select("_file", F.explode("images").alias("i")).select("_file", F.col("i.id").alias("image_no"), F.col("i.file_name").alias("file_name"), "i.width", "i.height")
-    ann = doc.select("_file", F.posexplode("annotations").alias("seq", "a")).select("_file", "seq", "a.*").withColumnsRenamed({"id": "ann_id", "image_id": "image_no"})
+#: The fields of an image and of an annotation; both have an id.
+FOUND = COCO.replace("images array<struct<id: int, ", "").replace(">>, annotations array<struct<id: int, ", ", id: int, ").removesuffix(">>")
+
+
+def read_annotations(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """One row per annotation with its image's name and size; seq orders those of a file. A file is cut in chunks for many tasks.
+
+    Files may hold one document or many, as lines, whose image ids differ. Globs, compressed files and stores that tasks can't open
+    are read by Spark's own reader, a document a file.
+    """
+    if readable(spark, path):
+        found = json_objects(spark, path, chunk=chunk).select(F.col("path").alias("_file"), "seq", F.from_json("json", f"struct<{FOUND}>").alias("o"))
+        found = staged(found.select("_file", "seq", "o.*"), "coco")
+        images = found.where("image_id is null and file_name is not null").select("_file", F.col("id").alias("image_no"), "file_name", "width", "height")
+        ann = found.where("image_id is not null").drop("file_name", "width", "height").withColumnsRenamed({"id": "ann_id", "image_id": "image_no"})
+    else:
+        doc = spark.read.schema(COCO).json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_path"))
+        images = doc.select("_file", F.explode("images").alias("i")).select("_file", F.col("i.id").alias("image_no"), F.col("i.file_name").alias("file_name"), "i.width", "i.height")
+        ann = doc.select("_file", F.posexplode("annotations").alias("seq", "a")).select("_file", F.col("seq").cast("long").alias("seq"), "a.*").withColumnsRenamed({"id": "ann_id", "image_id": "image_no"})
     out = ann.join(images, ["_file", "image_no"]).drop("_file")
     return out.withColumn("image_id", F.regexp_replace(F.element_at(F.split("file_name", "/"), -1), r"\.[^.]*$", ""))
 
 
 def write_annotations(instances: DataFrame, folder: str) -> None:
-    """COCO 1.0, one file per image: ids from 1, category 1, polygons of more than 5 numbers. instances as read_annotations gives."""
-    images = instances.select("file_name", "width", "height").distinct().withColumn("no", F.row_number().over(Window.orderBy("file_name")))
+    """COCO 1.0, a document a line per image, many in a file: ids from 1, category 1, polygons of more than 5 numbers. instances as read_annotations gives."""
+    images = numbered(instances.select("file_name", "width", "height").distinct(), "no", "file_name").withColumn("no", F.col("no").cast("int")).drop("_total")
     w = Window.partitionBy("file_name").orderBy("seq")
     polygons = F.filter("segmentation", lambda p: F.size(p) > 5)
     a = instances.withColumn("ann_no", F.row_number().over(w)).join(images.select("file_name", "no"), "file_name")
     ann = F.struct(F.col("ann_no").alias("id"), F.col("no").alias("image_id"), F.lit(1).alias("category_id"), "bbox", "score", F.lit(0).alias("iscrowd"), polygons.alias("segmentation"), "attributes")
     image = F.struct(F.col("no").alias("id"), "file_name", "width", "height")
-    a.groupBy("no", "file_name", "width", "height").agg(F.sort_array(F.collect_list(ann)).alias("annotations")).select(F.array(image).alias("images"), "annotations", F.col("no").alias("image")).write.mode("overwrite").partitionBy("image").json(folder)
+    a.groupBy("no", "file_name", "width", "height").agg(F.sort_array(F.collect_list(ann)).alias("annotations")).select(F.array(image).alias("images"), "annotations").write.mode("overwrite").json(folder)
 
 
 def read_lab_table(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -156,6 +156,36 @@ def test_geometry(spark):
     assert {r["band"]: r["nmi"] for r in A.normalized_mi(flat, 2, 3, 3).collect()} == {0: pytest.approx(2.0), 1: None}
 
 
+def test_dark_rows(spark):
+    """Dark columns with gaps, pixels without a dark value, other columns, own exposure time."""
+    dark = spark.createDataFrame([(0, c, [float(c), 1.0]) for c in (1, 3, 4)] + [(1, c, [1.0, 1.0]) for c in (0, 1)], "row int, col int, bands array<double>")
+    pixels = spark.createDataFrame([(i, r, c, [10.0, 20.0 + c], "x") for i in (1, 2) for r in (0, 1, 2) for c in range(5)], "image_id int, row int, col int, bands array<double>, note string")
+    want = {(i, r, c): ([10.0 - (c if r == 0 else 1), 19.0 + c], "x") for i in (1, 2) for r, of in ((0, (1, 3, 4)), (1, (0, 1))) for c in of}
+    got = R.subtract_dark(pixels, dark)
+    assert got.columns == pixels.columns and {tuple(x)[:3]: (x["bands"], x["note"]) for x in got.collect()} == want
+    half = R.subtract_dark(pixels, dark, 2.0, 4.0).collect()
+    assert {tuple(x)[:3]: x["bands"] for x in half} == {k: [v / 2 for v in b] for k, (b, _) in want.items()} and R.subtract_dark(pixels, dark, 2.0, 2.0).first()["bands"] == want[tuple(R.subtract_dark(pixels, dark, 2.0, 2.0).first())[:3]][0]
+
+
+def test_tiles(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(f"i{i}", b, x, y, float(r.normal())) for i in range(3) for b in (2, 5) for x in range(9) for y in range(7)]
+    planes = spark.createDataFrame(rows, "image_id string, band int, row int, col int, value double").repartition(3)
+    out = A.tiles(planes).toPandas()
+    got = sorted((t.image_id, t.band, int(x), int(y), float(v)) for t in out.itertuples() for x, y, v in zip(*A.unpacked(pd.DataFrame([t])), strict=True))
+    assert got == sorted(rows) and len(out) <= 18 and A.tiles(planes.limit(0)).count() == 0
+
+
+def test_moments(spark):
+    """Partial sums over many tasks on two levels, against the rows; no rows of a fold, a fold of one row."""
+    r = np.random.default_rng(1)
+    x, y, f = 100 + r.normal(size=(90, 4)), 50 + r.normal(size=90), np.where(np.arange(90) == 3, 9, np.arange(90) % 3)
+    df = spark.createDataFrame([(int(f[i]), x[i].tolist(), float(y[i])) for i in range(90)], "fold int, bands array<double>, target double").repartition(20)
+    a = np.column_stack([np.ones(90), x - x.mean(0), y - y.mean()])
+    got = {m["fold"]: np.array(m["m"]).reshape(6, 6) for m in P.moments(df, "fold").collect()}
+    assert set(got) == set(f.tolist()) and all(np.allclose(got[k], a[f == k].T @ a[f == k]) for k in got)
+
+
 def nipals(x, y, most):
     """(coefficients, intercept) for 1 to most components by plain NIPALS on scaled data."""
     sx, sy, mx, my = x.std(0, ddof=1), y.std(ddof=1), x.mean(0), y.mean()
@@ -200,6 +230,17 @@ def test_cross_validation(spark):
     assert np.isclose(mean, np.mean((y[fold == 0] - y[fold != 0].mean()) ** 2))
     grid = P.preprocessing_grid(df, d, most=2, inner=2, configs=[(0, 2, 5), (1, 2, 5)])
     assert {x["prep"] for x in grid.select("prep").distinct().collect()} == {"snv", "msc", "sg"} and P.select_best(grid.where("prep = 'sg'")).count() == 1
+    snv = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    ref = (x - x.mean(1, keepdims=True)).mean(0)
+    lines = [np.polyfit(ref, row - row.mean(), 1) for row in x]
+    msc = np.array([(row - row.mean() - b) / m for row, (m, b) in zip(x, lines, strict=True)])
+    rows = grid.toPandas()
+    most, inner = 2, 2
+    for prep, x2 in (("snv", snv), ("msc", msc)):
+        want = brute(x2)
+        mine = rows[rows.prep == prep]
+        assert {(a.kind, a.fold, a.components) for a in mine.itertuples()} == set(want)
+        assert all(np.isclose(a.mse, want[a.kind, a.fold, a.components], rtol=1e-4) for a in mine.itertuples())
     zero = grid.withColumn("mse", F.when(F.col("der") == 1, 0.0).otherwise(F.col("mse")))
     assert P.select_best(zero.where("prep = 'sg'")).first()["der"] == 0  # an error of 0 is no result
 
