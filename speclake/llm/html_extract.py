@@ -7,14 +7,15 @@ The composite importance of a node is (1 - DAMPING**l) * entropy of its l presen
 pages of each presentation, weighted by their share. Branches of little importance that enough pages of the host share are
 template and are removed from each page, inside the main element too. There pages whose main elements say the same count once, so
 that copies of a page don't make its text template, and only blocks are removed: markup in a line belongs to its block. The main
-element itself stays.
+element itself, headings, tables, quotes, captions, definitions and listings in it stay, however many pages repeat them.
 
 Text is taken from the page's main elements (article, main), or from the body where there is none. Without need of the tree go:
 elements that are no content by their tag, those that are hidden, and those named by class, id or role as something else in words
 of FRAME and ELSE only (`comment-list`, but not `comment-on-the-law`). A name that only holds such a word (`entry-header`,
-`related-work`) is no reason by itself: such a branch goes if the tree calls it template or if most of its text is in links.
+`related-work`), or an id inside the main element that is a word of TOPICS (`discussion`), is no reason by itself: such a branch
+goes if the tree calls it template or if most of its text is in links.
 
-Defined results: null or empty html gives an empty text; a broken page gives the text of what can be read; a page without host is
+Defined results: null or empty html gives an empty text; a broken page gives the text of what can be read, without a tag that never ends; a page without host is
 judged by its own names only; repeated rows are extracted each and count each; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -41,10 +42,10 @@ MOST_BROADCAST = 20_000
 LINKED = 0.6
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head script style noscript template svg math iframe object canvas audio video".split())
+HIDDEN = set("head script style noscript template svg annotation annotation-xml iframe object canvas audio video".split())
 ASIDE = set("nav footer aside form menu dialog button select textarea".split())
 MAIN = {"article", "main"}
-INLINE = (set("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp select small span strike strong sub sup textarea time tt u var wbr".split()) | VOID | HIDDEN) - {"hr"}
+INLINE = (set("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp select small span strike strong sub sup textarea time tt u var wbr math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()) | VOID | HIDDEN) - {"hr"}
 #: Elements that end an open paragraph.
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of the same kind, up to the container.
@@ -52,7 +53,13 @@ ENDS_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tab
 P_WALLS = MAIN | {"div", "section", "td", "li", "body", "blockquote"}
 #: Words of class, id or role for what is no content, and words that may stand beside them.
 ELSE = set("ad ads advert advertisement advertisements advertising adverts alert alertdialog banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies dialog discussion disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply respond responses search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets".split())
-FRAME = set("area articles bar block body bottom box buttons button center column container content fixed form global icons inner item items left level link links list lists main outer page panel popup posts primary reader readers region right secondary section site slot stories sub sticky thread top user users wrap wrapper wide x".split())
+FRAME = set("area article articles bar block body bottom box buttons button c center column container content fixed form global icons inner item items left level link links list lists main outer page panel popup post posts primary reader readers region right secondary section site slot stories sub sticky thread top user users wrap wrapper wide x".split())
+#: Words of ELSE that may be what an article's own section is about, if its id says so.
+TOPICS = set("discussion header navigation notice notices pagination promotion related replies reply responses search share sharing social toolbar".split())
+#: Elements that are content of a main element, however many pages repeat them.
+KEPT = set("h1 h2 h3 h4 h5 h6 table caption colgroup thead tbody tfoot tr td th blockquote figure figcaption dl dt dd pre".split())
+#: A tag that begins.
+TAG = re.compile(r"<(?=[A-Za-z/!?])")
 #: These name the head and foot of an article inside it.
 OWN = {"header", "footer"}
 CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -61,10 +68,10 @@ WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "hidden", "children", "parent", "chars", "linked", "says", "holds_main")
+    __slots__ = ("tag", "names", "id", "hidden", "children", "parent", "chars", "linked", "says", "holds_main")
 
-    def __init__(self, tag: str, names: str, hidden: bool, parent: Node | None):
-        self.tag, self.names, self.hidden, self.parent, self.children = tag, names, hidden, parent, []
+    def __init__(self, tag: str, names: str, own: str, hidden: bool, parent: Node | None):
+        self.tag, self.names, self.id, self.hidden, self.parent, self.children = tag, names, own, hidden, parent, []
         self.chars = self.linked = self.says = 0
         self.holds_main = False
 
@@ -72,7 +79,7 @@ class Node:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", "", False, None)
+        self.root = self.at = Node("", "", "", False, None)
         self.open: Counter[str] = Counter()
 
     def _leave(self, to: Node) -> None:
@@ -87,7 +94,7 @@ class _Builder(HTMLParser):
             self._close({"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}, ENDS_SAME[tag])
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         hidden = any(k == "hidden" or k == "style" and v and CONCEALED.search(v) for k, v in attrs)
-        node = Node(tag, names, hidden, self.at)
+        node = Node(tag, names, next((v for k, v in attrs if k == "id" and v), ""), hidden, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -136,7 +143,8 @@ def _walk(root: Node) -> list[Node]:
 def parse(html: str) -> Node:
     """The tree; each node knows the characters below it, those in links, a digest of the texts below and whether it holds a main element."""
     builder = _Builder()
-    builder.feed(html)
+    end = html.rfind(">") + 1
+    builder.feed(html[:end] + TAG.split(html[end:], maxsplit=1)[0])
     builder.close()
     for node in reversed(_walk(builder.root)):
         for c in node.children:
@@ -175,6 +183,8 @@ def _no_content(node: Node, inside: bool, template: bool) -> bool:
     if node.tag in ("main", "body", "html"):
         return False
     named = _named(node.names, inside) if node.names else ""
+    if named == "else" and inside and node.names == node.id and node.id.lower() in TOPICS:
+        named = "maybe"
     if named == "else":
         return not (node.holds_main and node.tag not in MAIN)
     return named == "maybe" and node.tag not in MAIN and not node.holds_main and (template or node.linked >= LINKED * max(1, node.chars))
@@ -239,7 +249,7 @@ def extract(root: Node, template: set[int]) -> str:
                 line.append(" ")
                 continue
             block = node.tag not in INLINE
-            dull = path in template and node is not top and (block or not mains)
+            dull = path in template and node is not top and (block and node.tag not in KEPT or not mains)
             if node is not top and _no_content(node, bool(mains), dull) or dull:
                 if block:
                     flush()

@@ -1,6 +1,7 @@
 """Merkle manifest, window packing and tokenizer alignment against loops over the rows; nulls, empty and long texts, repeats, clashing names."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
-from speclake.llm import merkle, queries, token_align, tokens, windows
+from speclake.llm import html_extract, merkle, queries, token_align, tokens, windows
 
 #: Extra columns whose names clash with those of the operators.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, pos long, n long, id string, leaf string, unit long, piece long, number long, ids string, pairs string, links string, pair long"
@@ -221,3 +222,34 @@ def test_queries(spark):
     got = {r["doc_id"]: tuple(r) for r in queries.op13_token_alignment(spark, sf).collect()}
     want = alignment_by_loops(docs.collect())
     assert len(got) == len(want) and all(got[w[0]][:7] == w[:7] and (w[7] is None or got[w[0]][7] == w[7]) for w in want)
+
+
+def test_repeated_parts_of_articles(spark):
+    """What every page of a host repeats inside its article: headings, table heads, quotes and captions stay, an unnamed box goes."""
+    head = "<h2>Summary</h2><h3 class=x>References</h3><table><tr><th>Year</th><th>Sum</th></tr></table><blockquote class=motto>Measure twice</blockquote><figure><figcaption>A chart</figcaption></figure>"
+    page = lambda i: f"<body><nav>Menu</nav><article><h1>Title {i}</h1>{head}<div class=q7><p>Read our app news</p></div><p>Own text number {i} " + f"word{i} " * 30 + "</p></article></body>"
+    pages = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in html_extract.main_text(pages).collect()}
+    for i, t in texts.items():
+        assert all(x in t for x in (f"Title {i}", "Summary", "References", "Year", "Sum", "Measure twice", "A chart", f"number {i}")) and "Menu" not in t and "app news" not in t, t
+
+
+def test_names_in_articles():
+    text = lambda inner: html_extract.extract(html_extract.parse(f"<article><p>first</p>{inner}<p>last</p></article>"), set())
+    for own in ("discussion", "search", "responses", "navigation", "related"):
+        assert "kept" in text(f"<section id='{own}'><h2>{own}</h2><p>kept</p></section>") and "kept" in text(f"<p id='{own}'>kept</p>")
+    for names in ("class='article-share-bar'", "class='c-comments__list'", "class='post-comments-wrapper'", "id='comments'", "class='related'", "class='discussion'", "id='related' class='box'"):
+        assert text(f"<div {names}><p>gone</p></div>") == "first\n\nlast", names
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>\\x</annotation></math> holds</p>") == "first\n\nso x=2 holds\n\nlast"
+    assert "gone" not in text("<div id='related'><a href=x>gone</a> <a href=y>gone</a></div>")
+
+
+def test_tags_without_end():
+    """Linear time, and the text before is read."""
+    for part in ("<a ", "<a b='", "<!--", "</a ", "<", "&", "<![CDATA["):
+        for end in ("", ">", "<p>late</p>"):
+            begun = time.time()
+            html_extract.parse(part * 300_000 + end)
+            assert time.time() - begun < 30
+    text = lambda h: html_extract.extract(html_extract.parse(h), set())
+    assert text("<article><p>one</p><p>two <b") == "one\n\ntwo" and text("<article><p>a < b and c") == "a < b and c" and text("<p>x</p> <!-- never") == "x"
