@@ -72,7 +72,8 @@ class Aligner:
         self.groups: list[str | None] = []
         self.held = 0
         self.numbers = np.zeros((0, 4), np.int64)  # tokens of both, groups, links
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
         self.pair = np.zeros(0, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
@@ -89,23 +90,26 @@ class Aligner:
                 room = TOGETHER
             runs[-1].append(chunk)
             room -= len(chunk) + 1
-        found = []
         for run in runs:
-            if run:
-                found += self.aligned(run) or [x for c in run for x in (self.aligned([c]) or [None])]
-        nothing = (None, (0, 0, 0, 0), [])
-        groups, numbers, pairs = zip(*[x or nothing for x in found], strict=True) if found else ((), (), ())
-        self.place |= zip((c for run in runs for c in run), range(len(self.groups), len(self.groups) + len(groups)), strict=True)
+            if run and not self.aligned(run):
+                for c in run:
+                    if len(run) == 1 or not self.aligned([c]):
+                        self.add([c], [None], np.zeros((1, 4), np.int64), np.zeros(0, np.int64))
+        if self.new:
+            numbers, pairs = (np.concatenate(x) for x in zip(*self.new, strict=True))
+            size = numbers[:, 3]
+            self.start = np.concatenate([self.start, len(self.pair) + np.cumsum(size) - size])
+            self.numbers, self.pair = np.concatenate([self.numbers, numbers]), np.concatenate([self.pair, pairs])
+            self.new = []
+
+    def add(self, chunks: list[str], groups: list[str | None], numbers: np.ndarray, pairs: np.ndarray) -> None:
+        self.place |= zip(chunks, range(len(self.groups), len(self.groups) + len(chunks)), strict=True)
         self.groups += groups
         self.held += sum(map(len, chunks)) + sum(len(g or "") for g in groups)
-        size = np.fromiter(map(len, pairs), np.int64, len(pairs))
-        self.start = np.concatenate([self.start, len(self.pair) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.pair = np.concatenate([self.pair, np.fromiter((p for x in pairs for p in x), np.int64, int(size.sum()))])
-        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64).reshape(-1, 4)])
-
-    def aligned(self, chunks: list[str]) -> list[tuple[str, tuple[int, int, int, int], list[int]]] | None:
-        """Groups, numbers and links of each of some chunks, joined by spaces and after one; None if the tokens' bytes aren't theirs."""
+        self.new.append((numbers, pairs))
+
+    def aligned(self, chunks: list[str]) -> bool:
+        """Add groups, numbers and links of each of some chunks, joined by spaces and after one; False if the tokens' bytes aren't theirs."""
         chars = " " + " ".join(chunks)
         text = chars.encode()
         encoded, pieces = self.a.encode(chars, add_special_tokens=False), self.b.encode(chars[1:], return_type="proto", num_threads=1).pieces
@@ -113,7 +117,7 @@ class Aligner:
         b = [(p.id, p.end) for p in pieces]
         bytes_a, bytes_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i, _ in b]
         if b"".join(bytes_a) != text or b"".join(bytes_b) != text:
-            return None
+            return False
         if len(text) == len(chars):
             ends_a = [stop for _, stop in spans]
         else:
@@ -126,25 +130,23 @@ class Aligner:
             ends_b[k] = (ends_b[k - 1] if k else 0) + 1
         if ends_a != list(accumulate(map(len, bytes_a))) or ends_b != list(accumulate(map(len, bytes_b))):
             raise ValueError(f"spans and decoded bytes disagree in {chars!r}")
-        stops = accumulate(len(c.encode()) + 1 for c in chunks)
-        stop, out, groups, pairs, i, j, from_a, from_b, last_a, last_b = next(stops), [], [], [], 0, 0, 0, 0, 0, 0
-        while i < len(ends_a):
-            pairs.append(ids_a[i] << SHIFT | b[j][0])
-            x, y = ends_a[i], ends_b[j]
-            if x <= y:
-                i += 1
-            if y <= x:
-                j += 1
-            if x == y:
-                left = str(ids_a[from_a]) if i == from_a + 1 else ",".join(map(str, ids_a[from_a:i]))
-                groups.append(f"{left}|{b[from_b][0]}" if j == from_b + 1 else f"{left}|{','.join([str(q) for q, _ in b[from_b:j]])}")
-                from_a, from_b = i, j
-                if x == stop:
-                    out.append((";".join(groups), (i - last_a, j - last_b, len(groups), len(pairs)), pairs))
-                    groups, pairs, last_a, last_b, stop = [], [], i, j, next(stops, None)
-        if len(out) != len(chunks):
+        ids_b = [i for i, _ in b]
+        one, other = np.array(ends_a), np.array(ends_b)
+        cuts = np.union1d(one, other)
+        in_a, in_b = np.searchsorted(one, cuts), np.searchsorted(other, cuts)
+        pairs = np.array(ids_a, np.int64)[in_a] << SHIFT | np.array(ids_b, np.int64)[in_b]
+        both = np.flatnonzero((one[in_a] == cuts) & (other[in_b] == cuts))
+        last_a, last_b = (in_a[both] + 1).tolist(), (in_b[both] + 1).tolist()
+        text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
+        side = lambda of, i, j: of[i] if j == i + 1 else ",".join(of[i:j])
+        groups = [f"{side(text_a, i, j)}|{side(text_b, k, m)}" for i, j, k, m in zip([0, *last_a[:-1]], last_a, [0, *last_b[:-1]], last_b, strict=True)]
+        stops = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        upto = [np.searchsorted(x, stops) + 1 for x in (one, other, cuts[both], cuts)]  # tokens of both, groups and links up to each chunk's end
+        if not all((x[u - 1] == stops).all() for x, u in zip((one, other), upto, strict=False)):
             raise ValueError(f"a token crosses a lone space in {chars!r}")
-        return out
+        ends = upto[2].tolist()
+        self.add(chunks, [";".join(groups[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)], np.column_stack([np.diff(u, prepend=0) for u in upto]), pairs)
+        return True
 
     def document(self, chunks: list[str]) -> tuple[str, list[int], np.ndarray, np.ndarray] | None:
         """Groups, numbers, distinct pairs and how many links each has."""
@@ -153,7 +155,7 @@ class Aligner:
         numbers = self.numbers[one]
         if not numbers[:, 0].all():
             return None
-        size = self.size[one]
+        size = numbers[:, 3]
         ends = np.cumsum(size)
         where = np.arange(ends[-1]) + np.repeat(self.start[one] - (ends - size), size)
         pair, back = np.unique(self.pair[where], return_inverse=True)
