@@ -17,18 +17,17 @@ def mean_dark_frame(dark: DataFrame, n: int) -> DataFrame:
 
 
 def row_runs(pixels: DataFrame, *keys: str) -> DataFrame:
-    """keys, row, run: a row's pixels as one record, an array of their other columns by col."""
+    """keys, row, run: a row's pixels as one record, an array of col and their other columns."""
     others = [c for c in pixels.columns if c not in (*keys, "row", "col")]
-    return pixels.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", *others))).alias("run"))
+    return pixels.groupBy(*keys, "row").agg(F.collect_list(F.struct("col", *others)).alias("run"))
 
 
 def subtract_dark(pixels: DataFrame, dark: DataFrame, own_time: float | None = None, other_time: float | None = None) -> DataFrame:
     """Frame less its dark frame, over its own exposure time where that differs from the other phase's (calibration or acquisition).
 
-    Rows of pixels meet rows of the dark frame, whose bands lie in an array by column; pixels without a dark value go. Columns of a
-    type that has no order aren't taken along.
+    Rows of pixels meet rows of the dark frame, whose bands lie in an array by column; pixels without a dark value go.
     """
-    whole = row_runs(dark.select("row", "col", F.col("bands").alias("_dark")))
+    whole = row_runs(dark.select("row", "col", F.col("bands").alias("_dark"))).withColumn("run", F.sort_array("run"))
     # bands by col, from 0: gaps are filled when the columns aren't dense
     dense = F.element_at("run", -1)["col"] + 1 == F.size("run")
     by_col = F.map_from_entries("run")
