@@ -6,11 +6,13 @@ chosen by the diversity rule. A shard is one row: its vectors and, for each leve
 the graph is over vectors with one more component that makes all lengths of the shard equal. Every query goes to every shard of
 its length and streams past the shard's graph, which is read once (or, with fewer shards than cores, once a core); the shards'
 results are merged. A query costs a search a shard, so shards should be as large as a task's memory allows. Scores are inner
-products in double precision of the original vectors.
+products in double precision of the original vectors. Graphs and queries are scaled, so vectors of any length that doubles hold
+are told apart; a shard whose longest vector is more than WIDE times its shortest is searched in double precision.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without id;
 vectors are compared with those of their own length only; repeated rows count once; ties go to the smaller id; with fewer than k
-candidates all are returned; an empty table gives an empty result; other columns are ignored.
+candidates all are returned; a score beyond doubles is infinite, and one that is no number (infinite terms of both signs) ranks last,
+as minus infinity; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from ._common import bounded, mix, stage
 M, BUILD_EF, SEARCH_EF = 16, 96, 160
 SHARD_ROWS = 32_768
 MOST_BATCH = 256
+#: Longest against shortest vector of a shard up to which single precision serves its graph.
+WIDE = 64.0
 
 
 class Graph:
@@ -110,11 +114,22 @@ class Graph:
             links[w] = out
 
 
-def build(vectors: np.ndarray) -> Graph:
-    """The graph over float vectors, for inner products."""
-    v = vectors.astype(np.float64)
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors over their largest component, each of its own."""
+    return vectors / np.maximum(np.abs(vectors).max(1, keepdims=True), np.finfo(float).tiny)
+
+
+def lifted(vectors: np.ndarray) -> np.ndarray:
+    """A shard's vectors over its largest component, with one more component that makes all lengths equal."""
+    v = vectors / max(np.abs(vectors).max(), np.finfo(float).tiny)
     square = (v * v).sum(1)
-    points = np.column_stack([v, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32)
+    single = square.max() <= WIDE * WIDE * square.min()
+    return np.column_stack([v, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32 if single else np.float64)
+
+
+def build(vectors: np.ndarray) -> Graph:
+    """The graph over double vectors, for inner products."""
+    points = lifted(vectors)
     n = len(points)
     draw = (mix(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(11)).astype(float) / (1 << 53)
     top = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(M)).astype(int), 6)
@@ -218,15 +233,15 @@ def search(shards: DataFrame, dims: DataFrame, queries: DataFrame, k: int, ef: i
                 at = lambda name, kind: np.frombuffer(batch.column(name)[0].as_buffer(), kind)  # noqa: B023, E731
                 n_ids = at("n_ids", np.int32)
                 v, ids, edge = at("vectors", np.float64).reshape(len(n_ids), -1), at("ids", np.int64), np.append(0, np.cumsum(n_ids))
-                square = (v * v).sum(1)
-                points = np.column_stack([v, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32)
-                graph = Graph(points, [np.frombuffer(b.as_buffer(), np.int32).reshape(len(v), -1).astype(np.int64) for b in batch.column("levels")[0].values], batch.column("entry")[0].as_py())
+                graph = Graph(lifted(v), [np.frombuffer(b.as_buffer(), np.int32).reshape(len(v), -1).astype(np.int64) for b in batch.column("levels")[0].values], batch.column("entry")[0].as_py())
                 batch = batch.slice(1)
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 asked, mine = part.column("query").to_numpy(), _vectors(part.column("vector"))
-                found = graph.search(np.column_stack([mine, np.zeros(len(mine))]).astype(np.float32), max(ef, 2 * k))
-                scores = np.where(found >= 0, np.einsum("qd,qkd->qk", mine, v[found]), -np.inf)
+                found = graph.search(np.column_stack([scaled(mine), np.zeros(len(mine))]).astype(graph.points.dtype), max(ef, 2 * k))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    exact = np.einsum("qd,qkd->qk", mine, v[found])
+                scores = np.where((found >= 0) & ~np.isnan(exact), exact, -np.inf)
                 order = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
                 found, scores = np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
                 who, col = np.nonzero(found >= 0)
