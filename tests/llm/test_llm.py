@@ -76,6 +76,9 @@ def test_quality(docs, empty, spark, monkeypatch):
     got = {r["doc_id"]: r for r in quality.quality_rules(two).collect()}
     assert {r["host_watch"] for i, r in got.items() if i < 300} == {"symbols"} and not any(r["base_failed"] for r in got.values())
     assert {i for i, r in got.items() if not r["kept"]} == {i for i in range(300) if i % 4 == 0}  # noise goes where the host is watched for it
+    draw = random.Random(4)
+    alike = spark.createDataFrame([(i, noise if draw.random() < 0.1 else prose(40, i), f"h{i % 40}") for i in range(4000)], cols)
+    assert all(r["kept"] and not r["host_watch"] for r in quality.quality_rules(alike).collect())  # hosts of one rate are not watched
     assert set(quality.drop_rejected(docs).columns) == set(docs.columns) and quality.drop_rejected(empty).count() == 0
     kept = sorted((str(r["doc_id"]), r["text"][:9]) for r in quality.drop_rejected(docs).collect())
     want = [("None", "no id " + BODY)] + [(str(i), t) for i, t in enumerate(TEXTS) if got_kept(t)] + [("0", BODY)]
@@ -298,7 +301,7 @@ def test_mixing_many_levels(spark, monkeypatch):
     assert list(got.source) == [r[3] for r in rows] and list(got.lang) == [r[2] for r in rows]
     assert np.allclose(got.probability, want.probability, atol=1e-8) and (got.taken == want.taken).all()
     targets = {"source": {"s299": 0.01, "s0": 0.99}, "lang": {f"l{k}": 1.0 for k in range(41)}, "topic": {"brief": 1.0}}
-    monkeypatch.setattr(mixing, "ROUNDS", 3)
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 3)
     tables = []
     for most in (100_000, 1):  # on the driver and as a table
         monkeypatch.setattr(mixing, "MOST_CELLS", most)
@@ -308,6 +311,31 @@ def test_mixing_many_levels(spark, monkeypatch):
     assert (b[b.source == "s299"].probability > 0).all() and (b[b.source == "s5"].probability == 0).all()
 
 
+def test_mixing_marginals(spark):
+    """Expected shares meet the targets unless a level's tokens are all taken; a source called as null is isn't null."""
+    names = [None, "(none)", "((none))", "a", "b"]
+    rows = [(i, "w " * (20 + i % 90), ["en", "fr", "de"][i * 7 % 11 % 3], names[i * 5 % 13 % 5]) for i in range(3000)] + [(4000, "#" * 40, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix_documents(df)
+    by_id = {r["doc_id"]: r["source"] for r in got.collect()}
+    assert {x: {by_id[r[0]] for r in rows if r[3] == x} for x in names} == {None: {"(none)"}, "(none)": {"((none))"}, "((none))": {"(((none)))"}, "a": {"a"}, "b": {"b"}}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]))
+    want = con.execute(mixing.oracle()).df().set_index("doc_id").sort_index()
+    mine = got.toPandas().set_index("doc_id").sort_index()
+    assert (mine.source == want.source).all() and np.allclose(mine.probability, want.probability, atol=2e-9) and (mine.taken == want.taken).all()
+    report = mixing.mixture_report(got).toPandas()
+    short = report[(report.dim == "source") & (report.level == "a")].iloc[0]
+    assert set(report[report.dim == "source"].level) == set(by_id.values()) and np.allclose(report.groupby("dim")[["target", "expected", "drawn"]].sum(), 1)
+    rare = report[report.whole == 1]
+    assert set(rare.level) >= {"symbols"} and (rare.expected <= rare.target).all() and short.expected > 0
+    free = report[~report.level.isin({"symbols", "(none)"}) & (report.dim != "topic")]
+    assert np.allclose(free.expected, free.target, rtol=0.06)
+    given = {"source": {"a": 0.25, "b": 0.75}, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"brief": 1.0}}
+    report = mixing.mixture_report(mixing.mix_documents(df, targets=given, budget=0.01), given).toPandas().set_index(["dim", "level"])
+    assert np.allclose(report.expected, report.target, atol=1e-6) and report.target["source", "b"] == 0.75 and not report.whole.any()
+
+
 def test_language(docs, empty, spark):
     r = random.Random(2)
     make = lambda letters, i: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(40))
@@ -447,6 +475,30 @@ def test_nearest_doubles(spark):
     assert got[got.query_id == 40].sort_values("rank").vec_id.tolist() == list(range(30, 40)) + list(range(41, 51)) and set(got.query_id) == {0, 20, 40}
 
 
+@pytest.mark.parametrize("lengths", [(1e-30, 1e-30), (1e200, 1e200), (1e-200, 1e-200), (1e-3, 1e3), (1.0, 1e-12)])
+def test_nearest_magnitudes(spark, lengths):
+    """Very short, very long and mixed vectors, one far longer than all others among them, keep a recall of 0.9."""
+    r = np.random.default_rng(3)
+    low, high = np.log10(lengths)
+    v = r.normal(size=(600, 12)) * 10.0 ** r.uniform(low, high, size=(600, 1)) if low <= high else r.normal(size=(600, 12))
+    if low > high:
+        v[77] *= 1e6
+    got = hnsw.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).toPandas()
+    unit, hit = v / np.abs(v).max(), 0  # products of these rank alike
+    with np.errstate(over="ignore"):
+        for q in range(0, 600, 20):
+            s = unit @ (v[q] / np.abs(v[q]).max())
+            s[q] = -np.inf
+            mine = got[got.query_id == q].sort_values("rank")
+            assert len(mine) == 20
+            if 1e-100 < np.abs(v).max() < 1e100:
+                assert np.allclose(mine.score, v[mine.vec_id] @ v[q], rtol=1e-9)
+                hit += len(set(np.argsort(-s, kind="stable")[:20]) & set(mine.vec_id))
+            else:  # products beyond doubles: all infinite (or zero), so any of one sign may come
+                hit += int((s[mine.vec_id] > 0).sum())
+    assert hit / (30 * 20) >= 0.9
+
+
 def test_families_of_leads(spark):
     """Nodes that share a lead, over any number of steps, are one family; its id is the least lead."""
     rng = np.random.default_rng(5)

@@ -62,20 +62,22 @@ def judged(rows):
     for x, f in zip(rows, fails, strict=True):
         if x[3] is not None:
             hosts.setdefault(x[3], []).append(f)
-    rates, means = {h: {} for h in hosts}, {}
+    rates, watched = {h: {} for h in hosts}, {h: [] for h in hosts}
     for rule in quality.RULES:
         n = {h: len(f) for h, f in hosts.items()}
         bad = {h: sum(x[rule] for x in f) for h, f in hosts.items()}
-        means[rule] = m = sum(bad.values()) / sum(n.values())
+        m = sum(bad.values()) / sum(n.values())
         share = [bad[h] / n[h] for h in hosts]
         spread = np.var(share) - m * (1 - m) * np.mean([1 / n[h] for h in hosts])
         weight = min(max(m * (1 - m) / spread - 1, quality.LEAST_WEIGHT), quality.MOST_WEIGHT) if spread > 0 else quality.MOST_WEIGHT
         for h in hosts:
-            rates[h][rule] = (bad[h] + weight * m) / (n[h] + weight)
+            rates[h][rule] = p = (bad[h] + weight * m) / (n[h] + weight)
+            if rule == "symbols" and p > m and (p - m) ** 2 > quality.SURE**2 * p * (1 - p) / (n[h] + weight + 1):
+                watched[h].append(rule)
     out = []
     for x, f in zip(rows, fails, strict=True):
         rate = rates.get(x[3])
-        rejected = rate is not None and (max(rate.values()) > quality.MAX_RATE or any(f[r] and rate[r] > quality.EXCESS * means[r] for r in rate))
+        rejected = rate is not None and (max(rate.values()) > quality.MAX_RATE or any(f[r] for r in watched[x[3]]))
         if not (f["short"] or f["repeats"] or rejected):
             out.append(x)
     return out
@@ -109,7 +111,7 @@ def suspicious(s):
             best = max(best, -sum(part.count(c) / len(part) * math.log2(part.count(c) / len(part)) for c in set(part)))
         return best >= least
 
-    return not allowed(s) and any(map(random_looking, re.split("[/_-]", s) if re.search(secret_scan.PARTED, s) else [s]))
+    return not allowed(s) and any(map(random_looking, re.split("[/_-]", s) if any(re.search(whole, s) and re.search(there, s) and not re.search(never, s) for whole, there, never in secret_scan.PARTED) else [s]))
 
 
 def redacted(x):
@@ -149,12 +151,13 @@ def mixed(rows):
             level[c[k]] = level.get(c[k], 0) + n
         flat = {v: n ** mixing.FLATTEN[dim] if n else 0.0 for v, n in level.items()}
         want.append({v: f / sum(flat.values()) for v, f in flat.items()})
-    for _ in range(mixing.ROUNDS):
+    marginal = lambda k: {v: math.fsum(w for c, w in weight.items() if c[k] == v) for v in want[k]}
+    for _ in range(mixing.MOST_ROUNDS):
         for k in range(3):
-            now = {}
-            for c, w in weight.items():
-                now[c[k]] = now.get(c[k], 0) + w
+            now = marginal(k)
             weight = {c: w * want[k][c[k]] / now[c[k]] if now[c[k]] else 0.0 for c, w in weight.items()}
+        if all(abs(x - want[k][v]) <= mixing.TOLERANCE for k in range(3) for v, x in marginal(k).items()):
+            break
     rate = {c: weight[c] / n if n else 0.0 for c, n in sums.items()}
     whole, s, grown = set(), 0.0, True
     while grown:
