@@ -88,6 +88,19 @@ def test_quality(docs, empty, spark, monkeypatch):
     assert quality.drop_rejected(many).count() == 400
 
 
+def test_watch_of_every_rule(spark):
+    """Each rule's hosts are watched, those of the base rules too; SQL says the same."""
+    noise, again = " ".join(f"#$ w{k}" for k in range(30)) + " ###", "one two three four five six seven eight " * 9
+    rows = [(i, {1: "short", 2: again, 3: noise}.get(i % 4 and i // 300 if i < 1200 else 0, prose(40, i)), f"h{i // 300}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {tuple(r) for r in quality.quality_rules(docs).collect()}
+    watch = {(r[0] // 300, r[9]) for r in got}
+    assert watch == {(0, ""), (1, "short"), (2, "repeats"), (3, "symbols"), (4, "")} and len(got) == 1500
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    assert set(con.execute(quality.oracle()).fetchall()) == got
+
+
 def test_secrets(docs, empty):
     got = {r["doc_id"]: r for r in secret_scan.secret_scan(docs).collect()}
     for i, t in enumerate(TEXTS):
