@@ -20,8 +20,9 @@ without a lone space is encoded whole, whatever its length.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ TOGETHER = 1 << 15
 MOST_PAIRS = 4_000_000
 #: A pair of ids is one number: the first id in the upper half.
 SHIFT = 32
+#: What follows an id in the text of groups: inside a side, between the sides, after a group, after a chunk's last group.
+AFTER = ",|;\n"
+ID_AND_END = attrgetter("id", "end")
 
 
 def byte_level() -> dict[str, int]:
@@ -51,6 +55,27 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def cut_by_length(ends: np.ndarray, some: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """ends, where those of some tokens are the end of the token before and the token's own size."""
+    if not some.any():
+        return ends
+    before = np.maximum.accumulate(np.where(some, -1, np.arange(len(ends))))  # the last token with an end of its own
+    run = np.cumsum(np.where(some, sizes, 0))
+    return np.where(some, np.where(before < 0, 0, ends[before]) + run - np.where(before < 0, 0, run[before]), ends)
+
+
+def two_columns(rows: Iterable[tuple[int, int]], n: int) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(rows), np.int64, 2 * n).reshape(n, 2)
+
+
+class Places(dict):
+    """The place of each chunk, given when it is first asked for."""
+
+    def __missing__(self, chunk: str) -> int:
+        place = self[chunk] = len(self)
+        return place
+
+
 class Aligner:
     """Groups and links of chunks, each chunk encoded once; all are forgotten when they are too many."""
 
@@ -61,96 +86,109 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         byte = byte_level()
-        self.bytes_a = {i: bytes(byte[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.bytes_a = [b""] * (1 + max(self.a.get_vocab().values()))
+        for t, i in self.a.get_vocab(with_added_tokens=False).items():
+            self.bytes_a[i] = bytes(byte[c] for c in t)
         n = range(self.b.get_piece_size())
         self.is_byte = [self.b.is_byte(i) for i in n]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.is_byte[i] else p.replace(SPACE, " ").encode() for i in n for p in [self.b.id_to_piece(i)]]
+        self.size_a, self.size_b = (np.array([len(x) for x in of]) for of in (self.bytes_a, self.bytes_b))
+        self.is_byte = np.array(self.is_byte)
+        self.written = [f"{i}{mark}" for mark in AFTER for i in range(max(len(self.bytes_a), len(n)))]  # an id and what follows it
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.groups: list[str | None] = []
         self.held = 0
         self.numbers = np.zeros((0, 4), np.int64)  # tokens of both, groups, links
         self.start = np.zeros(0, np.int64)
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.new: list[tuple[list[str | None], np.ndarray, np.ndarray]] = []
         self.pair = np.zeros(0, np.int64)
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode and align chunks not met before: those without blanks at their edges many at once, as one text."""
-        edge = lambda c: c.isspace() or c == SPACE
-        runs: list[list[str]] = [[]]
+    def places(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+
+    def learn(self) -> None:
+        """Encode and align the chunks that have a place but were not met before: those without blanks at their edges many at once, as one text."""
+        chunks = list(islice(self.place, len(self.groups), None))
+        runs: list[list[int]] = [[]]
         room = TOGETHER
-        for chunk in chunks:
-            if edge(chunk[0]) or edge(chunk[-1]):
-                runs.insert(0, [chunk])
+        for k, chunk in enumerate(chunks):
+            first, last = chunk[0], chunk[-1]
+            if first.isspace() or last.isspace() or first == SPACE or last == SPACE:
+                runs.insert(0, [k])
                 continue
             if room <= 0:
                 runs.append([])
                 room = TOGETHER
-            runs[-1].append(chunk)
+            runs[-1].append(k)
             room -= len(chunk) + 1
         for run in runs:
-            if run and not self.aligned(run):
-                for c in run:
-                    if len(run) == 1 or not self.aligned([c]):
-                        self.add([c], [None], np.zeros((1, 4), np.int64), np.zeros(0, np.int64))
+            if run and not self.aligned([chunks[k] for k in run]):
+                for k in run:
+                    if len(run) == 1 or not self.aligned([chunks[k]]):
+                        self.new.append(([None], np.zeros((1, 4), np.int64), np.zeros(0, np.int64)))
         if self.new:
-            numbers, pairs = (np.concatenate(x) for x in zip(*self.new, strict=True))
+            groups = list(chain.from_iterable(x[0] for x in self.new))
+            numbers, pairs = (np.concatenate([x[k] for x in self.new]) for k in (1, 2))
             size = numbers[:, 3]
-            self.start = np.concatenate([self.start, len(self.pair) + np.cumsum(size) - size])
-            self.numbers, self.pair = np.concatenate([self.numbers, numbers]), np.concatenate([self.pair, pairs])
+            start = len(self.pair) + np.cumsum(size) - size
+            back = np.argsort(np.fromiter(chain.from_iterable(runs), np.int64, len(chunks)))  # runs are not in the order of places
+            self.groups += map(groups.__getitem__, back.tolist())
+            self.start, self.numbers = np.concatenate([self.start, start[back]]), np.concatenate([self.numbers, numbers[back]])
+            self.pair = np.concatenate([self.pair, pairs])
+            self.held += sum(map(len, chunks)) + sum(len(g or "") for g in groups)
             self.new = []
 
-    def add(self, chunks: list[str], groups: list[str | None], numbers: np.ndarray, pairs: np.ndarray) -> None:
-        self.place |= zip(chunks, range(len(self.groups), len(self.groups) + len(chunks)), strict=True)
-        self.groups += groups
-        self.held += sum(map(len, chunks)) + sum(len(g or "") for g in groups)
-        self.new.append((numbers, pairs))
-
     def aligned(self, chunks: list[str]) -> bool:
         """Add groups, numbers and links of each of some chunks, joined by spaces and after one; False if the tokens' bytes aren't theirs."""
         chars = " " + " ".join(chunks)
         text = chars.encode()
         encoded, pieces = self.a.encode(chars, add_special_tokens=False), self.b.encode(chars[1:], return_type="proto", num_threads=1).pieces
-        ids_a, spans = encoded.ids, encoded.offsets
-        b = [(p.id, p.end) for p in pieces]
-        bytes_a, bytes_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i, _ in b]
-        if b"".join(bytes_a) != text or b"".join(bytes_b) != text:
+        ids_a, spans = np.array(encoded.ids, np.int64), two_columns(encoded.offsets, len(encoded))
+        ids_b, stop_b = two_columns(map(ID_AND_END, pieces), len(pieces)).T
+        if any(b"".join(map(of.__getitem__, ids.tolist())) != text for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
             return False
+        size_a, size_b = self.size_a[ids_a], self.size_b[ids_b]
+        one, other = np.cumsum(size_a), np.cumsum(size_b)
         if len(text) == len(chars):
-            ends_a = [stop for _, stop in spans]
+            ends_a = spans[:, 1]
         else:
-            at = [*np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80).tolist(), len(text)]
-            ends_a = [at[stop] for _, stop in spans]
-            for k in [k for k in range(len(spans) - 1) if spans[k + 1][0] < spans[k][1]]:  # a shared character
-                ends_a[k] = (ends_a[k - 1] if k else 0) + len(bytes_a[k])
-        ends_b, is_byte = [stop + 1 for _, stop in b], self.is_byte
-        for k in [k for k, (i, _) in enumerate(b) if is_byte[i]]:
-            ends_b[k] = (ends_b[k - 1] if k else 0) + 1
-        if ends_a != list(accumulate(map(len, bytes_a))) or ends_b != list(accumulate(map(len, bytes_b))):
+            at = np.append(np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80), len(text))
+            shared = np.append(spans[1:, 0] < spans[:-1, 1], False)  # a character
+            ends_a = cut_by_length(at[spans[:, 1]], shared, size_a)
+        ends_b = cut_by_length(stop_b + 1, self.is_byte[ids_b], size_b)
+        if (ends_a != one).any() or (ends_b != other).any():
             raise ValueError(f"spans and decoded bytes disagree in {chars!r}")
-        ids_b = [i for i, _ in b]
-        one, other = np.array(ends_a), np.array(ends_b)
-        cuts = np.union1d(one, other)
+        cut = np.zeros(len(text) + 1, bool)
+        cut[one] = cut[other] = True
+        cuts = np.flatnonzero(cut)
         in_a, in_b = np.searchsorted(one, cuts), np.searchsorted(other, cuts)
-        pairs = np.array(ids_a, np.int64)[in_a] << SHIFT | np.array(ids_b, np.int64)[in_b]
+        pairs = ids_a[in_a] << SHIFT | ids_b[in_b]
         both = np.flatnonzero((one[in_a] == cuts) & (other[in_b] == cuts))
-        last_a, last_b = (in_a[both] + 1).tolist(), (in_b[both] + 1).tolist()
-        text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
-        side = lambda of, i, j: of[i] if j == i + 1 else ",".join(of[i:j])
-        groups = [f"{side(text_a, i, j)}|{side(text_b, k, m)}" for i, j, k, m in zip([0, *last_a[:-1]], last_a, [0, *last_b[:-1]], last_b, strict=True)]
         stops = np.cumsum([len(c.encode()) + 1 for c in chunks])
         upto = [np.searchsorted(x, stops) + 1 for x in (one, other, cuts[both], cuts)]  # tokens of both, groups and links up to each chunk's end
         if not all((x[u - 1] == stops).all() for x, u in zip((one, other), upto, strict=False)):
             raise ValueError(f"a token crosses a lone space in {chars!r}")
-        ends = upto[2].tolist()
-        self.add(chunks, [";".join(groups[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)], np.column_stack([np.diff(u, prepend=0) for u in upto]), pairs)
+        groups = self.text_of(ids_a, ids_b, in_a[both], in_b[both], upto[2] - 1)
+        self.new.append((groups, np.column_stack([np.diff(u, prepend=0) for u in upto]), pairs))
         return True
 
-    def document(self, chunks: list[str]) -> tuple[str, list[int], np.ndarray, np.ndarray] | None:
-        """Groups, numbers, distinct pairs and how many links each has."""
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+    def text_of(self, ids_a: np.ndarray, ids_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, last: np.ndarray) -> list[str]:
+        """The groups of each chunk as text. last_a, last_b: each group's last token; last: each chunk's last group."""
+        mark_a, mark_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        mark_a[last_a], mark_b[last_b] = 1, 2
+        mark_b[last_b[last]] = 3
+        many = len(self.written) // len(AFTER)
+        of_a, of_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)  # a group's tokens
+        order = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        order[np.arange(len(ids_a)) + np.repeat(np.cumsum(of_b) - of_b, of_a)] = mark_a * many + ids_a
+        order[np.arange(len(ids_b)) + np.repeat(np.cumsum(of_a), of_b)] = mark_b * many + ids_b
+        return "".join(map(self.written.__getitem__, order.tolist())).split("\n")[:-1]
+
+    def document(self, at: np.ndarray) -> tuple[str, list[int], np.ndarray, np.ndarray] | None:
+        """Groups, numbers, distinct pairs and how many links each has, of the chunks at these places."""
         one, times = np.unique(at, return_counts=True)
         numbers = self.numbers[one]
         if not numbers[:, 0].all():
@@ -172,9 +210,9 @@ def aligned_tokens(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "
         for batch in by_bytes(batches, "text", batch_bytes):
             if aligner.held > REMEMBERED:
                 aligner.forget()
-            chunks = [SAFE.split(t) if t else [] for t in batch.column("text").to_pylist()]
-            aligner.learn([c for c in dict.fromkeys(c for doc in chunks for c in doc) if c not in aligner.place])
-            found = [(aligner.document(doc) if doc else None) or ("", [0] * 4, [], []) for doc in chunks]
+            places = [aligner.places(SAFE.split(t)) if t else None for t in batch.column("text").to_pylist()]
+            aligner.learn()
+            found = [(None if at is None else aligner.document(at)) or ("", [0] * 4, [], []) for at in places]
             out = {"id": batch.column("id"), **{n: pa.array([f[1][k] for f in found], pa.int64()) for k, n in enumerate(numbers)}}
             out |= {"groups": pa.array([f[0] for f in found], pa.string())}
             out |= {n: pa.array([f[k] for f in found], pa.list_(pa.int64())) for k, n in ((2, "pairs"), (3, "links"))}

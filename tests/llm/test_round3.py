@@ -205,6 +205,26 @@ def test_alignment(docs, most):
     assert token_align.token_alignment(docs.limit(0), *paths).count() == 0
 
 
+def test_places_and_groups():
+    """Chunks of one learning, some encoded alone or without tokens, keep their own groups; each is numbered once, in the order met."""
+    aligner = token_align.Aligner(*[public_tokenizers.path(m) for m in (token_align.MODEL_A, token_align.MODEL_B)])
+    texts = ["plain words here", " edge", "naïve 日本語 words", "two  blanks\n", "👩‍👩‍👧 𐍈𐍈 x", "a\x00b ▁c", "words again, plain"]
+    chunks = [c for t in texts for c in token_align.SAFE.split(t)]
+    at = aligner.places(chunks).tolist()
+    assert at == [list(dict.fromkeys(chunks)).index(c) for c in chunks]
+    aligner.learn()
+    for c, k in zip(chunks, at, strict=True):
+        alone = token_align.Aligner.__new__(token_align.Aligner)
+        alone.__dict__ |= aligner.__dict__
+        alone.forget()
+        alone.places([c])
+        alone.learn()
+        assert alone.groups == [aligner.groups[k]] and alone.numbers.tolist() == [aligner.numbers[k].tolist()]
+        assert alone.pair.tolist() == aligner.pair[aligner.start[k] : aligner.start[k] + aligner.numbers[k, 3]].tolist()
+    got = token_align.cut_by_length(np.array([9, 9, 5, 9, 9, 12]), np.array([True, True, False, True, True, False]), np.array([1, 2, 2, 3, 1, 3]))
+    assert got.tolist() == [1, 3, 5, 8, 9, 12]  # at the start, in a run, after an end of its own
+
+
 def test_chunks_of_b_are_safe():
     """The lone spaces that texts are cut at are no inside of a piece, and texts aren't normalized."""
     assert tokens.safe_to_split(sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_align.MODEL_B)))
