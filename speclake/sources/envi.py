@@ -2,9 +2,10 @@
 
 `spark.read.format("envi")` reads row blocks with range reads, a task for a part of a cube's rows, as Arrow batches; the option
 `bands` (numbers from 0, with commas) reads only those planes. `write.format("envi")` takes pixels ordered by image, row and col
-and writes a cube a time, which appears under its name when it is whole. Paths are opened in the tasks, on mounted file systems
-and the stores that Arrow opens itself; read_envi and write_envi resolve other names (mount tables) first, and read_envi takes
-cubes (up to 2 GB each) through Spark's own binary reader where nothing else opens them.
+and writes a cube a time, which appears under its name when it is whole. A cube has all its planes; those of bands that an image
+has no value of are named in its header (`missing bands`, numbers from 0) and read as null. Paths are opened in the tasks, on mounted
+file systems and the stores that Arrow opens itself; read_envi and write_envi resolve other names (mount tables) first, and
+read_envi takes cubes (up to 2 GB each) through Spark's own binary reader where nothing else opens them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..functions.bands import matrix
+
 #: ENVI data type codes.
 TYPES = {"1": "u1", "2": "i2", "3": "i4", "4": "f4", "5": "f8", "12": "u2", "13": "u4"}
 PIXELS = "image_id string, row int, col int, bands array<float>"
@@ -143,7 +146,7 @@ class Written(WriterCommitMessage):
 
 
 class EnviWriter(DataSourceArrowWriter):
-    """Cubes of `rows` x `cols` pixels: folder/<image_id>/cube.dat and .hdr; 0 where no pixel is given.
+    """Cubes of `rows` x `cols` pixels: folder/<image_id>/cube.dat and .hdr; 0 where no pixel is given, NaN where a pixel has no value.
 
     A task takes whole images, ordered by image, row and col. bil and bip go out line by line; bsq holds one cube. Samples are
     written under another name, moved when whole, and the header, without which no reader sees them, comes last.
@@ -153,26 +156,28 @@ class EnviWriter(DataSourceArrowWriter):
         self.path, self.rows, self.cols, self.n = options["path"], *(int(options[k]) for k in ("rows", "cols", "bands"))
         self.interleave = options.get("interleave", "bsq")
 
-    def lines(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
-        """image, row, (cols, bands) of each row that has pixels, in order."""
-        at, line = None, np.zeros(0)
+    def lines(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+        """image, row, (cols, bands) of each row that has pixels, in order, and which bands have a value there."""
+        at, line, known = None, np.zeros(0), np.zeros(0, bool)
         for batch in batches:
             images = batch.column("image_id").cast(pa.string()).to_pylist()
             row, col = (batch.column(c).to_numpy() for c in ("row", "col"))
-            values = batch.column("bands").flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, self.n)
+            values = matrix(batch.column("bands"), self.n).astype("<f4")
+            given = matrix(batch.column("bands"), self.n, valid=True)
             edges = [0, *(i for i in range(1, len(images)) if row[i] != row[i - 1] or images[i] != images[i - 1]), len(images)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a == b:
                     continue
                 if at != (images[a], int(row[a])):
                     if at:
-                        yield *at, line
+                        yield *at, line, known
                     if at and at[0] == images[a] and at[1] > row[a]:
                         raise ValueError("pixels must be ordered by image_id, row and col")
-                    at, line = (images[a], int(row[a])), np.zeros((self.cols, self.n), "<f4")
+                    at, line, known = (images[a], int(row[a])), np.zeros((self.cols, self.n), "<f4"), np.zeros(self.n, bool)
                 line[col[a:b]] = values[a:b]
+                known |= given[a:b].any(0)
         if at:
-            yield *at, line
+            yield *at, line, known
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, path = opened(self.path)
@@ -188,7 +193,7 @@ class EnviWriter(DataSourceArrowWriter):
             try:
                 with store.open_output_stream(spare) as f:
                     cube = np.zeros((self.n, self.rows, self.cols), "<f4") if self.interleave == "bsq" else None
-                    following = 0
+                    following, known = 0, np.zeros(self.n, bool)
                     while line and line[0] == image:
                         if cube is not None:
                             cube[:, line[1]] = line[2].T
@@ -196,6 +201,7 @@ class EnviWriter(DataSourceArrowWriter):
                             f.write(bytes(4 * self.cols * self.n * (line[1] - following)))
                             f.write(np.ascontiguousarray(line[2].T if self.interleave == "bil" else line[2]).tobytes())
                         following = line[1] + 1
+                        known |= line[3]
                         line = next(lines, None)
                     if cube is None:
                         f.write(bytes(4 * self.cols * self.n * (self.rows - following)))
@@ -205,8 +211,9 @@ class EnviWriter(DataSourceArrowWriter):
                 store.delete_file(spare)
                 raise
             store.move(spare, f"{folder}/cube.dat")
+            missing = "" if known.all() else f"missing bands = {{{', '.join(map(str, np.flatnonzero(~known)))}}}\n"
             with store.open_output_stream(f"{folder}/cube.hdr") as f:
-                f.write(f"ENVI\nsamples = {self.cols}\nlines = {self.rows}\nbands = {self.n}\nheader offset = 0\ndata type = 4\ninterleave = {self.interleave}\nbyte order = 0\n".encode())
+                f.write(f"ENVI\nsamples = {self.cols}\nlines = {self.rows}\nbands = {self.n}\nheader offset = 0\ndata type = 4\ninterleave = {self.interleave}\nbyte order = 0\n{missing}".encode())
             done.append(folder)
         return Written(done)
 
