@@ -28,6 +28,8 @@ from ..functions.bands import matrix
 TYPES = {"1": "u1", "2": "i2", "3": "i4", "4": "f4", "5": "f8", "12": "u2", "13": "u4"}
 PIXELS = "image_id string, row int, col int, bands array<float>"
 ARROW = pa.schema([("image_id", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("bands", pa.list_(pa.float32()))])
+#: Bytes of samples and cubes that a reading task takes, and parts of one cube at most.
+PIECE, CUBES, PARTS = 8 << 20, 64, 8
 #: Schemes that tasks open themselves.
 OPENED = {"file", "s3", "s3a", "gs", "hdfs", "abfs", "abfss"}
 
@@ -66,6 +68,7 @@ class Layout:
     kind: np.dtype
     interleave: str
     offset: int
+    missing: frozenset[int] = frozenset()
 
     @staticmethod
     def of(header: str, name: str) -> Layout:
@@ -74,7 +77,8 @@ class Layout:
             if not h.get(key, "").isdigit():
                 raise ValueError(f"no number of {field} in {name}")
         kind = np.dtype(TYPES[h["data type"]]).newbyteorder(">" if h.get("byte order", "0") == "1" else "<")
-        return Layout(int(h["lines"]), int(h["samples"]), int(h["bands"]), kind, h.get("interleave", "bsq").lower(), int(h.get("header offset", 0)))
+        missing = frozenset(map(int, re.findall(r"\d+", h.get("missing bands", ""))))
+        return Layout(int(h["lines"]), int(h["samples"]), int(h["bands"]), kind, h.get("interleave", "bsq").lower(), int(h.get("header offset", 0)), missing)
 
     def block(self, file: pa.NativeFile, start: int, stop: int, bands: list[int]) -> np.ndarray:
         """Rows start to stop as (rows, cols, bands), with range reads of what they need."""
@@ -101,41 +105,49 @@ class Layout:
             block = self.block(file, first, min(stop, first + step), bands)
             row, col = np.divmod(np.arange(block.shape[0] * self.cols, dtype=np.int32), np.int32(self.cols))
             at = pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(bands))
-            values = pa.ListArray.from_arrays(at, pa.array(block.ravel()))
+            gone = np.tile([b in self.missing for b in bands], len(row)) if self.missing else None
+            values = pa.ListArray.from_arrays(at, pa.array(block.ravel(), mask=gone))
             yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(image), len(row)), pa.array(row + np.int32(first)), pa.array(col), values], schema=ARROW)
 
 
 @dataclass
 class Part(InputPartition):
-    """The k-th of `parts` row ranges of a cube."""
+    """Row ranges of cubes: header, samples, and the k-th of how many ranges."""
 
-    header: str
-    samples: str
-    k: int
-    parts: int
+    ranges: list[tuple[str, str, int, int]]
 
 
 class EnviReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path, self.step, self.parts = options["path"], int(options.get("blockRows", 64)), int(options.get("partsPerCube", 8))
+        self.path, self.step, self.parts = options["path"], int(options.get("blockRows", 64)), int(options.get("partsPerCube", 0))
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
 
     def partitions(self) -> list[Part]:
-        """Row ranges of all headers that have their samples. Headers are read by the tasks."""
+        """Row ranges of all headers that have their samples, small cubes together. Headers are read by the tasks."""
         store, path = opened(self.path)
-        files = {f.path for f in store.get_file_info(stores.FileSelector(path, recursive=True)) if f.is_file}
+        files = {f.path: f.size or 0 for f in store.get_file_info(stores.FileSelector(path, recursive=True)) if f.is_file}
         both = [(f, f"{f[:-4]}.dat") for f in sorted(files) if f.endswith(".hdr") and f"{f[:-4]}.dat" in files]
-        return [Part(h, d, k, self.parts) for h, d in both for k in range(self.parts)] or [Part("", "", 0, 1)]
+        if self.parts:
+            return [Part([(h, d, k, self.parts)]) for h, d in both for k in range(self.parts)] or [Part([])]
+        out, held = [], 0
+        for h, d in both:
+            parts = min(PARTS, max(1, -(-files[d] // PIECE)))
+            if parts == 1 and out and 0 < held and held + files[d] <= PIECE and len(out[-1].ranges) < CUBES:
+                out[-1].ranges.append((h, d, 0, 1))
+                held += files[d]
+            else:
+                out += [Part([(h, d, k, parts)]) for k in range(parts)]
+                held = max(1, files[d]) if parts == 1 else 0
+        return out or [Part([])]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        if not partition.header:
-            return
         store, _ = opened(self.path)
-        with store.open_input_stream(partition.header) as f:
-            cube = Layout.of(f.read().decode(), partition.header)
-        start, stop = (cube.rows * k // partition.parts for k in (partition.k, partition.k + 1))
-        with store.open_input_file(partition.samples) as f:
-            yield from cube.batches(image_of(partition.header), f, start, stop, self.step, self.bands)
+        for header, samples, part, parts in partition.ranges:
+            with store.open_input_stream(header) as f:
+                cube = Layout.of(f.read().decode(), header)
+            start, stop = (cube.rows * k // parts for k in (part, part + 1))
+            with store.open_input_file(samples) as f:
+                yield from cube.batches(image_of(header), f, start, stop, self.step, self.bands)
 
 
 @dataclass
@@ -226,7 +238,7 @@ class EnviWriter(DataSourceArrowWriter):
 
 
 class EnviSource(DataSource):
-    """Options: path; reading: bands, blockRows, partsPerCube; writing: rows, cols, bands, interleave (bsq, bil, bip)."""
+    """Options: path; reading: bands, blockRows, partsPerCube (by default, by size); writing: rows, cols, bands, interleave (bsq, bil, bip)."""
 
     @classmethod
     def name(cls) -> str:

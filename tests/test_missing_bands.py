@@ -13,7 +13,7 @@ from speclake.plans import queries as Q
 SF = "/root/testdata/sf0.001"
 #: Vectors that are left out: image 1 lacks band 2, 2 the last four, 3 all but two, 4 the reference of normalized_mi, 5 the first.
 GONE = {12, *range(26, 30), *range(32, 40), 45, 50}
-NAMES = ["list_acquisitions", "write_envi"]
+NAMES = ["list_acquisitions", "read_envi", "write_envi"]
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,18 @@ def test_gaps_against_sql(spark, folder, gaps_sql, name):
     for a, b in zip(rows(got), rows(want), strict=True):
         for x, y in zip(a, b, strict=True):
             assert x[0] == y[0] and (x == y if x[0] == 2 else np.isclose(x[1], y[1], rtol=1e-9, atol=1.01e-5)), (a, b)
+
+
+def test_small_cubes_share_tasks(spark, folder, tmp_path, monkeypatch):
+    """Small cubes are read together, large ones in parts; each pixel once."""
+    Q.E.write_envi(Q.V.pixels(spark, folder), str(tmp_path), 8, 8, Q.N)
+    parts = Q.E.EnviReader({"path": str(tmp_path)}).partitions()
+    assert len(parts) == 1 and len(parts[0].ranges) == 12
+    rows = lambda df: sorted((r.image_id, r.row, r.col, *np.nan_to_num(np.array(r.bands, float), nan=-1)) for r in df.itertuples())
+    want = rows(Q.E.read_envi(spark, str(tmp_path)).toPandas())
+    assert len(want) == 12 * 64
+    for piece, n in ((3 * 2560, 4), (1000, 36)):
+        monkeypatch.setattr(Q.E, "PIECE", piece)
+        reader = Q.E.EnviReader({"path": str(tmp_path)})
+        assert len(parts := reader.partitions()) == n
+        assert rows(pd.concat(b.to_pandas() for p in parts for b in reader.read(p))) == want
