@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bands import per_band
+from ..functions.bands import any_has, matrix, per_band
 from ..sources.tables import load_matrix, save_matrix
 
 #: Images whose joint counts a task adds up at once.
@@ -72,12 +72,12 @@ def _information(joint: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def normalized_mi(pixels: DataFrame, ref_band: int, n: int, bins: int = 100) -> DataFrame:
-    """image_id, band, nmi of each of n bands with the reference band; null where a plane is flat. pixels: image_id, row, col, bands.
+    """image_id, band, nmi of each of an image's n bands or fewer with the reference band; null where a plane is flat. pixels: image_id, row, col, bands.
 
     A pixel's row holds the reference value too, so nothing is joined but the bounds of the planes, one row an image. Joint counts
     are added up in each task, for up to HELD images at once, before they are dealt.
     """
-    bounds = pixels.groupBy("image_id").agg(per_band(n, F.min).alias("_lo"), per_band(n, F.max).alias("_hi"))
+    bounds = pixels.groupBy("image_id").agg(per_band(n, F.min).alias("_lo"), per_band(n, F.max).alias("_hi"), any_has(pixels, n))
     kind, size = dict(pixels.dtypes)["image_id"], bins * bins
 
     def rows_of(held: dict, of: pa.DataType) -> pa.RecordBatch:
@@ -96,7 +96,7 @@ def normalized_mi(pixels: DataFrame, ref_band: int, n: int, bins: int = 100) ->
             if not batch.num_rows:
                 continue
             image = batch.column("image_id").dictionary_encode()
-            v, lo, hi = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n) for c in ("bands", "_lo", "_hi"))
+            v, lo, hi = (matrix(batch.column(c), n) for c in ("bands", "_lo", "_hi"))
             with np.errstate(divide="ignore", invalid="ignore"):
                 cell = np.minimum(np.floor((v - lo) / (hi - lo) * bins), bins - 1)
             there = (hi > lo) & np.isfinite(cell) & np.isfinite(cell[:, [ref_band]])
@@ -116,9 +116,10 @@ def normalized_mi(pixels: DataFrame, ref_band: int, n: int, bins: int = 100) ->
         if held:
             yield rows_of(held, image.dictionary.type)
 
-    counts = pixels.join(bounds, "image_id").select("image_id", "bands", "_lo", "_hi").mapInArrow(joint, f"image_id {kind}, band int, a int, b int, n long")
+    bounds = bounds.where(F.get("there", F.lit(ref_band)))  # others have nothing to be held against
+    counts = pixels.drop("there").join(bounds, "image_id").select("image_id", "bands", "_lo", "_hi").mapInArrow(joint, f"image_id {kind}, band int, a int, b int, n long")
     counts = counts.groupBy("image_id", "band", "a", "b").agg(F.sum("n").alias("n"))
-    others = bounds.select("image_id", F.explode(F.array(*[F.lit(k) for k in range(n) if k != ref_band])).alias("band"))
+    others = bounds.select("image_id", F.posexplode("there").alias("band", "_t")).where(F.col("_t") & (F.col("band") != ref_band)).drop("_t")
     return others.join(_information(counts, ["image_id", "band"]), ["image_id", "band"], "left")
 
 
