@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bands import per_band, to_long
+from ..functions.bands import any_has, per_band, to_long
 
 
 def mean_dark_frame(dark: DataFrame, n: int) -> DataFrame:
@@ -50,7 +50,8 @@ def roi_pixels(pixels: DataFrame, panel_roi: DataFrame) -> DataFrame:
 
 def roi_mean(pixels: DataFrame, panel_roi: DataFrame, n: int) -> DataFrame:
     """Mean number of each band per image and panel."""
-    return roi_pixels(pixels, panel_roi).groupBy("image_id", "panel").agg(per_band(n, F.avg).alias("bands"))
+    p = roi_pixels(pixels, panel_roi)
+    return p.groupBy("image_id", "panel").agg(per_band(n, F.avg).alias("bands"), any_has(p, n))
 
 
 def mean_of_shots(roi_means: DataFrame) -> DataFrame:
