@@ -13,7 +13,10 @@ from speclake.plans import queries as Q
 SF = "/root/testdata/sf0.001"
 #: Vectors that are left out: image 1 lacks band 2, 2 the last four, 3 all but two, 4 the reference of normalized_mi, 5 the first.
 GONE = {12, *range(26, 30), *range(32, 40), 45, 50}
-NAMES = ["list_acquisitions", "normalized_mi", "read_envi", "write_envi", "calibrate_panel_check", "composite", "roi_mean"]
+NAMES = [
+    "list_acquisitions", "normalized_mi", "read_envi", "write_envi", "calibrate_panel_check", "composite", "normalized_composite",
+    "roi_mean",
+]
 
 
 @pytest.fixture(scope="module")
