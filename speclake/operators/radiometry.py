@@ -13,7 +13,7 @@ from ..functions.bands import any_has, per_band, to_long
 
 def mean_dark_frame(dark: DataFrame, n: int) -> DataFrame:
     """Mean over acquisitions per pixel and band."""
-    return dark.groupBy("row", "col").agg(per_band(n, F.avg).alias("bands"))
+    return dark.groupBy("row", "col").agg(per_band(n, F.avg).alias("bands"), any_has(dark, n))
 
 
 def row_runs(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -25,7 +25,8 @@ def row_runs(pixels: DataFrame, *keys: str) -> DataFrame:
 def subtract_dark(pixels: DataFrame, dark: DataFrame, own_time: float | None = None, other_time: float | None = None) -> DataFrame:
     """Frame less its dark frame, over its own exposure time where that differs from the other phase's (calibration or acquisition).
 
-    Rows of pixels meet rows of the dark frame, whose bands lie in an array by column; pixels without a dark value go.
+    Rows of pixels meet rows of the dark frame, whose bands lie in an array by column; pixels without a dark value go, and so do
+    bands, by `there`.
     """
     whole = row_runs(dark.select("row", "col", F.col("bands").alias("_dark"))).withColumn("run", F.sort_array("run"))
     # bands by col, from 0: gaps are filled when the columns aren't dense
@@ -37,7 +38,9 @@ def subtract_dark(pixels: DataFrame, dark: DataFrame, own_time: float | None = N
     both = runs.join(whole, F.col("row") == F.col("_row"))
     time = own_time if own_time is not None and own_time != other_time else 1.0
     value = (lambda a, b: a - b) if time == 1.0 else (lambda a, b: (a - b) / time)
-    taken = F.transform(F.filter("run", lambda x: F.get("_dark", x["col"]).isNotNull()), lambda x: x.withField("bands", F.zip_with(x["bands"], F.get("_dark", x["col"]), value)))
+    less = lambda x: x.withField("bands", F.transform(x["bands"], lambda v, k: value(v, F.get(F.get("_dark", x["col"]), k))))
+    known = lambda x: x.withField("there", F.transform(x["there"], lambda t, k: t & F.get(F.get("_dark", x["col"]), k).isNotNull()))
+    taken = F.transform(F.filter("run", lambda x: F.get("_dark", x["col"]).isNotNull()), (lambda x: known(less(x))) if "there" in pixels.columns else less)
     return both.select("image_id", "row", F.inline(taken)).select(*pixels.columns)
 
 
