@@ -53,7 +53,7 @@ def mask_join(pixels: DataFrame, mask_runs: DataFrame) -> DataFrame:
 
 
 def iqr_bounds(masked: DataFrame, n: int, tolerance: float = 2.2, **options) -> DataFrame:
-    """Per instance: lo and hi, arrays by band of median -+ tolerance * interquartile range (zeros included). options: band_quantiles'."""
+    """Per instance: lo and hi, arrays by band of median -+ tolerance * interquartile range (zeros included; null without values). options: band_quantiles'."""
     q = band_quantiles(masked, ["image_id", "ann_id"], n, [0.25, 0.5, 0.75], **options)
     side = lambda s: F.transform("q", lambda x: x[1] + s * tolerance * (x[2] - x[0]))
     return q.select("image_id", "ann_id", side(-1).alias("lo"), side(1).alias("hi"))
