@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bands import per_band
+from ..functions.bands import any_has, has, per_band
 from ..sources.staging import bucketed
 from .quantiles import band_quantiles
 from .stats import numbered
@@ -77,10 +77,10 @@ def clean_instances(layout: DataFrame, mask_runs: DataFrame, n: int, tolerance:
 
 
 def instance_mean_spectrum(masked: DataFrame, n: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per annotation: bands = means of non-zero values (0 if none), sums and counts of them. keep: columns of the instance."""
+    """Per annotation: bands = means of non-zero values (0 if none), sums and counts of them; there. keep: columns of the instance."""
     own = lambda v: F.nullif(v, F.lit(0.0))
     g = masked.groupBy("image_id", "ann_id", *keep)
-    return g.agg(per_band(n, lambda v: F.coalesce(F.avg(own(v)), F.lit(0.0))).alias("bands"), per_band(n, F.sum).alias("sums"), per_band(n, lambda v: F.count(own(v))).alias("counts"))
+    return g.agg(per_band(n, lambda v: F.coalesce(F.avg(own(v)), F.lit(0.0))).alias("bands"), per_band(n, F.sum).alias("sums"), per_band(n, lambda v: F.count(own(v))).alias("counts"), any_has(masked, n))
 
 
 def plant_mean_spectrum(instances: DataFrame, n: int, count: str = "first_band") -> DataFrame:
