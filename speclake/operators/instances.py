@@ -84,10 +84,13 @@ def instance_mean_spectrum(masked: DataFrame, n: int, keep: tuple[str, ...] = ()
 
 
 def plant_mean_spectrum(instances: DataFrame, n: int, count: str = "first_band") -> DataFrame:
-    """Per plant: pooled sums over pooled counts, those of the first band or of each band."""
-    total = lambda c, k: F.sum(F.get(c, F.lit(k)))
-    mean = lambda k: F.try_divide(total("sums", k), total("counts", 0 if count == "first_band" else k))
-    return instances.groupBy("plant_no").agg(F.array(*[mean(k) for k in range(n)]).alias("bands"))
+    """Per plant: pooled sums over pooled counts, those of the first band or of each band, of the instances that have both bands."""
+    first = lambda k: 0 if count == "first_band" else k
+    both = lambda k: has(instances, k) & has(instances, first(k))
+    total = lambda c, k, of: F.sum(F.when(both(of), F.get(c, F.lit(k))))
+    mean = lambda k: F.try_divide(total("sums", k, k), total("counts", first(k), k))
+    there = F.array(*[F.max(both(k)) for k in range(n)])
+    return instances.groupBy("plant_no").agg(F.array(*[mean(k) for k in range(n)]).alias("bands"), there.alias("there"))
 
 
 def join_lab_bunch(instances: DataFrame, lab: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 GONE = {12, *range(26, 30), *range(32, 40), 45, 50}
 NAMES = [
     "list_acquisitions", "normalized_mi", "read_envi", "write_envi", "calibrate_panel_check", "composite",
-    "instance_mean_spectrum", "iqr_bounds", "normalized_composite", "roi_mean", "subtract_dark",
+    "instance_mean_spectrum", "iqr_bounds", "normalized_composite", "plant_mean_spectrum", "roi_mean", "subtract_dark",
 ]
 
 
