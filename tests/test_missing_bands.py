@@ -14,8 +14,8 @@ SF = "/root/testdata/sf0.001"
 #: Vectors that are left out: image 1 lacks band 2, 2 the last four, 3 all but two, 4 the reference of normalized_mi, 5 the first.
 GONE = {12, *range(26, 30), *range(32, 40), 45, 50}
 NAMES = [
-    "list_acquisitions", "normalized_mi", "read_envi", "write_envi", "calibrate_panel_check", "composite",
-    "instance_mean_spectrum", "iqr_bounds", "normalized_composite", "plant_mean_spectrum", "roi_mean", "subtract_dark",
+    "list_acquisitions", "normalized_mi", "read_envi", "write_envi", "calibrate_panel_check", "composite", "instance_mean_spectrum",
+    "iqr_bounds", "join_lab_plant", "normalized_composite", "plant_mean_spectrum", "roi_mean", "subtract_dark",
 ]
 
 
